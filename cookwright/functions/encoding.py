@@ -54,7 +54,7 @@ def plausible(ch: str) -> bool:
     return 0x20 <= o < 0x7F or (0xC0 <= o < 0x180 and ch not in "×÷") or ch in _PLAUSIBLE
 
 
-def _invert_once(text: str, page: str) -> str:
+def _invert_once(text: str, page: str, final: bool = True) -> str:
     byte = _byte_of(page)
 
     def back(m: re.Match) -> str:
@@ -62,7 +62,7 @@ def _invert_once(text: str, page: str) -> str:
             out = bytes(byte[c] for c in m[0]).decode("utf-8")
         except UnicodeDecodeError:
             return m[0]
-        return out if all(map(plausible, out)) else m[0]
+        return out if not final or all(map(plausible, out)) else m[0]
 
     return _sequences(page).sub(back, text)
 
@@ -76,8 +76,9 @@ def invert(text: str, chain: str) -> str | None:
     steps = chain.split(">")
     if steps[0] == "utf-8":
         out = text
-        for page in reversed(steps[1::2]):
-            before, out = out, _invert_once(out, page)
+        pages = steps[1::2]
+        for k in reversed(range(len(pages))):  # what is left before the last step need not be plausible
+            before, out = out, _invert_once(out, pages[k], k == 0)
             if out == before:
                 return None
         return out
