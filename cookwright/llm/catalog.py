@@ -6,5 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from cookwright.llm import mojibake, setjoin
+from cookwright.plans.frames import table
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = setjoin.similar_rows(table(spark, d, "sample_recipes"), "row_ix", "ingredients")
+    return pairs.select(pairs.a.alias("row_ix_a"), pairs.b.alias("row_ix_b"))
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "sample_recipes"), "row_ix", ["name", "description"], ["ingredients"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).select("row_ix", "field").distinct()
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p7_found": p7_found,
+    "p7_restored": p7_restored,
+}
 SQL: dict[str, str] = {}
+
+SQL["p4_found"] = """
+WITH s AS (
+  SELECT row_ix, list_distinct(list_filter(list_transform(ingredients, lambda x: regexp_replace(trim(lower(x)), ' +', ' ', 'g')), lambda x: x <> '')) AS t
+  FROM sample_recipes WHERE ingredients IS NOT NULL
+), t AS (SELECT row_ix, len(t) AS n, unnest(t) AS x FROM s WHERE len(t) >= 5)
+SELECT a.row_ix AS row_ix_a, b.row_ix AS row_ix_b
+FROM t a JOIN t b ON a.x = b.x AND a.row_ix < b.row_ix
+GROUP BY a.row_ix, b.row_ix
+HAVING count(*) * 100 >= (min(a.n) + min(b.n) - count(*)) * 60
+"""
