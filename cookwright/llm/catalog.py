@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cookwright.llm import mojibake, setjoin
+from cookwright.llm import leakage, mojibake, setjoin, stuffing
 from cookwright.plans.frames import table
 
 
@@ -27,10 +27,34 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d)
 
 
+def _p8(spark: SparkSession, d: str, errors: int) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_cases"), "item_id", "passage", errors=errors)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d, 0).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d, 2)
+
+
+def p10_pages(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", "url", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pages(spark, d).where("stuffed").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
+    "p10_found": p10_found,
+    "p10_pages": p10_pages,
 }
 SQL: dict[str, str] = {}
 
@@ -44,3 +68,11 @@ FROM t a JOIN t b ON a.x = b.x AND a.row_ix < b.row_ix
 GROUP BY a.row_ix, b.row_ix
 HAVING count(*) * 100 >= (min(a.n) + min(b.n) - count(*)) * 60
 """
+
+SQL["p8_found"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_cases WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, hash(w[k:k+12]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, hash(w[k:k+12]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
