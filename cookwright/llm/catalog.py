@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cookwright.llm import leakage, mojibake, setjoin, stuffing
+from cookwright.llm import leakage, mixing, mojibake, ranking, setjoin, stuffing
 from cookwright.plans.frames import table
 
 
+SCORES = ["semantic", "lexical", "ingredient", "distinctiveness"]
+
+
+def p1_fused(spark: SparkSession, d: str) -> DataFrame:
+    fused = ranking.fused_scores(table(spark, d, "score_breakdown"), "request_id", "row_ix", SCORES)
+    return fused.select("request_id", "row_ix", F.round("fused", 6).alias("fused"), "used")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    fused = ranking.fused_scores(table(spark, d, "score_breakdown"), "request_id", "row_ix", SCORES)
+    return ranking.best_of_each(fused, "request_id", "row_ix")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = setjoin.similar_rows(table(spark, d, "sample_recipes"), "row_ix", "ingredients")
     return pairs.select(pairs.a.alias("row_ix_a"), pairs.b.alias("row_ix_b"))
@@ -47,12 +61,29 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pages(spark, d).where("stuffed").select("doc_id")
 
 
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = mixing.token_counts(table(spark, d, "documents"), "doc_id", mixing.source_name(F.col("source")), "text")
+    return mixing.mix(counts, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_fused": p1_fused,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
     "p8_found": p8_found,
     "p8_near": p8_near,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_pages": p10_pages,
 }
@@ -76,3 +107,29 @@ dg AS (SELECT doc_id, hash(w[k:k+12]) AS g FROM (SELECT doc_id, w, unnest(range(
 ig AS (SELECT DISTINCT item_id, hash(w[k:k+12]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
+
+_FUSED = """
+WITH c AS (
+  SELECT request_id, row_ix, {computed}
+  FROM score_breakdown WHERE request_id IS NOT NULL AND row_ix IS NOT NULL GROUP BY request_id, row_ix
+), m AS (SELECT request_id, {medians} FROM c GROUP BY request_id),
+o AS (SELECT c.request_id, row_ix, {offsets} FROM c JOIN m USING (request_id)),
+s AS (SELECT request_id, {spreads} FROM o GROUP BY request_id),
+z AS (SELECT request_id, row_ix, {values} FROM o JOIN s USING (request_id)),
+f AS (SELECT request_id, row_ix, exp(({sums}) / ({used})) AS fused, {used} AS used FROM z WHERE {used} > 0)
+"""
+_each = lambda t, sep=", ": sep.join(t.replace("$", s) for s in SCORES)
+_FUSED = _FUSED.format(
+    computed=_each("max(CASE WHEN CAST($ AS VARCHAR) NOT IN ('nan', '-nan', 'inf', '-inf') AND $ >= 0 THEN $ END) AS $"),
+    medians=_each("quantile_disc($, 0.5) AS m_$"),
+    offsets=_each("$ - m_$ AS $"),
+    spreads=_each("quantile_disc(abs($), 0.5) AS d_$, avg(abs($)) AS a_$"),
+    values=_each(
+        "CASE WHEN $ IS NULL THEN NULL WHEN d_$ > 0 THEN ln(1 / (1 + exp(-greatest(-4.0, least(4.0, $ / (d_$ * 1.4826::DOUBLE))))))"
+        " WHEN a_$ > 0 THEN ln(1 / (1 + exp(-greatest(-4.0, least(4.0, $ / (a_$ * 1.2533::DOUBLE)))))) ELSE ln(0.5::DOUBLE) END AS $"
+    ),
+    sums=_each("coalesce($, 0)", " + "),
+    used=_each("CAST($ IS NOT NULL AS INT)", " + "),
+)
+SQL["p1_fused"] = _FUSED + "SELECT request_id, row_ix, round(fused, 6) AS fused, CAST(used AS INT) AS used FROM f"
+SQL["p1_found"] = _FUSED + "SELECT request_id, row_ix FROM f QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 12) DESC, row_ix) = 1"
