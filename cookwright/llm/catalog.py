@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cookwright.llm import leakage, mixing, mojibake, ranking, setjoin, stuffing
+from cookwright.llm import leakage, mixing, mojibake, ranking, residue, setjoin, stuffing
 from cookwright.plans.frames import table
 
 
@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best_of_each(fused, "request_id", "row_ix")
 
 
+def p2_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "sample_recipes"), "row_ix", ["ingredients"], ["instructions"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_residue(spark, d).select("row_ix", "field").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = setjoin.similar_rows(table(spark, d, "sample_recipes"), "row_ix", "ingredients")
     return pairs.select(pairs.a.alias("row_ix_a"), pairs.b.alias("row_ix_b"))
@@ -77,6 +85,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
+    "p2_found": p2_found,
+    "p2_residue": p2_residue,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
