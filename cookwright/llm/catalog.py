@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cookwright.llm import leakage, mixing, mojibake, ranking, residue, setjoin, stuffing
+from cookwright.llm import leakage, linkage, mixing, mojibake, ranking, residue, setjoin, stuffing
 from cookwright.plans.frames import table
 
 
@@ -32,6 +32,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_residue(spark, d).select("row_ix", "field").distinct()
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "sample_recipes").select(F.col("row_ix").alias("key"), F.col("name").alias("title"), F.col("ingredients").alias("lines"), linkage.stated(F.col("source"), F.col("url")).alias("publisher"), F.col("id").alias("entity"))
+    right = table(spark, d, "method_corpus").select(F.col("record_key").alias("key"), "title", F.col("ingredients").alias("lines"), F.col("credit").alias("publisher"), F.lit(None).cast("string").alias("entity"))
+    return linkage.match(left, right).select(F.col("left").cast("long").alias("row_ix"), F.col("right").alias("record_key"), "confidence")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("row_ix", "record_key")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = setjoin.similar_rows(table(spark, d, "sample_recipes"), "row_ix", "ingredients")
     return pairs.select(pairs.a.alias("row_ix_a"), pairs.b.alias("row_ix_b"))
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_fused": p1_fused,
     "p2_found": p2_found,
     "p2_residue": p2_residue,
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
