@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cookwright.llm import leakage, linkage, mixing, mojibake, ranking, residue, setjoin, stuffing
+from cookwright.llm import leakage, linkage, mixing, mojibake, neighbours, ranking, residue, setjoin, stuffing
 from cookwright.plans.frames import table
 
 
@@ -92,6 +92,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p9(spark, d)[1]
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neighbours.similar_rows(table(spark, d, "recipe_vectors"), "row_ix", "vec", 0.9)
+    return pairs.select(F.col("a").alias("row_ix_a"), F.col("b").alias("row_ix_b"))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest distinct vectors of every row whose row_ix is divisible by 100, over all shards."""
+    near, members = neighbours.nearest(table(spark, d, "recipe_vectors"), "row_ix", "vec", k=5, ask=F.col("row") % 100 == 0, probes=None, shard_rows=20_000)
+    mine = members.where(F.col("row") % 100 == 0).select(F.col("row").alias("row_ix"), F.col("rep").alias("row")).distinct()
+    return near.join(mine, "row").select("row_ix", F.col("near").alias("near_row_ix"), F.round("similarity", 4).alias("similarity"), "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
@@ -100,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_matches": p3_matches,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
     "p8_found": p8_found,
@@ -155,3 +169,12 @@ _FUSED = _FUSED.format(
 )
 SQL["p1_fused"] = _FUSED + "SELECT request_id, row_ix, round(fused, 6) AS fused, CAST(used AS INT) AS used FROM f"
 SQL["p1_found"] = _FUSED + "SELECT request_id, row_ix FROM f QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 12) DESC, row_ix) = 1"
+
+SQL["p5_found"] = """
+WITH v AS (
+  SELECT DISTINCT row_ix, CAST(vec AS DOUBLE[]) AS v FROM recipe_vectors
+  WHERE vec IS NOT NULL AND len(vec) = 64 AND NOT list_contains(list_transform(vec, lambda x: CAST(x AS VARCHAR) IN ('nan', '-nan', 'inf', '-inf')), true)
+), n AS (SELECT row_ix, v, sqrt(list_dot_product(v, v)) AS s FROM v WHERE list_dot_product(v, v) > 0)
+SELECT DISTINCT a.row_ix AS row_ix_a, b.row_ix AS row_ix_b FROM n a JOIN n b ON a.row_ix < b.row_ix
+WHERE list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.9
+"""
