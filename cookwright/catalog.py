@@ -4,15 +4,205 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from cookwright import catalog_sql
+from cookwright.functions import text as T
+from cookwright.functions.query_text import from_ingredients
+from cookwright.operators import index as I
+from cookwright.operators import linkage, present, rank
+from cookwright.operators.evaluate import aggregates, evaluate
 from cookwright.operators.quantities import quantities
 from cookwright.plans.frames import table
+from cookwright.sources.recipes import hash_sample
+from cookwright.streaming.limiter import limited
+from cookwright.streaming.requests import read_requests
+
+ASKED = catalog_sql.ASKED
+TEXT = catalog_sql.TEXT
+
+
+def _recipes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_recipes")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return quantities(table(spark, d, "sample_recipes"), table(spark, d, "unit_factors"))
+    return quantities(_recipes(spark, d), table(spark, d, "unit_factors"))
+
+
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).select("row_ix", T.normalize(F.col("name")).alias("name_norm"))
+
+
+def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
+    url = T.canonical_url(T.safe_url(F.col("url")))
+    return _recipes(spark, d).select("row_ix", url.alias("url"), T.host_of(url).alias("host"))
+
+
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    p, c = F.col("prep_time"), F.col("cook_time")
+    return _recipes(spark, d).select("row_ix", T.minutes(p).alias("prep_minutes"), T.minutes(c).alias("cook_minutes"), T.total_minutes(p, c).alias("total_minutes"))
+
+
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).groupBy(T.category(F.col("name")).alias("category")).agg(F.count("*").alias("n"))
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return I.term_table(_recipes(spark, d))
+
+
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return I.postings(_terms(spark, d))
+
+
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return I.document_frequency(I.postings(_terms(spark, d)))
+
+
+def distinctiveness(spark: SparkSession, d: str) -> DataFrame:
+    return I.distinctiveness(_terms(spark, d)).select("row_ix", F.round("distinctiveness", 6).alias("distinctiveness"))
+
+
+def ingredient_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Explicit-ingredient search: the ten best recipes, one for each title."""
+    wanted = F.array(*(F.lit(t) for t in ASKED))
+    scored = _terms(spark, d).select("row_ix", "name_norm", rank.ingredient_score(wanted, F.col("terms")).alias("final"), F.lit(1).alias("request_id"), F.lit(10).alias("limit")).where("final > 0")
+    top = rank.standard_top(scored).select("row_ix", "rank")
+    return top.join(scored, "row_ix").select("row_ix", "name_norm", F.round("final", 6).alias("score"), "rank")
+
+
+def exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """The recipes left when some ingredients, and spicy dishes, are ruled out."""
+    out = rank.excluded(F.col("terms"), F.col("name_norm"), F.array(F.lit("garlic clove"), F.lit("salmon")), F.lit(True))
+    return _terms(spark, d).where(~out).select("row_ix")
+
+
+def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten texts nearest to a request by character TF-IDF."""
+    t = _terms(spark, d)
+    scored = I.lexical_scores(t, I.lexical_model(I.lexical_vocabulary(t)), [(1, TEXT)])
+    return scored.select("row_ix", F.round("lexical", 6).alias("lexical")).orderBy(F.desc("lexical"), "row_ix").limit(10)
+
+
+def lexical_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The grams that the lexical index keeps."""
+    return I.lexical_vocabulary(_terms(spark, d)).select("gram", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vectors nearest to the first one, by an exact scan."""
+    v = table(spark, d, "recipe_vectors").where("vec is not null and size(vec) = 64 and forall(vec, x -> not isnan(x)) and exists(vec, x -> x <> 0)").select("row_ix", I.l2_normalize(F.col("vec")).alias("v")).dropDuplicates(["row_ix"])
+    first = v.orderBy("row_ix").limit(1).select(F.col("row_ix").alias("asked"), F.col("v").alias("q"))
+    near = v.crossJoin(F.broadcast(first)).where("row_ix <> asked").select("row_ix", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), I.dot(F.col("v"), F.col("q")))), 5).alias("cosine"))
+    return near.orderBy(F.desc("cosine"), "row_ix").limit(10)
+
+
+def distinct_titles_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 most distinctive recipes, one for each title."""
+    t = _terms(spark, d)
+    scored = t.select("row_ix", "name_norm").join(I.distinctiveness(t), "row_ix").select("row_ix", "name_norm", F.round("distinctiveness", 6).alias("final"), F.lit(1).alias("request_id"), F.lit(20).alias("limit"))
+    return rank.standard_top(scored).select("row_ix", "rank")
+
+
+def strict_linkage(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "method_corpus").select(F.coalesce("corpus", F.lit("")).alias("corpus"), "record_key", F.col("record_key").alias("ordinal"), "title", "ingredients", F.col("instructions"))
+    return linkage.strict_matches(_recipes(spark, d), m, any_source=True, least=0.5).select("row_ix", "record_key", "score")
+
+
+def hashed_sample(spark: SparkSession, d: str) -> DataFrame:
+    return hash_sample(_recipes(spark, d).select("row_ix", "id"), 100, ident="row_ix")
+
+
+def round_robin(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 method records when the corpora take turns."""
+    m = table(spark, d, "method_corpus").where("corpus is not null").select("corpus", "record_key")
+    n = m.withColumn("turn", F.row_number().over(Window.partitionBy("corpus").orderBy("record_key"))).where(F.col("turn") <= 200)
+    return n.orderBy("turn", "corpus").limit(200)
+
+
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    v = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.count(v).alias("with_k"), F.sum(v).alias("sum_k"))
+
+
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    """By origin of the instructions: recipes, and the share of all that have any."""
+    r = _recipes(spark, d)
+    whole = r.agg(F.bround(F.avg(F.col("instructions").isNotNull().cast("double")), 4).alias("share"))
+    return r.groupBy(F.coalesce("instruction_source", F.lit("none")).alias("origin")).agg(F.count("*").alias("recipes")).crossJoin(F.broadcast(whole))
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).select("row_ix", present.facts(F.col("prep_time"), F.col("cook_time"), F.col("recipe_yield"), F.col("ingredients")).alias("facts"), present.source_label(F.col("source")).alias("source_label"))
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).select("row_ix", present.summary(F.col("name"), F.col("ingredients"), T.unquote(T.unescape(F.col("description")))).alias("summary"))
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).select("row_ix", F.posexplode(present.steps(T.clean_method(F.col("instructions")))).alias("step_no", "step"))
+
+
+def marked_steps(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).select("row_ix", present.format_html(F.col("instructions"), False).alias("html"))
+
+
+def _index(spark: SparkSession, d: str) -> I.RecipeIndex:
+    return I.RecipeIndex.build(_recipes(spark, d), I.HashEmbedding())
+
+
+def _requests(spark: SparkSession, d: str):
+    return read_requests(table(spark, d, "search_requests").where("request_id % 100 = 0"))
+
+
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every request whose id is divisible by 100, against all recipes, with scores and reasons."""
+    return rank.search(_index(spark, d), _requests(spark, d))
+
+
+def search_responses(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return rank.responses(index, rank.search(index, _requests(spark, d)))
+
+
+def search_metadata(spark: SparkSession, d: str) -> DataFrame:
+    index, asked = _index(spark, d), _requests(spark, d)
+    meta = rank.metadata(index, asked, rank.search(index, asked))
+    return meta.join(rank.notices(meta), "request_id")
+
+
+def discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Varied ideas for a request without any constraint."""
+    from cookwright.functions.query_text import interpret
+
+    return rank.search(_index(spark, d), [rank.Request(1, interpret("surprise me"), limit=20)])
+
+
+def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Hit@5, MRR and violated exclusions of the evaluation cases whose item_id is divisible by 100."""
+    cases = table(spark, d, "eval_cases").where("item_id % 100 = 0")
+    return aggregates(evaluate(_index(spark, d), cases), cases)
+
+
+def rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    return limited(table(spark, d, "events"), "event_id", "user_id", "ts")
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    return ingredient_topk(spark, d)
+
 
+assert from_ingredients(ASKED).ingredients == ASKED, "the SQL of ingredient_topk is written for these terms"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p6_found, normalize_text, canonical_urls, durations, category_counts, postings, document_frequency, distinctiveness, ingredient_topk, exclusions, lexical_topk, lexical_vocabulary,
+        cosine_topk, distinct_titles_topk, strict_linkage, hashed_sample, round_robin, json_fields, coverage, facts, summaries, steps, marked_steps, hybrid_search, search_responses,
+        search_metadata, discovery, retrieval_quality, rate_limit,
+    )
+}
+SQL: dict[str, str] = catalog_sql.SQL

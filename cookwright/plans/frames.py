@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a Parquet table in the same folder: smaller on disk, and read by column.
+
+    Row order and partitions may change. The table is dropped when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``limit`` rows, otherwise as it is.
 
@@ -52,3 +74,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_index(df: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """``df`` with a contiguous index in its present order, without gathering it in one task.
+
+    The rows are materialised, numbered within their partition, and shifted by the sizes of the partitions before.
+    """
+    kept = cut(df).withColumn("_m", F.monotonically_increasing_id())
+    kept = kept.withColumn("_p", F.shiftright("_m", 33)).withColumn("_k", F.col("_m").bitwiseAND((1 << 33) - 1))
+    at, offsets = first, []
+    for p, n in sorted((r[0], r[1]) for r in kept.groupBy("_p").count().collect()):  # one row for each partition
+        offsets.append((p, at))
+        at += n
+    if not offsets:
+        return kept.select(*df.columns, F.col("_k").alias(name))
+    shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p long, _o long"))
+    return kept.join(shift, "_p").select(*df.columns, (F.col("_k") + F.col("_o")).alias(name))
