@@ -200,9 +200,11 @@ def search(index: RecipeIndex, requests: list[Request]) -> DataFrame:
     for at in range(0, len(requests), BLOCK):
         part = _search_block(index, requests[at : at + BLOCK])
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("a batch needs at least one request")
-    return out
+    return index.terms.sparkSession.createDataFrame([], RESULT) if out is None else out
+
+
+#: Columns of search results.
+RESULT = "request_id long, rank int, row_ix long, strategy string, final double, semantic double, lexical double, ingredient double, distinctiveness double, matched array<string>, reason string, warning string, semantic_degraded boolean, low_signal boolean"
 
 
 def _search_block(index: RecipeIndex, requests: list[Request]) -> DataFrame:
