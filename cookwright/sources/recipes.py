@@ -126,6 +126,21 @@ def _unescaped_lines(s: pd.Series) -> pd.Series:
     return s.map(lambda a: None if a is None else [html.unescape(html.unescape(x)) if x and "&" in x else x for x in a])
 
 
+def clean_method(lines: list[str]) -> str:
+    """As :func:`cookwright.functions.text.clean_method`, over lines with entities."""
+    bare = lambda t: "".join(t.split()).casefold()
+    flat = [" ".join(x.split()) for t in lines for x in html.unescape(html.unescape(t)).replace("ADVERTISEMENT", "").splitlines()]
+    flat = [x for x in flat if x]
+    if len(flat) > 1 and bare(flat[0]) == bare(" ".join(flat[1:])):
+        flat = flat[1:]
+    return "\n".join(x for k, x in enumerate(flat) if not k or bare(x) != bare(flat[k - 1]))
+
+
+@F.pandas_udf(StringType())
+def _method_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda a: "" if a is None else clean_method([x for x in a if x is not None]))
+
+
 def _clean_lines(lines: Column, strip: str | None) -> Column:
     less = F.transform(_unescaped_lines(lines), lambda x: F.replace(x, F.lit("ADVERTISEMENT"), F.lit("")))
     trimmed = F.transform(less, (lambda x: F.btrim(x, F.lit(strip))) if strip else (lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
@@ -227,10 +242,9 @@ def load_methods(spark: SparkSession, folder: str) -> DataFrame:
     if not files:
         raise DatasetError(f"no method files in {folder}")
     r, v = raw_records(spark, files), F.col("v")
-    body = F.array_join(_clean_lines(_lines(v, ("instructions",), True), None), "\n")
     out = r.select(
         corpus_of(F.col("file")).alias("corpus"), F.col("key").alias("record_key"), (F.col("file_no") * F.lit(1 << 40) + F.col("ordinal")).alias("ordinal"),
-        T.blank_to_null(T.unescape(_first(v, ("title", "name")))).alias("title"), _clean_lines(_lines(v, ("ingredients",), False), " \t,-").alias("ingredients"), T.clean_method(body).alias("instructions"),
+        T.blank_to_null(T.unescape(_first(v, ("title", "name")))).alias("title"), _clean_lines(_lines(v, ("ingredients",), False), " \t,-").alias("ingredients"), _method_text(_lines(v, ("instructions",), True)).alias("instructions"),
     )
     return out.where(F.col("title").isNotNull() & (F.size("ingredients") > 0) & (F.col("instructions") != ""))
 
