@@ -38,13 +38,13 @@ def _hashed(rows: DataFrame, ident: str, lines: str, least: int) -> DataFrame:
     return hashed.select("*", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"))
 
 
-def _own(size: int, percent: int) -> int:
+def _own(size: int, percent: int, least_shared: int) -> int:
     """Tokens that a set of this size shares at least with any similar set."""
-    return -(-size * percent // 100)
+    return max(least_shared, -(-size * percent // 100))
 
 
 def _signatures(least_shared: int, percent: int):
-    """Arrow batches of sets to ``(kind, sig, row)``: subset hashes of small sets, token hashes of large ones."""
+    """Arrow batches of sets to ``row, sig``: the hashes of the subsets of small sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +54,7 @@ def _signatures(least_shared: int, percent: int):
                 by.setdefault((n, len(ts)), []).append(i)
             out_row, out_sig = [], []
             for (n, have), at in by.items():
-                reach = have - _own(n, percent) + least_shared
+                reach = have - _own(n, percent, least_shared) + least_shared
                 if reach < least_shared:
                     continue
                 m = np.array([tokens[i][:reach] for i in at], dtype=np.int64).view(np.uint64)
@@ -89,8 +89,8 @@ def similar_sets(rows: DataFrame, ident: str, lines: str, percent: int = 60, lea
     # only what several sets have; the rarest first, ties by hash, the same order in every set
     kept = tokens.join(often, "t").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "t"))), lambda x: x.t).alias("tokens"))
     least_shared = max(1, -(-2 * least * percent // (100 + percent)))
-    own = F.ceil(F.col("size") * percent / 100).cast("int")
-    cand = cut(kept.join(reps.select("rep", "size"), "rep").where(F.size("tokens") >= F.greatest(own, F.lit(least_shared))))
+    own = F.greatest(F.lit(least_shared), F.ceil(F.col("size") * percent / 100).cast("int"))
+    cand = cut(kept.join(reps.select("rep", "size"), "rep").where(F.size("tokens") >= own))
     bound = max(n for n in range(least_shared, 200) if comb(n, least_shared) <= MOST_SUBSETS)
     reach = F.size("tokens") - own + least_shared
     sigs = cand.where(reach <= bound).select("rep", "size", "tokens").mapInArrow(_signatures(least_shared, percent), "row long, sig long")
