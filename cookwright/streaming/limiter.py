@@ -60,21 +60,17 @@ def limited(events: DataFrame, ident: str, client: str, ts: str, client_limit: i
 def limited_stream(events: DataFrame, ident: str, client: str, ts: str, client_limit: int = 5) -> DataFrame:
     """The limit for each client over a stream: state is the admitted times of the last minute, at most the limit.
 
-    Events of a micro-batch are taken in order of time; state of a client that is silent is dropped after a time-out.
+    Events of a micro-batch are taken in order of time. A client that is silent keeps its few times in the state store.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         mine = deque(state.get[0]) if state.exists else deque()
         pdf = pd.concat(list(frames)).sort_values(["us", "ident"])
         allowed = [_admit(us / 1e6, mine, None, client_limit, None) for us in pdf.us]
         state.update((list(mine),))
-        state.setTimeoutDuration(120_000)
         yield pdf[["ident", "client", "us"]].assign(allowed=allowed)
 
     cols = events.select(F.col(ident).alias("ident"), F.coalesce(F.col(client).cast("string"), F.lit("")).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).where("us is not null")
     kind = dict(events.dtypes)[ident]
-    out = cols.groupBy("client").applyInPandasWithState(step, f"ident {kind}, client string, us long, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    out = cols.groupBy("client").applyInPandasWithState(step, f"ident {kind}, client string, us long, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
     return out.select(F.col("ident").alias(ident), F.col("client").alias(client), F.timestamp_micros("us").alias(ts), "allowed")

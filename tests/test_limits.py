@@ -46,9 +46,8 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(events(), "id long, client string, ts timestamp")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = limited_stream(s, "id", "client", "ts").writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = limited_stream(s, "id", "client", "ts").writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert {r.id: r.allowed for r in spark.table("limits").collect()} == plain(events(), 5, None)
 
 
