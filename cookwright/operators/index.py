@@ -48,8 +48,8 @@ def term_table(recipes: DataFrame) -> DataFrame:
     """``row_ix, name, name_norm, terms, text``: what ranking needs of each recipe. No shuffle but where
     the input has fewer partitions than there are cores.
 
-    Terms in column expressions (:func:`cookwright.functions.text.terms`) are equal but were measured ten times
-    slower, as array functions are interpreted; so this is one Arrow pass.
+    Terms in column expressions (:func:`cookwright.functions.text.terms`) are equal, but queries with them were measured two to
+    three times slower, as array functions are interpreted; so this is one Arrow pass.
     """
     cols = recipes.select(F.col("row_ix").cast("long").alias("row_ix"), "name", "ingredients")
     width = recipes.sparkSession.sparkContext.defaultParallelism

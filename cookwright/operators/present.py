@@ -77,7 +77,7 @@ def _summaries(name: pd.Series, lines: pd.Series, description: pd.Series) -> pd.
 
 
 def summary(name: Column, lines: Column, description: Column) -> Column:
-    """:func:`summary_of` as a column. One Arrow pass: as array functions it was measured a thousand times slower."""
+    """:func:`summary_of` as a column. One Arrow pass: as array functions 300 rows took 220 s, so 6 s."""
     return _summaries(name, lines, description)
 
 
