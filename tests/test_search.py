@@ -153,3 +153,14 @@ def test_strict_linkage(spark):
     m = spark.createDataFrame([("recipe_box_allrecipes", "a", 1, "SOUP", ["1 egg", "milk"], "Boil."), ("recipe_box_epicurious", "b", 1, "Soup", ["egg", "milk"], "No."), ("recipe_box_epicurious", "c", 2, "Pie", ["apples", "flour"], "Bake."), ("recipe_box_epicurious", "d", 3, "Pie", ["apples", "flour"], "Fry."), ("recipe_box_allrecipes", "e", 2, "Stew", ["beef", "carrot", "onion", "leek"], "Stew."), ("recipe_box_allrecipes", "f", 3, "Cake", ["egg", "sugar"], "Mix.")], "corpus string, record_key string, ordinal long, title string, ingredients array<string>, instructions string")
     assert [(x.row_ix, x.record_key, x.score) for x in linkage.strict_matches(r, m).collect()] == [(1, "a", 1.0)]
     assert {x.row_ix for x in linkage.strict_matches(r, m, any_source=True).collect()} == {4}
+
+
+def test_retrieval_quality_takes_every_case(spark, monkeypatch):
+    from cookwright import catalog
+
+    all_ = spark.createDataFrame([(k, f"q{k}") for k in (1, 2, 99, 100, 101)], "item_id long, query_text string")
+    monkeypatch.setattr(catalog, "table", lambda *_: all_)
+    monkeypatch.setattr(catalog, "_index", lambda *_: None)
+    monkeypatch.setattr(catalog, "evaluate", lambda _, cases: cases)
+    monkeypatch.setattr(catalog, "aggregates", lambda rows, cases: rows.join(cases, "item_id"))
+    assert {r.item_id for r in catalog.retrieval_quality(spark, "").collect()} == {1, 2, 99, 100, 101}
