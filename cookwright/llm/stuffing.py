@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cookwright.operators.quantities import parse_amounts
+from cookwright.plans.frames import small, stored
 
 #: Words of a phrase shingle of a segment that is neither content nor list.
 PHRASE = 2
@@ -138,19 +139,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "host", "total", "listed", "phrases", "weights"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, grams``: the distinct phrases of the lines of each text, whatever its lines are."""
+    for batch in batches:
+        rows = []
+        for host, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found = set()
+            for line in (text or "").split("\n"):
+                words = [w.lower() for w in _WORD.findall(line)]
+                found.update(" ".join(words[i : i + PHRASE]) for i in range(max(1, len(words) - PHRASE + 1)))
+                found.update(words)  # a segment may be one word
+            rows.append((host, [_hash([x]) for x in found]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.list_(pa.int64())))], names=["host", "grams"])
+
+
 def stuffed_pages(documents: DataFrame, doc: str, text: str, url: str, source: str) -> DataFrame:
     """``doc, words, list_words, share, stuffed`` for every page with at least one word.
 
     ``host`` is the url's host, or the source where there is no url. A page is stuffed if more than half of its
-    words are list words. Null and empty texts give no row; a repeated row counts once; texts are read whole. Only
-    phrases of undecided segments are shuffled, each once for a page, and pre-aggregated by host; no list of pages
-    is ever collected for a phrase.
+    words are list words. Null and empty texts give no row; a repeated row counts once; texts are read whole. The hosts
+    of the phrases of undecided segments are counted over the shingles of all texts, which are cut to those phrases
+    before they are shuffled and pre-aggregated by host; no list of pages is ever collected for a phrase.
     """
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lower(F.col(source)), F.lit(""))
-    pages = documents.select(F.col(doc).cast("long").alias("doc"), host.alias("host"), F.col(text).alias("t")).mapInArrow(_scan, _DDL)
+    texts = documents.select(F.col(doc).cast("long").alias("doc"), host.alias("host"), F.col(text).alias("t"))
+    pages = stored(texts.mapInArrow(_scan, _DDL))
     sure = pages.select("doc", "total", "listed", F.lit(0.0).alias("w"), F.lit(None).cast("long").alias("p"), "host")
     undecided = pages.where("size(phrases) > 0").select("doc", "host", F.explode(F.arrays_zip("phrases", "weights")).alias("z")).select("doc", "host", F.col("z.phrases").alias("p"), F.col("z.weights").alias("w"))
-    replicated = undecided.select("p", "host").distinct().groupBy("p").count().where(F.col("count") >= HOSTS).select("p")
+    wanted = small(undecided.select("p").distinct())
+    used = texts.select("host", "t").mapInArrow(_shingles, "host string, grams array<long>").select(F.explode("grams").alias("p"), "host").join(wanted, "p", "left_semi")
+    # a phrase over a link that was taken out is in no shingle
+    used = used.union(undecided.select("p", "host")).distinct()
+    replicated = used.groupBy("p").count().where(F.col("count") >= HOSTS).select("p")
     stitched = undecided.join(replicated, "p", "left_semi").groupBy("doc").agg(F.sum("w").alias("w"))
     per = sure.groupBy("doc").agg(F.max("total").alias("words"), F.max("listed").alias("listed"))
     joined = per.join(stitched, "doc", "left").select(F.col("doc").alias(doc), "words", F.round(F.col("listed") + F.coalesce("w", F.lit(0.0)), 3).alias("list_words"))

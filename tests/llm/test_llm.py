@@ -220,3 +220,12 @@ def test_stuffing(spark):
     got = {r.id: r.stuffed for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").collect()}
     assert got == {1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False, 10: True, 11: False}
     assert stuffing.stuffed_pages(df.limit(0), "id", "text", "url", "source").count() == 0
+
+
+def test_phrases_are_counted_over_all_texts(spark):
+    prose = [f"We thought {x} was what the neighbours asked us about." for x in ("seaside velvet lanterns", "copper harbour whistles", "painted orchard ladders")]
+    stitched = "\n".join(["seaside velvet lanterns", "copper harbour whistles", "painted orchard ladders"])
+    rows = [(k, " ".join(prose), f"https://h{k}.example/p", None) for k in range(4)] + [(9, stitched, "https://h9.example/p", None)]
+    rows += [(20 + k, f"Another page number{k} that speaks of the weather and of its garden{k}.", f"https://o{k}.example/p", None) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, text string, url string, source string")
+    assert {r.id for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").where("stuffed").collect()} == {9}
