@@ -3,15 +3,16 @@
 Each page is split into segments. Sentences and stated ingredients are content; links, hash tags, article numbers,
 menus and heaps of keywords are list words. What is neither (short phrases without a verb or an amount) is decided
 by replication: its phrase shingles are exploded, the hosts that use each are counted over the whole corpus, and
-the segment counts as stitched together if other hosts, or the page itself again and again, use its phrases. A page
-is flagged when its list words hold more than half of its words.
+the segment counts as stitched together if the page itself uses its phrases again and again, or other hosts do and
+far more often than they would by chance. Neither depends on the size of the corpus. A page is flagged when its list
+words hold more than half of its words.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +24,13 @@ from cookwright.plans.frames import small, stored
 
 #: Words of a phrase shingle of a segment that is neither content nor list.
 PHRASE = 2
-#: Hosts that have to use a phrase before it counts as replicated.
+#: Hosts that have to use a phrase before its association is judged.
 HOSTS = 3
+#: Segments of a page that have to share a phrase before it counts as repeated.
+REPEATS = 3
+#: Normalised pointwise mutual information of a phrase's words over hosts from which it counts as replicated: 0 where
+#: as many hosts use the phrase as would by chance, 1 where its words stand only in it, whatever the number of hosts.
+ASSOCIATION = 0.5
 #: Share of list words above which a page is flagged.
 SHARE = 0.5
 #: Share of function words that makes words between full stops a sentence.
@@ -109,46 +115,57 @@ def segments(text: str) -> tuple[int, int, list[list[str]]]:
     return total, listed, open_
 
 
-def _hash(words: list[str]) -> int:
+def _grams(words: tuple[str, ...]) -> list[tuple[str, ...]]:
+    return [words[i : i + PHRASE] for i in range(max(1, len(words) - PHRASE + 1))]
+
+
+def _hash(words: Sequence[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).lower()) - (1 << 63)
 
 
-_DDL = "doc long, host string, total int, listed int, phrases array<long>, weights array<double>"
+_DDL = "doc long, host string, total int, listed double, phrases array<struct<p: long, a: long, b: long, w: double>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    phrase = pa.struct([("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.list_(phrase)]
     for batch in batches:
         rows = []
         for doc, host, text in zip(*(c.to_pylist() for c in batch.columns)):
             if not text or not (found := segments(text))[0]:
                 continue
             total, listed, open_ = found
-            weight: dict[int, float] = {}
+            weight: dict[tuple[str, ...], float] = {}
             if 2 * (listed + sum(map(len, open_))) > total:  # else no replication can flag the page
-                own = Counter(tuple(w.lower() for w in s) for s in open_)
-                for s in open_:
-                    if own[tuple(w.lower() for w in s)] >= HOSTS:  # the page repeats the segment itself
+                lower = [tuple(w.lower() for w in s) for s in open_]
+                own = Counter(lower)
+                shared = Counter(g for s in lower for g in set(_grams(s)))
+                for s in lower:
+                    if own[s] >= REPEATS:  # the page repeats the segment itself
                         listed += len(s)
                         continue
-                    grams = [_hash(s[i : i + PHRASE]) for i in range(max(1, len(s) - PHRASE + 1))]
+                    grams = _grams(s)
                     for g in grams:
-                        weight[g] = weight.get(g, 0.0) + len(s) / len(grams)
-            rows.append((doc, host, total, listed, list(weight), list(weight.values())))
+                        if shared[g] >= REPEATS:
+                            listed += len(s) / len(grams)
+                        elif len(g) == PHRASE:  # a word alone has no association
+                            weight[g] = weight.get(g, 0.0) + len(s) / len(grams)
+            phrases = [{"p": _hash(g), "a": _hash(g[:1]), "b": _hash(g[1:]), "w": w} for g, w in weight.items()]
+            rows.append((doc, host, total, float(listed), phrases))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "host", "total", "listed", "phrases", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "host", "total", "listed", "phrases"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, grams``: the distinct phrases of the lines of each text, whatever its lines are."""
+    """``host, grams``: the distinct words and phrases of the lines of each text, whatever its lines are."""
     for batch in batches:
         rows = []
         for host, text in zip(*(c.to_pylist() for c in batch.columns)):
             found = set()
             for line in (text or "").split("\n"):
                 words = [w.lower() for w in _WORD.findall(line)]
-                found.update(" ".join(words[i : i + PHRASE]) for i in range(max(1, len(words) - PHRASE + 1)))
-                found.update(words)  # a segment may be one word
+                found.update(words)
+                found.update(map(" ".join, zip(words, words[1:])))
             rows.append((host, [_hash([x]) for x in found]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.list_(pa.int64())))], names=["host", "grams"])
@@ -159,19 +176,25 @@ def stuffed_pages(documents: DataFrame, doc: str, text: str, url: str, source: s
 
     ``host`` is the url's host, or the source where there is no url. A page is stuffed if more than half of its
     words are list words. Null and empty texts give no row; a repeated row counts once; texts are read whole. The hosts
-    of the phrases of undecided segments are counted over the shingles of all texts, which are cut to those phrases
-    before they are shuffled and pre-aggregated by host; no list of pages is ever collected for a phrase.
+    of the phrases of undecided segments and of their words are counted over the shingles of all texts, which are cut
+    to those before they are shuffled and pre-aggregated by host; no list of pages is ever collected for a phrase.
     """
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lower(F.col(source)), F.lit(""))
     texts = documents.select(F.col(doc).cast("long").alias("doc"), host.alias("host"), F.col(text).alias("t"))
     pages = stored(texts.mapInArrow(_scan, _DDL))
     sure = pages.select("doc", "total", "listed", F.lit(0.0).alias("w"), F.lit(None).cast("long").alias("p"), "host")
-    undecided = pages.where("size(phrases) > 0").select("doc", "host", F.explode(F.arrays_zip("phrases", "weights")).alias("z")).select("doc", "host", F.col("z.phrases").alias("p"), F.col("z.weights").alias("w"))
-    wanted = small(undecided.select("p").distinct())
-    used = texts.select("host", "t").mapInArrow(_shingles, "host string, grams array<long>").select(F.explode("grams").alias("p"), "host").join(wanted, "p", "left_semi")
+    undecided = pages.where("size(phrases) > 0").select("doc", "host", F.explode("phrases").alias("z")).select("doc", "host", "z.*")
+    wanted = small(undecided.select(F.explode(F.array("p", "a", "b")).alias("g")).distinct())
+    used = texts.select("host", "t").mapInArrow(_shingles, "host string, grams array<long>").select(F.explode("grams").alias("g"), "host").join(wanted, "g", "left_semi")
     # a phrase over a link that was taken out is in no shingle
     used = used.union(undecided.select("p", "host")).distinct()
-    replicated = used.groupBy("p").count().where(F.col("count") >= HOSTS).select("p")
+    n = stored(used.groupBy("g").agg(F.count("*").alias("n")))
+    count = lambda c: n.select(F.col("g").alias(c), F.col("n").alias(f"n_{c}"))
+    hosts = texts.agg(F.count_distinct("host").alias("hosts"))
+    counted = undecided.select("p", "a", "b").distinct().join(count("p").where(F.col("n_p") >= HOSTS), "p").join(count("a"), "a").join(count("b"), "b").crossJoin(F.broadcast(hosts))
+    # a phrase that all hosts use says nothing
+    association = F.log(F.col("n_p") * F.col("hosts") / (F.col("n_a") * F.col("n_b"))) / F.log(F.col("hosts") / F.col("n_p"))
+    replicated = counted.where((F.col("n_p") < F.col("hosts")) & (association >= ASSOCIATION)).select("p")
     stitched = undecided.join(replicated, "p", "left_semi").groupBy("doc").agg(F.sum("w").alias("w"))
     per = sure.groupBy("doc").agg(F.max("total").alias("words"), F.max("listed").alias("listed"))
     joined = per.join(stitched, "doc", "left").select(F.col("doc").alias(doc), "words", F.round(F.col("listed") + F.coalesce("w", F.lit(0.0)), 3).alias("list_words"))

@@ -229,3 +229,15 @@ def test_phrases_are_counted_over_all_texts(spark):
     rows += [(20 + k, f"Another page number{k} that speaks of the weather and of its garden{k}.", f"https://o{k}.example/p", None) for k in range(30)]
     df = spark.createDataFrame(rows, "id long, text string, url string, source string")
     assert {r.id for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").where("stuffed").collect()} == {9}
+
+
+def test_stuffing_does_not_depend_on_the_number_of_hosts(spark):
+    rng = random.Random(10)
+    words = [f"word{k}" for k in range(40)]
+    prose = lambda: " ".join(f"It is the {rng.choice(words)} {rng.choice(words)} of the {rng.choice(words)}." for _ in range(12))
+    places = "\n".join(f"celeriac skewers {x} Town{k}" for k, x in enumerate(["near", "around", "in"] * 6))
+    chance = "\n".join(f"{a} {b}" for a, b in zip(words[::2], words[1::2]))  # words that meet in prose by chance
+    for n in (40, 800):
+        rows = [(k, prose(), f"https://h{k}.example/p", None) for k in range(n)] + [(-1, places, "https://a.example/p", None), (-2, chance, "https://b.example/p", None)]
+        df = spark.createDataFrame(rows, "id long, text string, url string, source string")
+        assert {r.id for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").where("stuffed").collect()} == {-1}, n
