@@ -24,7 +24,7 @@ from cookwright.functions.encoding import repair
 from cookwright.plans.frames import cut, small, stored
 
 #: Sort keys, and neighbours on each side that a record is compared with under each.
-KEYS, WINDOW = 8, 10
+KEYS, WINDOW = 12, 30
 #: Least similarities of titles and of foods, and of the whole, for a match.
 LEAST_TITLE, LEAST_FOODS, LEAST = 0.55, 0.42, 0.71
 WEIGHTS = {"title": 0.4, "foods": 0.5, "publisher": 0.1}
@@ -134,7 +134,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(KEYS):
             # every other key leaves the title out, for titles that hardly agree as written
             first = part(f, 63 - k) if k % 2 else part(t, k)
-            keys[:, k] = (k << 60) | first << 40 | part(f, k) << 20 | part(f, k + KEYS)
+            keys[:, k] = (k - KEYS // 2 << 60) | first << 40 | part(f, k) << 20 | part(f, k + KEYS)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("side"), pa.array(sketch(f)), pa.array(sketch(t)), pa.array(pub), listed], names=["uid", "side", "food", "title", "pub", "keys"])
 

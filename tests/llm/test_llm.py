@@ -241,3 +241,9 @@ def test_stuffing_does_not_depend_on_the_number_of_hosts(spark):
         rows = [(k, prose(), f"https://h{k}.example/p", None) for k in range(n)] + [(-1, places, "https://a.example/p", None), (-2, chance, "https://b.example/p", None)]
         df = spark.createDataFrame(rows, "id long, text string, url string, source string")
         assert {r.id for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").where("stuffed").collect()} == {-1}, n
+
+
+def test_windows_hold_thirty_neighbours():
+    n = 26  # other foods than the first and the last record
+    t = {"uid": np.arange(n), "side": np.array([0] * (n - 1) + [1]), "food": np.array([0] + [-1] * (n - 2) + [0]), "title": np.zeros(n, dtype=np.int64), "pub": np.zeros(n, dtype=np.int32)}
+    assert [(int(a), int(b)) for a, b in zip(*linkage._window_pairs(t))] == [(0, n - 1)]
