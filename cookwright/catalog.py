@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from cookwright import catalog_sql
 from cookwright.functions import text as T
-from cookwright.functions.query_text import from_ingredients
+from cookwright.functions.query_text import from_ingredients, interpret
 from cookwright.operators import index as I
 from cookwright.operators import linkage, present, rank
 from cookwright.operators.evaluate import aggregates, evaluate
 from cookwright.operators.quantities import quantities
-from cookwright.plans.frames import table
+from cookwright.plans.frames import stored, table
 from cookwright.sources.recipes import hash_sample
 from cookwright.streaming.limiter import limited
 from cookwright.streaming.requests import read_requests
@@ -66,11 +66,10 @@ def distinctiveness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingredient_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Explicit-ingredient search: the ten best recipes, one for each title."""
-    wanted = F.array(*(F.lit(t) for t in ASKED))
-    scored = _terms(spark, d).select("row_ix", "name_norm", rank.ingredient_score(wanted, F.col("terms")).alias("final"), F.lit(1).alias("request_id"), F.lit(10).alias("limit")).where("final > 0")
-    top = rank.standard_top(scored).select("row_ix", "rank")
-    return top.join(scored, "row_ix").select("row_ix", "name_norm", F.round("final", 6).alias("score"), "rank")
+    """Explicit-ingredient search: the ten best recipes, one for each title, by the postings of the wanted terms."""
+    found = rank.postings_scores(I.postings(_terms(spark, d), "n_terms", "name_norm"), {1: ASKED}, "name_norm")
+    top = rank.standard_top(found.withColumn("limit", F.lit(10)).withColumnRenamed("ingredient", "final"))
+    return top.select("row_ix", "name_norm", F.round("final", 6).alias("score"), "rank")
 
 
 def exclusions(spark: SparkSession, d: str) -> DataFrame:
@@ -81,14 +80,15 @@ def exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten texts nearest to a request by character TF-IDF."""
-    t = _terms(spark, d)
-    scored = I.lexical_scores(t, I.lexical_model(I.lexical_vocabulary(t)), [(1, TEXT)])
+    t = stored(_terms(spark, d).select("row_ix", "text"))
+    model = I.lexical_model(I.lexical_vocabulary(t))
+    scored = I.lexical_scores(I.document_vectors(t, model), model, [(1, TEXT)])
     return scored.select("row_ix", F.round("lexical", 6).alias("lexical")).orderBy(F.desc("lexical"), "row_ix").limit(10)
 
 
 def lexical_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """The grams that the lexical index keeps."""
-    return I.lexical_vocabulary(_terms(spark, d)).select("gram", "df", "total", F.round("idf", 6).alias("idf"))
+    return I.lexical_vocabulary(stored(_terms(spark, d).select("text"))).select("gram", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def distinct_titles_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 20 most distinctive recipes, one for each title."""
-    t = _terms(spark, d)
+    t = stored(_terms(spark, d).select("row_ix", "name_norm", "terms"))
     scored = t.select("row_ix", "name_norm").join(I.distinctiveness(t), "row_ix").select("row_ix", "name_norm", F.round("distinctiveness", 6).alias("final"), F.lit(1).alias("request_id"), F.lit(20).alias("limit"))
     return rank.standard_top(scored).select("row_ix", "rank")
 
@@ -154,31 +154,47 @@ def _index(spark: SparkSession, d: str) -> I.RecipeIndex:
     return I.RecipeIndex.build(_recipes(spark, d), I.HashEmbedding())
 
 
-def _requests(spark: SparkSession, d: str):
-    return read_requests(table(spark, d, "search_requests").where("request_id % 100 = 0"))
+def given_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``row_ix, vec``: the delivered vectors at unit length, one a row; of unlike vectors of a row the least."""
+    v = table(spark, d, "recipe_vectors").where(I.usable(F.col("vec"), 64) & F.exists("vec", lambda x: x != 0))
+    return v.groupBy("row_ix").agg(F.min("vec").alias("vec")).select("row_ix", I.l2_normalize(F.col("vec")).alias("vec"))
+
+
+def _batch(spark: SparkSession, d: str) -> tuple[I.RecipeIndex, list[rank.Request]]:
+    index = I.RecipeIndex.build(_recipes(spark, d), I.HashEmbedding(), vectors=given_vectors(spark, d))
+    return index, [rank.Request(*b) for b in catalog_sql.BATCH]
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every request whose id is divisible by 100, against all recipes, with scores and reasons."""
-    return rank.search(_index(spark, d), _requests(spark, d))
+    """A batch of requests of every strategy and mode against all recipes, whose vectors are the delivered ones."""
+    index, asked = _batch(spark, d)
+    return _shown(rank.search(index, asked))
 
 
-def search_responses(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
-    return rank.responses(index, rank.search(index, _requests(spark, d)))
+def _shown(results: DataFrame) -> DataFrame:
+    return results.select("request_id", "rank", "row_ix", "strategy", *(F.round(c, 6).alias(c) for c in ("final", "semantic", "lexical", "ingredient", "distinctiveness")), F.array_join("matched", ", ").alias("matched"), "reason", "low_signal")
 
 
 def search_metadata(spark: SparkSession, d: str) -> DataFrame:
-    index, asked = _index(spark, d), _requests(spark, d)
+    """What is said about the results of the same batch: strategy, numbers, confidence, warnings, notice."""
+    index, asked = _batch(spark, d)
     meta = rank.metadata(index, asked, rank.search(index, asked))
-    return meta.join(rank.notices(meta), "request_id")
+    return meta.join(rank.notices(meta), "request_id").select("request_id", "mode", "query", "kind", "intent", "strategy", "total_recipes", "returned", "confidence", "semantic_available", "semantic_degraded", "retrieval_warning", "notice")
+
+
+def _requests(spark: SparkSession, d: str):
+    return read_requests(table(spark, d, "search_requests").where("request_id % 100 = 0"))
+
+
+def search_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Every request of the table whose id is divisible by 100, against all recipes, with the recipes themselves."""
+    index = _index(spark, d)
+    return rank.responses(index, rank.search(index, _requests(spark, d)))
 
 
 def discovery(spark: SparkSession, d: str) -> DataFrame:
     """Varied ideas for a request without any constraint."""
-    from cookwright.functions.query_text import interpret
-
-    return rank.search(_index(spark, d), [rank.Request(1, interpret("surprise me"), limit=20)])
+    return _shown(rank.search(_index(spark, d), [rank.Request(*b) for b in _ONE]))
 
 
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -205,4 +221,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_metadata, discovery, retrieval_quality, rate_limit,
     )
 }
-SQL: dict[str, str] = catalog_sql.SQL
+_ASKED_VECTORS = I.HashEmbedding().encode([q.semantic_text for _, q, _, _ in catalog_sql.BATCH]).tolist()
+_ONE = [(1, interpret("surprise me"), "hybrid", 20)]
+SQL: dict[str, str] = {
+    **catalog_sql.SQL,
+    "hybrid_search": catalog_sql.hybrid_search(catalog_sql.BATCH, _ASKED_VECTORS),
+    "search_metadata": catalog_sql.search_metadata(catalog_sql.BATCH, _ASKED_VECTORS, rank.DISCOVERED, rank.ADVENTURE, rank.BROAD, rank.CLOSEST),
+    "discovery": catalog_sql.hybrid_search(_ONE, _ASKED_VECTORS[:1]),
+}

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from cookwright.functions import words as W
+from cookwright.functions.query_text import Interpretation, from_ingredients, interpret, normalize_text, query_terms
 
 #: The wanted ingredients of ``ingredient_topk`` and the request of ``lexical_topk``.
 ASKED = ["coconut milk", "red lentil", "onion"]
 TEXT = "creamy soup with red lentils and coconut milk"
+#: The batch of ``hybrid_search``: number, request, mode, results. Every strategy and mode is among them.
+BATCH: list[tuple[int, Interpretation, str, int]] = [
+    (1, interpret(TEXT), "hybrid", 10), (2, from_ingredients(["chicken", "garlic cloves", "lemon"]), "hybrid", 10), (3, interpret("pasta with tomato without garlic, onion"), "hybrid", 10), (4, interpret("not spicy chicken curry"), "lexical", 10),
+    (5, interpret("salmon pie"), "semantic", 10), (6, interpret("quick vegetarian dinner"), "hybrid", 10), (7, interpret("xqzw vvvkk"), "hybrid", 8), (8, interpret("surprise me"), "hybrid", 10), (9, interpret("something new with salmon but no butter"), "hybrid", 10), (10, interpret("anything"), "lexical", 50),
+    (11, interpret("lax med potatis utan lök"), "hybrid", 10), (12, interpret("algo nuevo con pollo"), "semantic", 10), (13, from_ingredients(["egg", "without milk"]), "lexical", 3),
+]
 
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _MAP = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in W.TOKEN_ALIASES.items()) + "}"
@@ -56,10 +63,11 @@ six AS (SELECT row_ix, idf FROM own JOIN v USING (term) QUALIFY row_number() OVE
 sixes AS (SELECT row_ix, CASE WHEN count(*) >= 2 THEN sum(idf ORDER BY idf DESC) / 6 ELSE 0 END AS raw FROM six GROUP BY row_ix),
 allraw AS (SELECT s.row_ix, CAST(coalesce(raw, 0) AS DOUBLE) AS raw FROM sample_recipes s LEFT JOIN sixes USING (row_ix)),
 p AS (SELECT quantile_cont(raw, 0.2) AS lo, quantile_cont(raw, 0.98) AS hi FROM allraw WHERE raw > 0),
-dist AS (SELECT row_ix, round(greatest(0.0, least(1.0, (raw - lo) / (hi - lo))), 6) AS distinctiveness FROM allraw, p)
+exact AS (SELECT row_ix, greatest(0.0, least(1.0, (raw - lo) / (hi - lo))) AS d FROM allraw, p),
+dist AS (SELECT row_ix, round(d, 6) AS distinctiveness FROM exact)
 """
 _GRAMS = f"""
-docs AS (SELECT row_ix, substring({norm("concat_ws(' ', name, array_to_string(list_filter(ingredients, lambda x: x IS NOT NULL), ' '))")}, 1, 1600) AS t FROM sample_recipes),
+docs AS (SELECT row_ix, {norm("concat_ws(' ', name, array_to_string(list_filter(ingredients, lambda x: x IS NOT NULL), ' '))")} AS t FROM sample_recipes),
 w AS (SELECT row_ix, ' ' || unnest(list_filter(string_split(t, ' '), lambda x: x <> '')) || ' ' AS p FROM docs),
 g AS (
   SELECT row_ix, substring(p, i, 3) AS gram FROM (SELECT row_ix, p, unnest(range(1, len(p) - 1)) AS i FROM w)
@@ -76,6 +84,129 @@ _MIN = lambda c: f"CASE WHEN regexp_matches(trim({c}), '^(?i)PT(\\d+H)?(\\d+M)?$
 _CAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{p}{chr(39)})' for p in ps)} THEN '{c}'" for c, ps in W.CATEGORIES) + " ELSE 'other' END"
 _SPICY = _list(W.SPICY)
 
+
+
+def _str(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _request(k: int, q: Interpretation, mode: str, most: int) -> str:
+    meant = mode != "lexical" and not (q.intent != "search" and not q.ingredients and not q.preferences)
+    if mode != "hybrid":
+        w = (0.0, 1.0, 0.0) if mode == "lexical" or not meant else (1.0, 0.0, 0.0)
+    else:
+        s, x, i = (0.30, 0.15, 0.55) if q.kind == "ingredients" else (0.55, 0.25, 0.20)
+        w = (s, x, i) if meant else (0.0, x / (x + i), i / (x + i))
+    foreign = any(c.isalpha() and not c.isascii() for c in q.original)
+    return f"({k}, {_str(mode)}, {_str(q.intent)}, {most}, {bool(q.preferences)}, {0.45 if foreign else 0.6}, {'spicy' in q.excluded_preferences}, {meant}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE, {len(set(q.rank_terms))}, {_str(normalize_text(q.original))})"
+
+
+def _pairs(batch: list, of) -> str:
+    rows = [f"({k}, {_str(t)})" for k, q, _, _ in batch for t in of(q)]
+    return ", ".join(rows or ["(NULL, NULL)"])
+
+
+def hybrid(batch: list[tuple[int, Interpretation, str, int]], vectors: list[list[float]]) -> str:
+    """The scores, strategies and results of a batch, as CTEs up to ``result``; ``vectors`` has the requests' vectors.
+
+    Varied picks are a recursion over the picks so far; each step takes the best candidate after the penalties.
+    """
+    asked = ", ".join(f"({k}, [{', '.join(repr(float(x)) for x in v)}])" for (k, *_), v in zip(batch, vectors))
+    return f"""
+WITH RECURSIVE {TERMS}, {_NAMES}, {_DISTINCT}, {_GRAMS},
+req(request_id, mode, intent, lim, wishes, floor, no_spicy, meant, ws, wx, wi, asked, txt) AS (VALUES {', '.join(_request(*b) for b in batch)}),
+want0(request_id, term) AS (VALUES {_pairs(batch, lambda q: q.rank_terms)}),
+out0(request_id, term) AS (VALUES {_pairs(batch, lambda q: query_terms(q.excluded_ingredients))}),
+rv(request_id, qv) AS (VALUES {asked}),
+want AS (SELECT DISTINCT request_id, term FROM want0 WHERE term IN (SELECT term FROM post)),
+wn AS (SELECT request_id, count(*) AS n FROM want GROUP BY request_id),
+own_n AS (SELECT row_ix, count(*) AS n FROM post GROUP BY row_ix),
+have AS (SELECT request_id, row_ix, count(*) AS c FROM post JOIN want USING (term) GROUP BY request_id, row_ix),
+qw AS (SELECT request_id, ' ' || unnest(list_filter(string_split(txt, ' '), lambda x: x <> '')) || ' ' AS p FROM req),
+qg AS (
+  SELECT request_id, substring(p, i, 3) AS gram FROM (SELECT request_id, p, unnest(range(1, len(p) - 1)) AS i FROM qw)
+  UNION ALL SELECT request_id, substring(p, i, 4) FROM (SELECT request_id, p, unnest(range(1, len(p) - 2)) AS i FROM qw WHERE len(p) >= 4)
+),
+qx AS (SELECT request_id, gram, (1 + ln(c)) * idf AS x FROM (SELECT request_id, gram, count(*) AS c FROM qg GROUP BY request_id, gram) JOIN idf USING (gram)),
+qn AS (SELECT request_id, sqrt(sum(x * x)) AS s FROM qx GROUP BY request_id),
+dx AS (SELECT row_ix, gram, (1 + ln(c)) * idf AS x FROM tf JOIN idf USING (gram)),
+dn AS (SELECT row_ix, sqrt(sum(x * x)) AS s FROM dx GROUP BY row_ix),
+lex AS (SELECT request_id, row_ix, least(1.0, sum(dx.x * qx.x) / (any_value(dn.s) * any_value(qn.s))) AS lexical FROM dx JOIN qx USING (gram) JOIN dn USING (row_ix) JOIN qn USING (request_id) GROUP BY request_id, row_ix),
+rvec AS (
+  SELECT row_ix, min(CAST(vec AS DOUBLE[])) AS v FROM recipe_vectors
+  WHERE vec IS NOT NULL AND len(vec) = 64 AND NOT list_contains(list_transform(vec, lambda x: CAST(x AS VARCHAR) IN ('nan', '-nan', 'inf', '-inf')), true) GROUP BY row_ix
+),
+sem AS (SELECT request_id, row_ix, least(1.0, greatest(0.0, list_dot_product(v, qv) / sqrt(list_dot_product(v, v)))) AS semantic FROM rvec, rv WHERE list_dot_product(v, v) > 0),
+spicy AS (SELECT row_ix FROM names WHERE list_contains(string_split(name_norm, ' '), 'spicy') UNION SELECT row_ix FROM post WHERE list_contains({_SPICY}, term)),
+scored AS (
+  SELECT r.*, n.row_ix, n.name_norm, e.d, coalesce(wn.n, 0) AS known, coalesce(l.lexical, 0.0) AS lexical, CASE WHEN meant THEN coalesce(m.semantic, 0.0) END AS semantic,
+    CASE WHEN wn.n > 0 THEN least(1.0, 0.8::DOUBLE * coalesce(h.c, 0) / wn.n + 0.2::DOUBLE * coalesce(h.c, 0) / sqrt(wn.n * greatest(1, coalesce(o.n, 0)))) ELSE 0.0 END AS ingredient
+  FROM req r CROSS JOIN names n JOIN exact e USING (row_ix) LEFT JOIN wn USING (request_id) LEFT JOIN have h USING (request_id, row_ix) LEFT JOIN own_n o ON o.row_ix = n.row_ix
+  LEFT JOIN lex l ON l.request_id = r.request_id AND l.row_ix = n.row_ix LEFT JOIN sem m ON m.request_id = r.request_id AND m.row_ix = n.row_ix
+),
+plan AS (
+  SELECT request_id, CASE WHEN intent = 'adventurous' THEN 'adventurous' WHEN intent = 'browse' OR low THEN 'discovery' ELSE 'search' END AS strategy, low
+  FROM (SELECT request_id, any_value(intent) AS intent, any_value(intent) = 'search' AND NOT any_value(wishes) AND (any_value(known) / greatest(1, any_value(asked)) < 0.5 OR max(ingredient) < 0.3) AND max(lexical) < 0.3 AND coalesce(max(semantic), 0) < any_value(floor) AS low FROM scored GROUP BY request_id)
+),
+allowed AS (
+  SELECT s.*, strategy, low, wx * lexical + wi * ingredient + ws * coalesce(semantic, 0) AS base FROM scored s JOIN plan USING (request_id)
+  WHERE NOT (no_spicy AND row_ix IN (SELECT row_ix FROM spicy)) AND (request_id, row_ix) NOT IN (SELECT (request_id, row_ix) FROM post JOIN out0 USING (term))
+),
+ranked AS (
+  SELECT *, CASE WHEN strategy = 'adventurous' AND (known > 0 OR wishes) THEN 0.82::DOUBLE * base + 0.18::DOUBLE * d WHEN strategy = 'search' THEN base ELSE d END AS final FROM allowed
+),
+plain AS (
+  SELECT request_id, row_ix, CAST(row_number() OVER (PARTITION BY request_id ORDER BY final DESC, row_ix) AS INT) AS rank, lim
+  FROM (SELECT * FROM ranked WHERE strategy = 'search' QUALIFY row_number() OVER (PARTITION BY request_id, name_norm ORDER BY final DESC, row_ix) = 1) QUALIFY rank <= lim
+),
+lists AS (SELECT row_ix, list(term) AS terms FROM post GROUP BY row_ix),
+near AS (
+  SELECT request_id, row_ix, name_norm, final, lim, coalesce(terms, []) AS terms, {_CAT.replace('contains(t,', 'contains(name_norm,')} AS cat
+  FROM (SELECT * FROM ranked WHERE strategy <> 'search' QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY final DESC, row_ix) <= 250) LEFT JOIN lists USING (row_ix)
+  WHERE len(list_intersect(string_split(name_norm, ' '), {_list(W.NON_DISH)})) = 0
+),
+picks AS (
+  SELECT DISTINCT request_id, 0 AS step, lim, CAST(NULL AS BIGINT) AS row_ix, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS cats, CAST([] AS VARCHAR[][]) AS had FROM near
+  UNION ALL
+  SELECT request_id, step + 1, lim, row_ix, list_append(names, name_norm), list_append(cats, cat), list_append(had, terms) FROM (
+    SELECT p.request_id, p.step, p.lim, c.row_ix, p.names, p.cats, p.had, c.name_norm, c.cat, c.terms, c.final,
+      c.final - 0.18::DOUBLE * coalesce(list_max(list_transform(p.had, lambda t: CASE WHEN len(t) + len(c.terms) > 0 THEN len(list_intersect(t, c.terms)) / (len(t) + len(c.terms) - len(list_intersect(t, c.terms))) ELSE 0.0 END)), 0.0)
+        - 0.1::DOUBLE * least(2, len(list_filter(p.cats, lambda t: t = c.cat))) AS value
+    FROM picks p JOIN near c USING (request_id) WHERE p.step < p.lim AND NOT list_contains(p.names, c.name_norm)
+  ) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY value DESC, final DESC, row_ix) = 1
+),
+shown AS (SELECT request_id, row_ix, rank FROM plain UNION ALL SELECT request_id, row_ix, CAST(step AS INT) FROM picks WHERE step > 0),
+hits AS (SELECT request_id, row_ix, list_sort(list(term)) AS matched FROM post JOIN want USING (term) GROUP BY request_id, row_ix),
+result AS (
+  SELECT s.request_id, rank, s.row_ix, strategy, low, final, semantic, lexical, ingredient, d AS distinctiveness, coalesce(matched, []) AS matched
+  FROM shown s JOIN ranked r ON r.request_id = s.request_id AND r.row_ix = s.row_ix LEFT JOIN hits h ON h.request_id = s.request_id AND h.row_ix = s.row_ix
+)
+"""
+
+
+def hybrid_search(batch: list, vectors: list) -> str:
+    six = ", ".join(f"round({c}, 6) AS {c}" for c in ("final", "semantic", "lexical", "ingredient", "distinctiveness"))
+    return hybrid(batch, vectors) + f"SELECT request_id, rank, row_ix, strategy, {six}, array_to_string(matched, ', ') AS matched, {_REASON} AS reason, low AS low_signal FROM result"
+
+
+def search_metadata(batch: list, vectors: list, discovered: str, adventurous: str, broad: str, closest: str) -> str:
+    said = ", ".join(f"({k}, {_str(mode)}, {_str(q.original)}, {_str(q.kind)}, {_str(q.intent)}, {_str(q.warning) if q.warning else 'NULL'})" for k, q, mode, _ in batch)
+    return hybrid(batch, vectors) + f"""
+SELECT request_id, mode, query, kind, intent, strategy, total_recipes, returned, confidence, true AS semantic_available, false AS semantic_degraded, warning AS retrieval_warning, nullif(concat_ws(' ', lead, own, warning), '') AS notice
+FROM (
+  SELECT *, CASE WHEN strategy = 'adventurous' THEN {_str(adventurous)} WHEN strategy = 'discovery' AND warning IS NULL THEN {_str(broad)} WHEN confidence = 'low' THEN {_str(closest)} END AS lead
+  FROM (
+    SELECT *, CASE WHEN strategy = 'discovery' THEN CASE WHEN low THEN 'low' ELSE 'medium' END WHEN strategy <> 'search' THEN 'medium' WHEN best >= 0.55 THEN 'high' WHEN best >= 0.31 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN low THEN {_str(discovered)} END AS warning
+    FROM (VALUES {said}) AS s(request_id, mode, query, kind, intent, own) JOIN plan USING (request_id) CROSS JOIN (SELECT count(*) AS total_recipes FROM sample_recipes)
+    JOIN (SELECT request_id, count(*) AS returned, max(CASE WHEN rank = 1 THEN final END) AS best FROM result GROUP BY request_id) USING (request_id)
+  )
+)"""
+
+
+#: Why a recipe is shown, in words.
+_REASON = """CASE WHEN strategy = 'adventurous' THEN 'Adventurous pick with a less common ingredient combination' WHEN strategy = 'discovery' THEN 'Varied discovery pick from the recipe collection'
+WHEN len(matched) > 0 THEN 'Matches ' || array_to_string(matched[:4], ', ') WHEN semantic >= lexical THEN 'Strong meaning-based match' WHEN lexical > 0 THEN 'Matches words in the request' ELSE 'Closest available match' END"""
+
 SQL: dict[str, str] = {
     "normalize_text": f"SELECT row_ix, {norm('name')} AS name_norm FROM sample_recipes",
     "canonical_urls": f"""

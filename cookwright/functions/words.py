@@ -15,12 +15,12 @@ PREFERENCE_WORDS = "comfort easy fast healthy quick spicy starkt vegetarian vege
 PHRASE_ALIASES = [("leche de coco", "coconut milk"), ("kokos mjolk", "coconut milk"), ("kokosmjolk", "coconut milk"), ("chili pepper", "chili")]
 
 # word as it stands after folding: word it counts as
-TOKEN_ALIASES = dict(
-    x.split(":")
-    for x in """agg:egg fisk:fish kyckling:chicken lax:salmon lok:onion mjolk:milk notter:nut potatis:potato torsk:cod tomat:tomato
-vitlok:garlic ajo:garlic cebolla:onion huevo:egg huevos:egg nueces:nut patata:potato patatas:potato pollo:chicken pescado:fish
-tomate:tomato tomates:tomato eggs:egg onions:onion potatoes:potato tomatoes:tomato chillies:chili chilies:chili""".split()
-)
+TOKEN_ALIASES = {
+    "agg": "egg", "fisk": "fish", "kyckling": "chicken", "lax": "salmon", "lok": "onion", "mjolk": "milk", "notter": "nut",
+    "potatis": "potato", "torsk": "cod", "tomat": "tomato", "vitlok": "garlic", "ajo": "garlic", "cebolla": "onion", "huevo": "egg",
+    "huevos": "egg", "nueces": "nut", "patata": "potato", "patatas": "potato", "pollo": "chicken", "pescado": "fish", "tomate": "tomato",
+    "tomates": "tomato", "eggs": "egg", "onions": "onion", "potatoes": "potato", "tomatoes": "tomato", "chillies": "chili", "chilies": "chili",
+}
 
 ADVENTUROUS = [
     "surprise me", "something new", "something different", "something unusual", "something adventurous", "never tried", "have not tried", "haven t tried",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from cookwright.functions import text as T
 from cookwright.functions.query_text import MODES, from_ingredients, interpret
 from cookwright.operators.index import RecipeIndex
 from cookwright.operators.rank import Request, metadata, search
+from cookwright.plans.frames import stored
 
 
 def matches(text: Column, expected: Column) -> Column:
@@ -22,34 +28,58 @@ def relevant(text: Column, expected: Column, least: Column) -> Column:
     return F.coalesce((least > 0) & (matches(text, expected) >= least), F.lit(False))
 
 
+def _answered(cases: list[tuple[int, list[str], int]]):
+    """Which of the cases the texts of a task answer, each once: all their terms are sought in one walk over a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto, of = ahocorasick.Automaton(), {}
+        for k, (_, terms, _) in enumerate(cases):
+            for t in terms:
+                of.setdefault(t, []).append(k)
+        for t in of:
+            auto.add_word(t, t)
+        if of:
+            auto.make_automaton()
+        word = lambda c: c.isalnum() or c == "_"
+        done: set[int] = set()
+        for b in batches:
+            for text in b.column(0).to_pylist() if of else ():
+                found = {t for end, t in auto.iter(text or "") if not (end - len(t) >= 0 and word(text[end - len(t)])) and not (end + 1 < len(text) and word(text[end + 1]))}
+                hits = Counter(k for t in found for k in of[t])
+                done |= {k for k, n in hits.items() if n >= cases[k][2]}
+        yield pa.RecordBatch.from_arrays([pa.array([cases[k][0] for k in sorted(done)], pa.int64())], names=["item_id"])
+
+    return run
+
+
 def answerable(recipes: DataFrame, cases: DataFrame) -> DataFrame:
-    """The cases that some recipe answers (``item_id``). The cases are a fixed set, broadcast; recipes are read once."""
+    """The cases that some recipe answers (``item_id``). The cases are a fixed set and go to the recipes, which are read once."""
+    terms = F.array_distinct(F.filter(F.transform("expected_any", T.normalize), lambda t: t.isNotNull() & (t != "")))
+    rows = cases.where("expected_any is not null").select("item_id", terms.alias("t"), F.coalesce("minimum_matches", F.lit(1)).alias("n")).where("n > 0").collect()
     text = recipes.select(T.canonicalize(T.search_text(F.col("name"), F.col("ingredients"), F.col("description"))).alias("text"))
-    c = F.broadcast(cases.select("item_id", "expected_any", "minimum_matches").where("expected_any is not null"))
-    return text.crossJoin(c).where(relevant(F.col("text"), F.col("expected_any"), F.coalesce("minimum_matches", F.lit(1)))).select("item_id").distinct()
+    return text.mapInArrow(_answered([(r.item_id, list(r.t), r.n) for r in rows]), "item_id long").distinct()
 
 
 def evaluate(index: RecipeIndex, cases: DataFrame, top_k: int = 5, modes: tuple[str, ...] = MODES) -> DataFrame:
     """``item_id, mode, top_result, first_relevant_rank, confidence, strategy, answerable, exclusion_violation``.
 
     ``cases`` has ``item_id, query_text, ingredients, expected_any, excluded_any, minimum_matches``; a case has a text
-    or ingredients. Cases are a fixed set and are read to the driver.
+    or ingredients. Cases are a fixed set and are read to the driver; all of them in all modes are one batch.
     """
-    rows, out = cases.select("item_id", "query_text", "ingredients").orderBy("item_id").collect(), None
+    rows = cases.select("item_id", "query_text", "ingredients").orderBy("item_id").collect()
     ask = [(r.item_id, from_ingredients(list(r.ingredients)) if r.ingredients else interpret(r.query_text)) for r in rows if r.ingredients or r.query_text]
     known = answerable(index.recipes, cases).withColumn("answerable", F.lit(True))
-    for mode in modes:
-        requests = [Request(i, q, mode, top_k) for i, q in ask]
-        found = search(index, requests)
-        meta = metadata(index, requests, found).select(F.col("request_id").alias("item_id"), "confidence", "strategy")
-        shown = found.select(F.col("request_id").alias("item_id"), "rank", "row_ix").join(index.recipes.select("row_ix", "name", "ingredients"), "row_ix").join(cases.select("item_id", "expected_any", "excluded_any", "minimum_matches"), "item_id")
-        lines = F.array_join("ingredients", " ")
-        judged = shown.select("item_id", "rank", "name", relevant(T.canonicalize(F.concat_ws(" ", "name", lines)), F.col("expected_any"), F.coalesce("minimum_matches", F.lit(1))).alias("good"), relevant(T.canonicalize(lines), F.col("excluded_any"), F.lit(1)).alias("bad"))
-        per = judged.groupBy("item_id").agg(F.min_by("name", "rank").alias("top_result"), F.min(F.when(F.col("good"), F.col("rank"))).alias("first_relevant_rank"), F.bool_or("bad").alias("exclusion_violation"))
-        one = meta.join(per, "item_id", "left").join(known, "item_id", "left")
-        part = one.select("item_id", F.lit(mode).alias("mode"), F.coalesce("top_result", F.lit("none")).alias("top_result"), "first_relevant_rank", "confidence", "strategy", F.coalesce("answerable", F.lit(False)).alias("answerable"), F.coalesce("exclusion_violation", F.lit(False)).alias("exclusion_violation"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    requests = [Request(k * len(modes) + n, q, mode, top_k) for k, (_, q) in enumerate(ask) for n, mode in enumerate(modes)]
+    names = index.recipes.sparkSession.createDataFrame([(r.request_id, ask[r.request_id // len(modes)][0], r.mode) for r in requests], "request_id long, item_id long, mode string")
+    found = stored(search(index, requests))
+    meta = metadata(index, requests, found).select("request_id", "confidence", "strategy").join(F.broadcast(names), "request_id")
+    # at most top_k rows a request, so they go to the recipes
+    shown = index.recipes.select("row_ix", "name", "ingredients").join(F.broadcast(found.select("request_id", "rank", "row_ix").join(names, "request_id")), "row_ix").join(F.broadcast(cases.select("item_id", "expected_any", "excluded_any", "minimum_matches")), "item_id")
+    lines = F.array_join("ingredients", " ")
+    judged = shown.select("request_id", "rank", "name", relevant(T.canonicalize(F.concat_ws(" ", "name", lines)), F.col("expected_any"), F.coalesce("minimum_matches", F.lit(1))).alias("good"), relevant(T.canonicalize(lines), F.col("excluded_any"), F.lit(1)).alias("bad"))
+    per = judged.groupBy("request_id").agg(F.min_by("name", "rank").alias("top_result"), F.min(F.when(F.col("good"), F.col("rank"))).alias("first_relevant_rank"), F.bool_or("bad").alias("exclusion_violation"))
+    one = meta.join(per, "request_id", "left").join(known, "item_id", "left")
+    return one.select("item_id", "mode", F.coalesce("top_result", F.lit("none")).alias("top_result"), "first_relevant_rank", "confidence", "strategy", F.coalesce("answerable", F.lit(False)).alias("answerable"), F.coalesce("exclusion_violation", F.lit(False)).alias("exclusion_violation"))
 
 
 def aggregates(rows: DataFrame, cases: DataFrame) -> DataFrame:

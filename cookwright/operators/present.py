@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import groupby, takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,25 +20,29 @@ _SKIPPED = frozenset([*W.LABEL_SKIP, *W.LABEL_UNITS])
 _AMOUNT = re.compile(r"^(?:\d+|one|two|three|four|five|six)\s+")
 
 
+def _bare(words: list[str]) -> list[str]:
+    """Words without an ``and`` or ``or`` at either end."""
+    at = [k for k, w in enumerate(words) if w not in _AND_OR]
+    return words[at[0] : at[-1] + 1] if at else []
+
+
+def _told(line: str) -> list[str]:
+    """The words of a line that tell what it is, up to the first clause: no amounts, units or preparations, no word
+    twice in a row."""
+    plain = _AMOUNT.sub("", canonicalize(re.sub(r"\([^)]*\)", " ", line))).split()
+    own = [w for w in takewhile(lambda w: w not in W.CLAUSE_WORDS, plain) if w not in _SKIPPED and not w[0].isdigit()]
+    return [w for w, _ in groupby(own)]
+
+
 def label_of(line: str) -> str | None:
     """Up to five words that name a line's ingredient; None for headings, alternatives and staples."""
-    lead = normalize_text(line).split()[:1]
-    if line.rstrip().endswith(":") or lead and lead[0] in ("if", "or", "store-bought"):
+    if line.rstrip().endswith(":") or normalize_text(line).split(" ", 1)[0] in ("if", "or", "store-bought"):
         return None
-    words: list[str] = []
-    for w in _AMOUNT.sub("", canonicalize(re.sub(r"\([^)]*\)", " ", line))).split():
-        if w in W.CLAUSE_WORDS:
-            break
-        if w not in _SKIPPED and not w[0].isdigit() and (not words or words[-1] != w):
-            words.append(w)
-    at = next((k for k, w in enumerate(words) if w not in _AND_OR), len(words))
-    words = words[at : at + 5]
-    while words and words[-1] in _AND_OR:
-        words.pop()
-    label = " ".join(words).strip(" -")
+    label = " ".join(_bare(_bare(_told(line))[:5])).strip(" -")
     norm = normalize_text(label)
-    content = set(norm.split()) - set(_AND_OR)
-    return None if not label or norm in W.PANTRY_LABELS or (content and content <= set(W.PANTRY_WORDS)) else label
+    content = {w for w in norm.split() if w not in _AND_OR}
+    staple = norm in W.PANTRY_LABELS or (content and content.issubset(W.PANTRY_WORDS))
+    return label if label and not staple else None
 
 
 def features_of(name: str | None, lines: list[str], limit: int = 3) -> list[str]:
@@ -153,7 +158,7 @@ def _patterns() -> tuple:
     quantity = rf"(?:{number}|a|an)"
     span = rf"{quantity}(?:\s*(?:-|–|to)\s*{quantity})?"
     time = r"(?:seconds?|secs?\.?|minutes?|mins?\.?|hours?|hrs?\.?|days?)"
-    unit = r"(?:teaspoons?|tsp\.?|tablespoons?|tbsp\.?|cups?|fluid\s+ounces?|fl\.?\s*oz\.?|ounces?|oz\.?|pounds?|lbs?\.?|grams?|kilograms?|millilit(?:er|re)s?|lit(?:er|re)s?|gallons?|quarts?|pints?|kg|mg|ml|g|l|pinch(?:es)?|dash(?:es)?|drops?|cans?|packages?|pkgs?\.?|sticks?|cloves?|slices?|pieces?|heads?|bunch(?:es)?|sprigs?|stalks?|inch(?:es)?|cm)"
+    unit = r"(?:teaspoons?|tsp\.?|tablespoons?|tbsp\.?|cups?|fluid\s+ounces?|fl\.?\s*oz\.?|ounces?|oz\.?|pounds?|lbs?\.?|grams?|kilograms?|millilit(?:er|re)s?|lit(?:er|re)s?|gallons?|quarts?|pints?|kg|mg|ml|g|l|pinches?|dashes?|drops?|cans?|packages?|pkgs?\.?|sticks?|cloves?|slices?|pieces?|heads?|bunches?|sprigs?|stalks?|inches?|cm)"
     degrees = r"(?:°\s*[cf]|degrees?(?:\s+(?:celsius|fahrenheit)|\s*[cf])?)"
     marks = (("temperature", 3, rf"{number}(?:\s*(?:-|–|to)\s*{number})?\s*{degrees}"), ("time", 2, rf"{span}(?:\s+|-\s*){time}"), ("amount", 1, rf"{span}(?:\s+|-\s*){unit}"))
     return tuple((k, p, re.compile(x, re.I)) for k, p, x in marks), re.compile(rf"\s*({quantity})", re.I)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import gcd
 
 import ahocorasick
 import pyarrow as pa
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cookwright.functions.encoding import LOST, SINGLE, garble, repair
-from cookwright.plans.frames import small
 
 # Other names of the units, by the name that the table of factors has.
 ALIASES = {
@@ -69,8 +69,8 @@ _AND_ON = re.compile(rf"^\.?\s*(?:\+|&|,|plus|and|och|und|y|más|mas)?\s*(?P<n>{
 _PACK_NEXT = re.compile(rf"^[\s.\-)]*(?:\w+\s+)?(?:{_PACK})\b")
 _DOZEN = re.compile(rf"(?:(?<![\w/.,])(?P<n>{_NUM})|(?:(?<!\w)(?:{_alt(ARTICLES.split())})))?(?:\s*(?:-|to|till|a|bis)\s*{_NUM})?(?:\s+(?:{_alt(ARTICLES.split())}))?\s*\b(?:{_alt(DOZEN.split())})\b")
 _COUNT = re.compile(rf"(?<![\w/.,]){_RANGE}(?!\w|[.,/]\d)(?!\s*(?:{_alt(NO_COUNT.split())})(?!\w))")
-#: Characters before a unit in which its number, with fillers, is sought.
-_REACH = 60
+#: Words that may stand between a number and its unit, or between a number of packs and what one holds.
+_BETWEEN = frozenset(" ".join([*WORDS.values(), HALF, ARTICLES, FILLERS, PACKS, "x to till bis hasta or eller oder o à je each"]).split())
 _SPACES = re.compile(r"\s+")
 _MIXED = re.compile(r"(\d+)(?:\s+|\s?-\s?)(\d+)/(\d+)$")
 
@@ -151,6 +151,21 @@ def _units(line: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _reach(text: str, end: int, strange: int) -> int:
+    """How far before ``end`` a number with what belongs to it can begin: back over words that may stand between a
+    number and its unit, and over as many others as ``strange``. Whatever the length of the line."""
+    at = end
+    while at > 0:
+        begin = text.rfind(" ", 0, at - 1) + 1 if at > 1 else 0
+        word = text[begin:at].strip(" ().,-&+")
+        if word.isalpha() and word not in _BETWEEN:
+            strange -= 1
+            if strange < 0:
+                break
+        at = begin
+    return at
+
+
 def parse_amounts(line: str | None, is_yield: bool = False) -> list[tuple[int, int, str]]:
     """The first amount that the line states: numerator, denominator and unit of each of its parts.
 
@@ -163,17 +178,18 @@ def parse_amounts(line: str | None, is_yield: bool = False) -> list[tuple[int, i
     units = _units(text)
     first_at, parts = len(text) + 1, []
     for k, (start, end, unit) in enumerate(units):
-        m = _BEFORE.search(text, max(0, start - _REACH), start)
+        since = _reach(text, start, 0)
+        m = _BEFORE.search(text, since, start)
         if m:
             value, at = _low(m), m.start()
-        elif (m := _ARTICLE.search(text, max(0, start - _REACH), start)) and (end - start > 1 or m[0][0] in "eu"):
+        elif (m := _ARTICLE.search(text, since, start)) and (end - start > 1 or m[0][0] in "eu"):
             value, at = (1, 2) if m["half"] else (1, 1), m.start()
         else:
             continue
         if not value or not value[0]:
             continue
         num, den = value
-        if at and (t := _TIMES.search(text, max(0, at - _REACH), at)):
+        if at and (t := _TIMES.search(text, _reach(text, at, 1), at)):
             times = _value(t["m"])
             if times and (not t["bare"] or _PACK_NEXT.match(text[end:])):
                 num, den, at = num * times[0], den * times[1], t.start()
@@ -193,18 +209,16 @@ def parse_amounts(line: str | None, is_yield: bool = False) -> list[tuple[int, i
     return parts
 
 
-#: Parts of a compound amount that are kept, as in ``1 cup 2 tbsp 1 tsp``.
-PARTS = 3
-_OUT = pa.schema([("row_ix", pa.int64()), ("field", pa.string()), ("line_no", pa.int64()), *(f for k in range(PARTS) for f in ((f"unit{k}", pa.string()), (f"num{k}", pa.int64()), (f"den{k}", pa.int64())))])
-_DDL = "row_ix long, field string, line_no long, " + ", ".join(f"unit{k} string, num{k} long, den{k} long" for k in range(PARTS))
-_MOST = 10**12
+_PART = pa.struct([("unit", pa.string()), ("num", pa.int64()), ("den", pa.int64())])
+_OUT = pa.schema([("row_ix", pa.int64()), ("field", pa.string()), ("line_no", pa.int64()), ("parts", pa.list_(_PART))])
+_DDL = "row_ix long, field string, line_no long, parts array<struct<unit: string, num: long, den: long>>"
+#: Numbers from here on, in lowest terms, have no thousandths within a bigint.
+_BEYOND = 10**18
 
 
 def _row(row_ix: int, field: str, no: int, parts: list[tuple[int, int, str]]) -> tuple | None:
-    if not parts or any(n >= _MOST or d >= _MOST for n, d, _ in parts):
-        return None
-    flat = [x for n, d, u in parts[:PARTS] for x in (u, n, d)]
-    return (row_ix, field, no, *flat, *[None] * (3 * PARTS - len(flat)))
+    lowest = [{"unit": u, "num": n // (g := gcd(n, d)), "den": d // g} for n, d, u in parts]
+    return (row_ix, field, no, lowest) if lowest and all(p["num"] < _BEYOND and p["den"] < _BEYOND for p in lowest) else None
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +238,20 @@ def quantities(recipes: DataFrame, factors: DataFrame) -> DataFrame:
     Half a thousandth is rounded up. ``recipes`` needs ``row_ix, ingredients, recipe_yield``, other columns are
     ignored; ``factors`` needs ``unit, base_unit, factor`` and names each unit once (a repeated name counts with
     its largest factor). Null and empty lines, lines without an amount, and amounts of zero give no row; an
-    amount whose unit the table does not have gives none either. A repeated ``row_ix`` gives its rows each time.
-    Lines are read whole. An amount of 10^12 or more is no amount. No shuffle: one pass over the input, then
-    broadcast joins with the factors, one row for each unit name.
+    amount whose unit the table does not have gives none either. All parts of a compound amount count, but for those
+    whose unit the table has not or has under another base. A repeated ``row_ix`` gives its rows each time.
+    Lines are read whole. An amount whose thousandths a bigint can't hold gives no row. No shuffle: one pass over the
+    input, then a broadcast join with the factors of the known units in one row.
     """
     found = recipes.select("row_ix", "ingredients", "recipe_yield").mapInArrow(_parse_batches, _DDL)
-    per = factors.where("unit is not null and base_unit is not null and factor > 0").groupBy("unit").agg(F.max(F.struct("factor", "base_unit")).alias("f"))
-    per = per.select("unit", F.col("f.base_unit").alias("base"), (F.col("f.factor") * 1_000_000).cast("decimal(20,0)").alias("millionths"))
-    per = small(per.union(factors.sparkSession.sql("select 'count', 'count', cast(1000000 as decimal(20,0))")))
-    total = F.lit(0).cast("decimal(30,6)")
-    for k in range(PARTS):
-        side = per.select(F.col("unit").alias(f"unit{k}"), F.col("base").alias(f"base{k}"), F.col("millionths").alias(f"m{k}"))
-        found = found.join(side, f"unit{k}", "inner" if k == 0 else "left")
-        part = (F.col(f"num{k}").cast("decimal(13,0)") * F.col(f"m{k}") / (F.col(f"den{k}") * 1000).cast("decimal(16,0)")).cast("decimal(30,6)")
-        total = total + (part if k == 0 else F.when(F.col(f"base{k}") == F.col("base0"), part).otherwise(0))
-    return found.select("row_ix", "field", "line_no", F.col("base0").alias("unit"), F.round(total).cast("long").alias("amount_milli"))
+    known = factors.where(F.col("unit").isin(list(ALIASES)) & F.col("base_unit").isNotNull() & (F.col("factor") > 0)).groupBy("unit").agg(F.max(F.struct("factor", "base_unit")).alias("f"))
+    known = known.select("unit", F.struct(F.col("f.base_unit").alias("base"), (F.col("f.factor") * 1_000_000).cast("decimal(13,0)").alias("millionths")).alias("f"))
+    known = known.union(factors.sparkSession.sql("select 'count', struct('count' as base, cast(1000000 as decimal(13,0)) as millionths)"))
+    per = known.agg(F.map_from_entries(F.collect_list(F.struct("unit", "f"))).alias("factors"))  # a row for each unit of ALIASES at most
+    f = lambda unit: F.try_element_at("factors", unit)
+    milli = lambda p: (p.num.cast("decimal(18,0)") * f(p.unit).millionths / (p.den.cast("decimal(18,0)") * F.lit(1000).cast("decimal(4,0)"))).cast("decimal(38,6)")
+    base = f(F.get("parts", F.lit(0)).unit).base
+    added = F.aggregate("parts", F.lit(0).cast("decimal(38,6)"), lambda a, p: (a + F.when(f(p.unit).base == F.col("unit"), milli(p)).otherwise(F.lit(0).cast("decimal(38,6)"))).cast("decimal(38,6)"))
+    total = F.when(F.size("parts") == 1, milli(F.get("parts", F.lit(0)))).otherwise(added)
+    out = found.join(F.broadcast(per)).withColumn("unit", base).where("unit is not null")
+    return out.select("row_ix", "field", "line_no", "unit", F.round(total).try_cast("long").alias("amount_milli")).where("amount_milli is not null")

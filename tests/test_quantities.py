@@ -42,3 +42,11 @@ def test_half_is_rounded_up_and_empty_table(spark):
     assert [r.amount_milli for r in quantities(one, half).collect()] == [1]
     assert quantities(one.limit(0), half).count() == 0
     assert quantities(one, half.where(F.lit(False))).count() == 0
+
+
+def test_every_part_counts_and_numbers_are_found_at_any_distance(spark):
+    lines = ["1 cup 2 tbsp 1 tsp 5 ml milk", "2 " + "large " * 60 + "cups flour", "7" * 17 + " g", "9" * 25 + " g", "2" * 16 + " kg", "1 " + "rounded " * 40 + "tsp salt"]
+    more = factors(spark).union(spark.createDataFrame([("tbsp", "ml", 15.0), ("ml", "ml", 1.0)], "unit string, base_unit string, factor double"))
+    df = spark.createDataFrame([(1, lines, None)], "row_ix long, ingredients array<string>, recipe_yield string")
+    assert {r.line_no: r.amount_milli for r in quantities(df, more).collect()} == {0: 280_000, 1: 480_000, 5: 5_000}
+    assert parse_amounts("1 lb " + " ".join(f"{k} oz" for k in range(1, 9)))[1:] == [(k, 1, "oz") for k in range(1, 9)]

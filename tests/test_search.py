@@ -164,3 +164,38 @@ def test_retrieval_quality_takes_every_case(spark, monkeypatch):
     monkeypatch.setattr(catalog, "evaluate", lambda _, cases: cases)
     monkeypatch.setattr(catalog, "aggregates", lambda rows, cases: rows.join(cases, "item_id"))
     assert {r.item_id for r in catalog.retrieval_quality(spark, "").collect()} == {1, 2, 99, 100, 101}
+
+
+def test_stored_vectors_equal_those_of_the_model(spark, index):
+    rows = index.terms.select("row_ix", "text", "grams", "weights").collect()
+    names = sorted(index.model.idf)
+    for r in rows:
+        assert dict(zip([names[g] for g in r.grams], r.weights)) == pytest.approx(index.model.vector(r.text))
+    long = I.lexical_weights(index.terms, index.model)
+    assert {(r.row_ix, r.gram) for r in long.collect()} == {(r.row_ix, names[g]) for r in rows for g in r.grams}
+
+
+def test_search_does_not_depend_on_partitions(spark, recipes):
+    import dataclasses
+
+    many = recipes.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).withColumn("row_ix", F.col("row_ix") * 40 + F.col("copy")).withColumn("name", F.concat("name", F.lit(" "), F.col("copy") % 7)).drop("copy")
+    index = I.RecipeIndex.build(many, I.HashEmbedding())
+    asked = [rank.Request(1, Q.interpret("red lentil soup"), limit=30), rank.Request(2, Q.interpret("surprise me"), limit=20), rank.Request(3, Q.interpret("pie without flour"), "lexical", 5), rank.Request(4, Q.interpret("xqzw"), limit=9)]
+    seen = [sorted(map(tuple, rank.search(dataclasses.replace(index, terms=index.terms.repartition(n)), asked).select("request_id", "rank", "row_ix", "strategy", F.round("final", 9)).collect())) for n in (1, 7)]
+    assert seen[0] == seen[1] and {r[0] for r in seen[0]} == {1, 2, 3, 4}
+
+
+def test_given_vectors_and_rows_without_one(spark, recipes):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "row_ix long, vec array<double>")
+
+    class Fixed(I.HashEmbedding):
+        def encode(self, texts):
+            return np.array([[1.0, 0.0] for _ in texts])
+
+    index = I.RecipeIndex.build(recipes, Fixed(), vectors=vectors)
+    got = {r.row_ix: r.semantic for r in rank.search(index, [rank.Request(1, Q.interpret("red lentil soup with cod"), "semantic", 12)]).collect()}
+    assert got[0] == 1.0 and got[1] == pytest.approx(0.6) and {v for k, v in got.items() if k > 1} == {0.0}
+
+
+def test_text_limit(recipes):
+    assert {len(r.text) for r in I.term_table(recipes, 5).collect()} == {5} and max(len(r.text) for r in I.term_table(recipes).collect()) > 20

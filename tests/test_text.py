@@ -88,3 +88,13 @@ def test_contract():
             Q.validated(**bad)
     assert Q.validated(query="egg").ingredients == ["egg"]
     assert Q.model_would_help("something vegan under thirty minutes please now") and not Q.model_would_help("quick soup")
+
+
+def test_exclusions_are_one_walk():
+    from cookwright.functions.query_text import split_excluded
+
+    for text, wanted, out in [
+        ("pasta without garlic, onion with tomato", "pasta with tomato", ["garlic", "onion"]), ("no egg and milk but cream", "but cream", ["egg", "milk"]), ("not spicy chicken", "chicken", []),
+        ("soup except for leeks", "soup", ["leek"]), ("no, garlic", "no , garlic", []), ("stew sin ajo con pollo", "stew con pollo", ["garlic"]), ("without", "", []), ("no without onion", "no", ["onion"]),
+    ]:
+        assert split_excluded(text) == (wanted, out), text
