@@ -1,8 +1,9 @@
 """Matching records of two sources without a common key.
 
-Records are sorted by several composite keys (hashed title words, then hashed food words) and each is compared with
-its neighbours in a sliding window by sketches of its fields. What is close is scored with weighted field
-similarities, and a one-to-one assignment of the highest total confidence decides between rivals.
+Records are sorted by several composite keys (least hashes of publisher, title words and ingredient words, the latter
+weighted by their rarity) and each is compared with its neighbours of the other side in a sliding window by sketches of
+its fields. What is close is scored with weighted field similarities, and a one-to-one assignment of the highest total
+confidence decides between rivals.
 """
 
 from __future__ import annotations
@@ -10,36 +11,39 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cookwright.functions.encoding import repair
-from cookwright.plans.frames import cut, small, stored
-
-#: Sort keys, and neighbours on each side that a record is compared with under each.
-KEYS, WINDOW = 12, 30
-#: Least similarities of titles and of foods, and of the whole, for a match.
-LEAST_TITLE, LEAST_FOODS, LEAST = 0.55, 0.42, 0.71
+from cookwright.plans.frames import stored
+
+#: Sort keys that begin with the publisher, the title and the ingredients.
+KEYS = (5, 5, 2)
+#: Records of the other side on each side that a record is compared with under each key, and the places they lie within.
+WINDOW, REACH = 30, 600
+#: Least similarities of titles and of ingredients, and of the whole, for a match.
+LEAST_TITLE, LEAST_FOODS, LEAST = 0.5, 0.43, 0.5
 WEIGHTS = {"title": 0.4, "foods": 0.5, "publisher": 0.1}
-#: Differing bits, of 64, up to which sketches of foods and of titles may belong to a match.
-FOOD_BITS, TITLE_BITS = 24, 26
-#: A title word has to stand in so many titles before it counts among foods.
-VOCABULARY = 5
-#: Rivals on one side up to which a group is assigned exactly; larger groups by locally best pairs.
-EXACT = 200
+#: Differing bits, of 128 and of 64, up to which sketches of foods and of titles may belong to a match.
+FOOD_BITS, TITLE_BITS = 50, 31
+#: Places of the table of word frequencies (bounded, so that it can be broadcast; words that share one count together),
+#: and the share of records from which a word is as rare as any.
+BUCKETS, RARE = 1 << 18, 0.018
+#: Rivals on the smaller side, and links, up to which a group is assigned exactly in one task; larger groups by auction,
+#: whose total is less than the highest one by at most so much for each record.
+EXACT, EXACT_LINKS, EPSILON = 200, 20_000, 0.001
 
 # Words that carry no content in a title, and in a by-line.
 _TITLE_STOP = frozenset("and with of the a an in to for our my best updated reader readers favourite favorite easy version recipe new s och med på i en ett vår bästa uppdaterad läsarnas favorit enkel recept y con de la el las los al e un una mejor receta nuestra nuestro actualizado actualizada fácil favorita favorito und mit auf vom von unser unsere beste bester einfach aktualisiert leser liebling rezept".split())
 _BYLINE_STOP = frozenset("the from by test kitchen of and example www com recipes recipe http https".split())
 _LETTERS = re.compile(r"[a-z]+")
-_AMP = re.compile(r"\s+")
 
 
 def fold(text: str) -> str:
@@ -84,33 +88,61 @@ def _features(side: int):
                 name = title_words(title)
                 if name and foods:
                     full, short = publisher(source)
-                    out.append((xxhash.xxh64_intdigest(f"{side}:{key}") >> 1, side, key, " ".join(name), [_h(w) for w in name], foods, full, short))
+                    joined = "".join(_LETTERS.findall(fold(title)))
+                    same = xxhash.xxh64_intdigest(f"{side}:{' '.join(name)}:{joined}:{full}:{foods}") >> 1
+                    out.append((same, side, key, " ".join(name), joined, foods, full, short))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["uid", "side", "key", "title", "words", "foods", "publisher", "short"])
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["uid", "side", "key", "title", "letters", "foods", "publisher", "short"])
 
     return run
 
 
-_FEATURES = "uid long, side int, key string, title string, words array<int>, foods array<int>, publisher string, short string"
+#: ``uid`` is a hash of everything else but the key: equal for exact copies.
+_FEATURES = "uid long, side int, key string, title string, letters string, foods array<int>, publisher string, short string"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(BUCKETS, dtype=np.int64)
+    for b in batches:
+        count += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) % BUCKETS, minlength=BUCKETS)
+    at = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["bucket", "n"])
+
+
+def word_weights(reps: DataFrame, records: int) -> np.ndarray:
+    """The weight of the words of each bucket: the log of how rare they are among all distinct records, at most that of
+    ``RARE`` and never nothing. It depends on shares only, not on the size of the tables; ``BUCKETS`` numbers come back."""
+    out = np.full(BUCKETS, -np.log(RARE), dtype=np.float32)
+    for r in reps.select("foods").mapInArrow(_count_words, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = np.clip(np.log(records / r.n), 0.05, -np.log(RARE))
+    return out
 
 
 @lru_cache(maxsize=1)
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
-    return rng.integers(1, 1 << 62, 96, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, 96, dtype=np.uint64)
+    return rng.integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, 256, dtype=np.uint64)
 
 
-def _minhashes(tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """The n least hashes of each record's tokens; records lie behind one another, each with at least one token."""
+def _minhashes(tokens: np.ndarray, starts: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """``n`` hashes of each record, each of one of its tokens: of two records they are equal as often as their
+    (weighted) Jaccard similarity says. Records lie behind one another, each with at least one token."""
     a, b = _mixers()
-    x = tokens.astype(np.uint64) + np.uint64(1)
+    distinct, at = np.unique(tokens, return_inverse=True)
+    x = distinct.astype(np.uint64) + np.uint64(1)
     out = np.empty((len(starts), n), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
             h = a[k] * x + b[k]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, k] = np.minimum.reduceat(h >> np.uint64(8), starts)
+            h ^= h >> np.uint64(29)
+            # the race of exponential variables: a token wins as often as its weight's share
+            wait = h.astype(np.float64) if weights is None else -np.log((h.astype(np.float64) + 1) / 2.0**64) / weights[distinct % BUCKETS]
+            order = np.argsort(wait, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            out[:, k] = h[order[np.minimum.reduceat(place[at], starts)]]
     return out
 
 
@@ -119,90 +151,117 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``uid, side, food, title, pub, keys``: 64-bit sketches of foods and title, and every sort key of a record."""
+def _sketches(shared):
+    """``uid, side, food, food2, title, pub, keys``: sketches of foods and title, and every sort key of a record."""
     bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    part = lambda h, k: (h[:, k] >> np.uint64(36)).astype(np.int64) & 0xFFFFF
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        f = _minhashes(*_flat(batch.column("foods")), 64 + KEYS)
-        t = _minhashes(*_flat(batch.column("words")), 64)
-        sketch = lambda h: ((h[:, :64] & np.uint64(1)) * bits).sum(axis=1, dtype=np.uint64).view(np.int64)
-        pub = np.array([_h(x) if x else 0 for x in batch.column("short").to_pylist()], dtype=np.int32)
-        keys = np.empty((batch.num_rows, KEYS), dtype=np.int64)
-        for k in range(KEYS):
-            # every other key leaves the title out, for titles that hardly agree as written
-            first = part(f, 63 - k) if k % 2 else part(t, k)
-            keys[:, k] = (k - KEYS // 2 << 60) | first << 40 | part(f, k) << 20 | part(f, k + KEYS)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("side"), pa.array(sketch(f)), pa.array(sketch(t)), pa.array(pub), listed], names=["uid", "side", "food", "title", "pub", "keys"])
+    by_pub, by_title, by_food = KEYS
+    part = lambda h: (h >> np.uint64(40)).astype(np.int64) & 0xFFFFF
+    sketch = lambda h: (((h >> np.uint64(17)) & np.uint64(1)) * bits).sum(axis=1, dtype=np.uint64).view(np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed: dict[str, list[int]] = {}
 
-def _close(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the neighbours may match: other side or both on the right, sketches near, publishers not at odds."""
-    apart = lambda c: np.bitwise_count((t[c][left] ^ t[c][right]).view(np.uint64))
-    pub = (t["pub"][left] == t["pub"][right]) | (t["pub"][left] == 0) | (t["pub"][right] == 0)
-    return (t["side"][left] != t["side"][right]) & pub & (apart("food") <= FOOD_BITS) & (apart("title") <= TITLE_BITS) & (t["uid"][left] != t["uid"][right])
+        def grams(title: str) -> list[int]:
+            out = []
+            for w in title.split():
+                if w not in hashed:
+                    if len(hashed) > 100_000:
+                        hashed.clear()
+                    hashed[w] = [_h(f" {w} "[i : i + 3]) for i in range(len(w))]
+                out += hashed[w]
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            titles = batch.column("title").to_pylist()
+            f = _minhashes(*_flat(batch.column("foods")), 128 + 2 * sum(KEYS), shared.value)
+            g = _minhashes(*_flat(pa.array([grams(t) for t in titles], pa.list_(pa.int32()))), 64)
+            t = _minhashes(*_flat(pa.array([[_h(w) for w in t.split()] for t in titles], pa.list_(pa.int32()))), sum(KEYS))
+            pub = np.array([_h(x) if x else 0 for x in batch.column("short").to_pylist()], dtype=np.int64)
+            keys = np.empty((batch.num_rows, sum(KEYS)), dtype=np.int64)
+            for k in range(sum(KEYS)):
+                one, two = part(f[:, 128 + 2 * k]), part(f[:, 129 + 2 * k])
+                first, second, third = (pub & 0xFFFFF, part(t[:, k]), one) if k < by_pub else (part(t[:, k]), one, two) if k < by_pub + by_title else (one, two, part(t[:, k]))
+                keys[:, k] = (k - sum(KEYS) // 2 << 60) | first << 40 | second << 20 | third
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, sum(KEYS), dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("side"), pa.array(sketch(f[:, :64])), pa.array(sketch(f[:, 64:128])), pa.array(sketch(g)), pa.array(pub.astype(np.int32)), listed], names=[*_SORTED, "keys"])
+
+    return run
 
 
-def _window_pairs(t: dict[str, np.ndarray], only_across: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    n, out = len(t["uid"]), []
-    for d in range(1, min(WINDOW, n - 1) + 1):
-        left = np.arange(n - d)
-        if only_across is not None:
-            left = left[(left < only_across) & (left + d >= only_across)]
-        hit = left[_close(t, left, left + d)]
-        out.append((hit, hit + d))
+def _close(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which neighbours may match: sketches near, publishers not at odds."""
+    apart = lambda *cs: sum(np.bitwise_count((t[c][left] ^ t[c][right]).view(np.uint64)).astype(np.int32) for c in cs)
+    pub = (t["pub"][left] == t["pub"][right]) | (t["pub"][left] == 0) | (t["pub"][right] == 0)
+    return pub & (apart("food", "food2") <= FOOD_BITS) & (apart("title") <= TITLE_BITS) & (t["uid"][left] != t["uid"][right])
+
+
+def _window_pairs(t: dict[str, np.ndarray], anchors: int = 1, only_across: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs of a record of the side ``anchors`` and one of its ``WINDOW`` neighbours of the other side, before
+    or after it and within ``REACH`` places, as positions (anchor, other)."""
+    mine, other = np.flatnonzero(t["side"] == anchors), np.flatnonzero(t["side"] != anchors)
+    after = np.searchsorted(other, mine)
+    out = []
+    for d in range(min(WINDOW, len(other))):
+        for at in (after + d, after - 1 - d):
+            ok = (at >= 0) & (at < len(other))
+            i, j = mine[ok], other[at[ok]]
+            near = np.abs(i - j) <= REACH
+            if only_across is not None:
+                near &= (np.minimum(i, j) < only_across) & (np.maximum(i, j) >= only_across)
+            i, j = i[near], j[near]
+            hit = _close(t, i, j)
+            out.append((i[hit], j[hit]))
     if not out:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-_SORTED = ["uid", "side", "food", "title", "pub"]
-_SLIDE = "tag int, a long, b long, uid long, side int, food long, title long, pub int, at int"
+_SORTED = ["uid", "side", "food", "food2", "title", "pub"]
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+_SLIDE = "tag int, a long, b long, uid long, side int, food long, food2 long, title long, pub int, at int"
 
 
-def _slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slide(anchors: int):
     """Pairs within the windows of a sorted partition (tag 0), and its first and last rows for its neighbours (2p+1, 2p+2)."""
-    p = TaskContext.get().partitionId()
-    held: dict[str, np.ndarray] | None = None
-    head: dict[str, np.ndarray] | None = None
 
     def frame(tag: np.ndarray, t: dict[str, np.ndarray] | None, a=None, b=None) -> pa.RecordBatch:
-        n = len(tag)
-        none = lambda kind: pa.nulls(n, kind)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        none = lambda kind: pa.nulls(len(tag), kind)
         cols = [pa.array(tag, pa.int32()), *(pa.array(x, pa.int64()) if x is not None else none(pa.int64()) for x in (a, b))]
-        cols += [pa.array(t[c], k) if t else none(k) for c, k in zip(_SORTED, kinds)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(n), pa.int32())], names=["tag", "a", "b", *_SORTED, "at"])
-
-    for batch in batches:
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _SORTED}
-        old = 0 if held is None else len(held["uid"])
-        t = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in _SORTED}
-        i, j = _window_pairs(t)
-        new = j >= old
-        i, j = i[new], j[new]
-        if len(i):
-            swap = t["side"][i] > t["side"][j]
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            yield frame(np.zeros(len(i), dtype=np.int32), None, t["uid"][a], t["uid"][b])
-        if head is None or len(head["uid"]) < WINDOW:
-            head = {c: (now[c] if head is None else np.concatenate([head[c], now[c]]))[:WINDOW] for c in _SORTED}
-        held = {c: t[c][-WINDOW:] for c in _SORTED}
-    if held is not None:
-        yield frame(np.full(len(head["uid"]), 2 * p + 1, dtype=np.int32), head)
-        yield frame(np.full(len(held["uid"]), 2 * p + 2, dtype=np.int32), held)
-
-
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols += [pa.array(t[c], k) if t else none(k) for c, k in zip(_SORTED, _KINDS)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(tag)), pa.int32())], names=["tag", "a", "b", *_SORTED, "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = TaskContext.get().partitionId()
+        held: dict[str, np.ndarray] | None = None
+        head: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _SORTED}
+            old = 0 if held is None else len(held["uid"])
+            t = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in _SORTED}
+            i, j = _window_pairs(t, anchors)
+            new = np.maximum(i, j) >= old
+            i, j = (i[new], j[new]) if anchors == 0 else (j[new], i[new])
+            if len(i):
+                yield frame(np.zeros(len(i), dtype=np.int32), None, t["uid"][i], t["uid"][j])
+            if head is None or len(head["uid"]) < REACH:
+                head = {c: (now[c] if head is None else np.concatenate([head[c], now[c]]))[:REACH] for c in _SORTED}
+            held = {c: t[c][-REACH:] for c in _SORTED}
+        if held is not None:
+            yield frame(np.full(len(head["uid"]), 2 * p + 1, dtype=np.int32), head)
+            yield frame(np.full(len(held["uid"]), 2 * p + 2, dtype=np.int32), held)
+
+    return run
+
+
+def _across(pdf: pd.DataFrame, anchors: int) -> pd.DataFrame:
     """Pairs over the border of two partitions: the last rows of one (even tag) and the first of the next (odd)."""
     pdf = pdf.assign(after=pdf.tag % 2).sort_values(["after", "at"])
     t = {c: pdf[c].to_numpy() for c in _SORTED}
-    i, j = _window_pairs(t, int((pdf.after == 0).sum()))
-    swap = t["side"][i] > t["side"][j]
-    return pd.DataFrame({"a": t["uid"][np.where(swap, j, i)], "b": t["uid"][np.where(swap, i, j)]})
+    i, j = _window_pairs(t, anchors, int((pdf.after == 0).sum()))
+    i, j = (i, j) if anchors == 0 else (j, i)
+    return pd.DataFrame({"a": t["uid"][i], "b": t["uid"][j]})
 
 
 def _alike(a: str, b: str) -> bool:
@@ -218,8 +277,13 @@ def _alike(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-def title_similarity(a: str, b: str) -> float:
-    """Share of the words that both titles have, slips and lost blanks forgiven; twice the common over all."""
+def _runs(letters: str) -> set[str]:
+    return {letters[i : i + 3] for i in range(max(1, len(letters) - 2))}
+
+
+def title_similarity(a: str, b: str, letters_a: str = "", letters_b: str = "") -> float:
+    """Share of the words that both titles have, slips and lost blanks forgiven: twice the common over all. If it is
+    larger, the same of runs of three of the titles' bare letters, which misplaced blanks leave alone."""
     x, y = a.split(), b.split()
     left = [w for w in x if w not in y]
     right = [w for w in y if w not in x]
@@ -238,23 +302,23 @@ def title_similarity(a: str, b: str) -> float:
     for w in right:
         if any(w in (u + v, v + u) for u in x for v in x if u != v):
             glued += 1
-    return min(1.0, (2 * same + 2 * glued) / max(1, len(x) + len(y)))
+    by_words = min(1.0, (2 * same + 2 * glued) / max(1, len(x) + len(y)))
+    if by_words == 1.0 or not letters_a or not letters_b:
+        return by_words
+    p, q = _runs(letters_a), _runs(letters_b)
+    return max(by_words, 2 * len(p & q) / (len(p) + len(q)))
+
 
+def publishers_agree(full_a: str, full_b: str, short_a: str, short_b: str) -> float:
+    """1 where both are stated and agree up to spelling, 0.5 where one is not stated, 0 where they are at odds."""
+    if not full_a or not full_b:
+        return 0.5
+    return 1.0 if short_a == short_b and (full_a == full_b or _abbreviated(full_a, full_b)) else 0.0
 
-def confidence(title_a: str, title_b: str, foods_a, foods_b, pub_a: str, pub_b: str, short_a: str, short_b: str) -> float:
+
+def confidence(title: float, foods: float, by: float) -> float:
     """Weighted similarity of the fields, 0 where a field rules the match out. A publisher not stated is neutral."""
-    shared = len(set(foods_a) & set(foods_b))
-    foods = shared / max(1, len(foods_a) + len(foods_b) - shared)
-    if foods < LEAST_FOODS:
-        return 0.0
-    if pub_a and pub_b:
-        if short_a != short_b or (pub_a != pub_b and not _abbreviated(pub_a, pub_b)):
-            return 0.0
-        by = 1.0
-    else:
-        by = 0.5
-    title = title_similarity(title_a, title_b)
-    if title < LEAST_TITLE:
+    if foods < LEAST_FOODS or by == 0 or title < LEAST_TITLE:
         return 0.0
     total = WEIGHTS["title"] * title + WEIGHTS["foods"] * foods + WEIGHTS["publisher"] * by
     return round(total, 6) if total >= LEAST else 0.0
@@ -270,11 +334,21 @@ def _abbreviated(a: str, b: str) -> bool:
     return k >= 3 and b.endswith(a[k:]) or abs(len(a) - len(b)) <= 1 and a[:3] == b[:3]
 
 
-def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        s = [confidence(*x) for x in zip(p.title_a, p.title_b, p.foods_a, p.foods_b, p.publisher_a, p.publisher_b, p.short_a, p.short_b)]
-        out = p[["a", "b"]].assign(confidence=s)
-        yield out[out.confidence > 0]
+def _score(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        for p in batches:
+            scores = []
+            for ta, tb, la, lb, fa, fb, pa_, pb, sa, sb in zip(p.title_a, p.title_b, p.letters_a, p.letters_b, p.foods_a, p.foods_b, p.publisher_a, p.publisher_b, p.short_a, p.short_b):
+                by = publishers_agree(pa_, pb, sa, sb)
+                both = np.intersect1d(fa, fb, assume_unique=True)
+                shared_, one, other = w[both % BUCKETS].sum(), w[fa % BUCKETS].sum(), w[fb % BUCKETS].sum()
+                foods = float(shared_) / max(1e-9, float(one) + float(other) - float(shared_))
+                scores.append(confidence(title_similarity(ta, tb, la, lb), foods, by) if by and foods >= LEAST_FOODS else 0.0)
+            out = p[["a", "b"]].assign(confidence=scores)
+            yield out[out.confidence > 0]
+
+    return run
 
 
 def _hungarian(profit: np.ndarray) -> list[tuple[int, int]]:
@@ -308,49 +382,75 @@ def _hungarian(profit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One group of rivals: exact up to ``EXACT`` on the smaller side, else the best pair first."""
-    pdf = pdf.sort_values(["confidence", "ea", "eb"], ascending=[False, True, True])
+    """One group of rivals, exactly."""
     rows, cols = sorted(set(pdf.ea)), sorted(set(pdf.eb))
-    if min(len(rows), len(cols)) > EXACT:
-        a, b, kept = set(), set(), []
-        for x in pdf.itertuples():
-            if x.ea not in a and x.eb not in b:
-                a.add(x.ea)
-                b.add(x.eb)
-                kept.append((x.ea, x.eb))
-    else:
-        ri, ci = {k: n for n, k in enumerate(rows)}, {k: n for n, k in enumerate(cols)}
-        profit = np.zeros((len(rows), len(cols)))
-        for x in pdf.itertuples():
-            profit[ri[x.ea], ci[x.eb]] = max(profit[ri[x.ea], ci[x.eb]], x.confidence)
-        flip = len(rows) > len(cols)
-        got = _hungarian(profit.T if flip else profit)
-        kept = [(rows[j], cols[i]) if flip else (rows[i], cols[j]) for i, j in got]
-    return pd.DataFrame(kept, columns=["ea", "eb"])
-
-
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``node, label``: the smallest node of each node's component, by passing labels along until none changes."""
-    both = cut(edges.select(F.col("x"), F.col("y")).union(edges.select("y", "x")).distinct())
-    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "node"))
-    for _ in range(rounds):
-        heard = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("heard"))
-        new = cut(labels.join(heard.withColumnRenamed("x", "node"), "node", "left").select("node", F.least("label", F.coalesce("heard", "label")).alias("label"), (F.col("heard") < F.col("label")).alias("moved")))
+    ri, ci = {k: n for n, k in enumerate(rows)}, {k: n for n, k in enumerate(cols)}
+    profit = np.zeros((len(rows), len(cols)))
+    for x in pdf.itertuples():
+        profit[ri[x.ea], ci[x.eb]] = max(profit[ri[x.ea], ci[x.eb]], x.confidence)
+    flip = len(rows) > len(cols)
+    got = _hungarian(profit.T if flip else profit)
+    return pd.DataFrame([(rows[j], cols[i]) if flip else (rows[i], cols[j]) for i, j in got], columns=["ea", "eb"])
+
+
+def auction(edges: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """``ea, eb``: an assignment of ``edges`` (``ea, eb, confidence``, each pair once) whose total confidence is within
+    ``epsilon`` a record of the highest. No group is gathered: in each round every unassigned record bids for its best
+    partner at present prices, and each partner goes to the highest bid. Prices only rise, so it ends."""
+    spark = edges.sparkSession
+    edges = stored(edges)
+    held = spark.createDataFrame([], "ea string, eb string, price double")
+    while True:
+        free = edges.join(held.select("ea"), "ea", "left_anti").join(held.select("eb", "price"), "eb", "left")
+        worth = free.select("ea", "eb", F.coalesce("price", F.lit(0.0)).alias("price")).join(edges, ["ea", "eb"]).withColumn("value", F.col("confidence") - F.col("price")).where("value > 0")
+        n = F.row_number().over(Window.partitionBy("ea").orderBy(F.desc("value"), "eb"))
+        two = worth.withColumn("n", n).where("n <= 2")
+        bids = two.groupBy("ea").agg(F.max(F.when(F.col("n") == 1, F.struct("value", "eb", "price"))).alias("best"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("value"))), F.lit(0.0)).alias("second"))
+        offers = bids.select("ea", "best.eb", (F.col("best.price") + F.col("best.value") - F.col("second") + F.lit(epsilon)).alias("price"))
+        won = stored(offers.groupBy("eb").agg(F.max_by(F.struct("ea", "price"), F.struct("price", "ea")).alias("w")).select("w.ea", "eb", "w.price"))
+        if not won.limit(1).count():
+            return held.select("ea", "eb")
+        held = stored(held.join(won.select("eb"), "eb", "left_anti").select("ea", "eb", "price").union(won))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node of each node's component. Labels are passed to neighbours, and each node takes
+    over its label's label, until nothing moves; so the rounds grow with the logarithm of a chain's length."""
+    both = stored(edges.select("x", "y").union(edges.select("y", "x")).distinct())
+    labels = stored(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")))
+    while True:
+        heard = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("heard"))
+        passed = stored(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
+        further = passed.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = stored(passed.join(further, "label").select("node", "old", F.least("label", "further").alias("label")))
+        if not new.where("label <> old").limit(1).count():
+            return new.select("node", "label")
         labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            break
-    return labels
 
 
-def match(left: DataFrame, right: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def assignment(edges: DataFrame) -> DataFrame:
+    """``ea, eb``: of rival ``edges`` (``ea, eb, confidence``) the one-to-one choice with the highest total confidence,
+    group by group; a group too large for one task goes to the auction."""
+    label = components(edges.select(F.concat(F.lit("l"), "ea").alias("x"), F.concat(F.lit("r"), "eb").alias("y")))
+    own = label.where("node like 'l%'").select(F.expr("substring(node, 2)").alias("ea"), "label")
+    size = label.groupBy("label").agg(F.least(F.count_if(F.col("node").like("l%")), F.count_if(F.col("node").like("r%"))).alias("n"))
+    grouped = stored(edges.join(own, "ea").join(size, "label"))
+    links = grouped.groupBy("label", "n").agg(F.count("*").alias("links")).withColumn("small", (F.col("n") <= EXACT) & (F.col("links") <= EXACT_LINKS)).select("label", "small")
+    grouped = stored(grouped.join(links, "label"))
+    exact = grouped.where("small").groupBy("label").applyInPandas(_assign, "ea string, eb string")
+    large = grouped.where("not small").select("ea", "eb", "confidence")
+    return exact.union(auction(large)) if large.limit(1).count() else exact
+
+
+def match(left: DataFrame, right: DataFrame) -> DataFrame:
     """``left, right, confidence``: the records of two tables that describe one thing.
 
     Both frames have ``key, title, lines, publisher, entity``: lines are an array of strings, ``entity`` is equal for
-    records known to be one (a null stands for the key). Titles and most foods have to agree up to wording, the
-    publishers where both are stated. Records without a title or any line take no part, so are foods outside the
-    words that at least ``vocabulary`` titles use. Of several candidates one entity of each table is matched to one
-    of the other, with the highest total confidence; all its records, and records of the right table that are
-    copies of the matched one up to wording, are returned. Keys are strings; repeated keys count once.
+    records known to be one (a null stands for the key). Titles and most ingredients have to agree up to wording, the
+    publishers where both are stated. Records without a title or any line take no part. Words of the lines count by
+    their rarity among all records. Of several candidates one entity of each table is matched to one of the other, with
+    the highest total confidence; all its records are returned, and so are records of the right table that are copies
+    of the matched one, which they have to be as like as a match is. Keys are strings; repeated keys count once.
 
     Exact copies are collapsed before sorting, so no group of copies can fill the windows. The sort by hashed keys
     with a record's own hash as tie-breaker splits hot keys over partitions; windows go over partition borders.
@@ -359,49 +459,45 @@ def match(left: DataFrame, right: DataFrame, vocabulary: int = VOCABULARY) -> Da
     cols = [F.col("key").cast("string"), F.col("title"), F.col("lines"), F.col("publisher")]
     feats = left.select(*cols).mapInArrow(_features(0), _FEATURES).unionByName(right.select(*cols).mapInArrow(_features(1), _FEATURES))
     feats = stored(feats)
-    words = feats.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= vocabulary).select("w")
-    foods = feats.select("uid", F.explode("foods").alias("w")).join(small(words), "w", "left_semi").groupBy("uid").agg(F.array_sort(F.collect_set("w")).alias("foods"))
-    known = feats.drop("foods").dropDuplicates(["uid"]).join(foods, "uid")
-    cls = F.xxhash64("side", "words", "foods", "publisher")
-    known = stored(known.withColumn("cls", cls))
-    reps = known.groupBy("side", "cls").agg(F.min_by(F.struct("uid", "title", "words", "foods", "publisher", "short"), "uid").alias("r")).select("side", "cls", "r.*")
-    reps = stored(reps)
+    fields = ["title", "letters", "foods", "publisher", "short"]
+    reps = stored(feats.groupBy("uid").agg(F.any_value("side").alias("side"), F.any_value(F.struct(*fields)).alias("r")).select("uid", "side", "r.*"))
+    count = {r.side: r.n for r in reps.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    records, anchors = sum(count.values()), int(count.get(1, 0) <= count.get(0, 0))
+    shared = spark.sparkContext.broadcast(word_weights(reps, max(1, records)))
     # sketches and keys are made once and stored: range partitioning reads its input twice
-    slim = stored(reps.select("uid", "side", "words", "foods", "short").mapInArrow(_sketches, "uid long, side int, food long, title long, pub int, keys array<long>"))
+    sketches = ", ".join(f"{c} {'int' if c in ('side', 'pub') else 'long'}" for c in _SORTED)
+    slim = stored(reps.select("uid", "side", "title", "foods", "short").mapInArrow(_sketches(shared), f"{sketches}, keys array<long>"))
     rows = slim.select(F.explode("keys").alias("k"), *_SORTED)
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * KEYS // (100 * WINDOW)))
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), records * sum(KEYS) // (20 * REACH)))
     ordered = rows.repartitionByRange(n, "k", "uid").sortWithinPartitions("k", "uid")
-    slid = stored(ordered.select(*_SORTED).mapInArrow(_slide, _SLIDE))
-    border = slid.where("tag > 0").withColumn("border", F.floor(F.col("tag") / 2)).groupBy("border").applyInPandas(_across, "a long, b long")
+    slid = stored(ordered.select(*_SORTED).mapInArrow(_slide(anchors), _SLIDE))
+    border = slid.where("tag > 0").withColumn("border", F.floor(F.col("tag") / 2)).groupBy("border").applyInPandas(partial(_across, anchors=anchors), "a long, b long")
     pairs = slid.where("tag = 0").select("a", "b").union(border).distinct()
-    fields = ["title", "foods", "publisher", "short"]
-    side = lambda s: reps.select(F.col("uid").alias(s), F.col("cls").alias(f"cls_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in fields))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_score, "a long, b long, confidence double")
-    scored = stored(scored.join(reps.select(F.col("uid").alias("a"), F.col("cls").alias("ca")), "a").join(reps.select(F.col("uid").alias("b"), F.col("cls").alias("cb")), "b").select("ca", "cb", "confidence"))
+    scored = stored(_scored(pairs, reps, fields, shared))
     # back from classes of copies to entities
-    ent = lambda f: f.select(F.col("key").cast("string").alias("key"), F.coalesce(F.col("entity").cast("string"), F.col("key").cast("string")).alias("entity")).dropDuplicates(["key"])
-    whole = lambda s, f: known.where(F.col("side") == s).select("key", "cls").join(ent(f), "key")
-    lefts, rights = whole(0, left).select(F.col("key").alias("left"), F.col("cls").alias("ca"), F.col("entity").alias("ea")), whole(1, right).select(F.col("key").alias("right"), F.col("cls").alias("cb"), F.col("entity").alias("eb"))
-    full = stored(scored.join(lefts, "ca").join(rights, "cb").select("left", "right", "ea", "eb", "confidence"))
+    ent = lambda f: f.select(F.col("key").cast("string").alias("key"), F.coalesce(F.col("entity").cast("string"), F.col("key").cast("string")).alias("entity")).groupBy("key").agg(F.min("entity").alias("entity"))
+    whole = lambda s, f: feats.where(F.col("side") == s).select("key", "uid").distinct().join(ent(f), "key")
+    lefts = whole(0, left).select(F.col("key").alias("left"), F.col("uid").alias("a"), F.col("entity").alias("ea"))
+    rights = whole(1, right).select(F.col("key").alias("right"), F.col("uid").alias("b"), F.col("entity").alias("eb"))
+    full = stored(scored.join(lefts, "a").join(rights, "b"))
     edges = full.groupBy("ea", "eb").agg(F.max("confidence").alias("confidence"))
     da, db = (edges.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for c in ("ea", "eb"))
     edges = stored(edges.join(da, "ea").join(db, "eb"))
-    clear = edges.where("n_ea = 1 and n_eb = 1").select("ea", "eb")
     rival = edges.where("n_ea > 1 or n_eb > 1").select("ea", "eb", "confidence")
-    label = components(rival.select(F.concat(F.lit("l"), "ea").alias("x"), F.concat(F.lit("r"), "eb").alias("y")))
-    grouped = rival.join(label.select(F.expr("substring(node, 2)").alias("ea"), "label").where("node like 'l%'"), "ea")
-    chosen = clear.union(grouped.groupBy("label").applyInPandas(_assign, "ea string, eb string"))
-    # a record of the right table held twice: a rival that is nearly as sure for the same left entity is a copy
-    best = edges.join(chosen, ["ea", "eb"]).select("ea", F.col("confidence").alias("sure"))
-    taken = chosen.select(F.col("eb"), F.lit(True).alias("taken"))
-    copies = rival.join(chosen, ["ea", "eb"], "left_anti").join(taken, "eb", "left_anti").join(best, "ea").where(F.col("confidence") >= COPY * F.col("sure"))
-    top = copies.groupBy("eb").agg(F.max_by("ea", F.struct("confidence", "ea")).alias("ea")).select("ea", "eb")
-    final = chosen.union(top)
-    return full.join(final, ["ea", "eb"]).groupBy("left", "right").agg(F.max("confidence").alias("confidence"))
-
-
-#: Share of the matched record's confidence from which an unmatched rival counts as its copy.
-COPY = 0.75
+    chosen = stored(edges.where("n_ea = 1 and n_eb = 1").select("ea", "eb").union(assignment(rival)))
+    # rivals left over for a matched record of the left table: copies of its match, if they are like it
+    over = rival.join(chosen.select("eb"), "eb", "left_anti").join(chosen.withColumnRenamed("eb", "first"), "ea")
+    named = full.select("eb", "b").distinct()
+    beside = stored(over.join(named, "eb").join(named.select(F.col("eb").alias("first"), F.col("b").alias("a")), "first").select("ea", "eb", "confidence", "a", "b"))
+    like = _scored(beside.select("a", "b").distinct(), reps, fields, shared).select("a", "b")
+    copies = beside.join(like, ["a", "b"]).groupBy("eb").agg(F.max_by("ea", F.struct("confidence", "ea")).alias("ea")).select("ea", "eb")
+    return full.join(chosen.union(copies), ["ea", "eb"]).groupBy("left", "right").agg(F.max("confidence").alias("confidence"))
+
+
+def _scored(pairs: DataFrame, reps: DataFrame, fields: list[str], shared) -> DataFrame:
+    """``a, b, confidence`` of the pairs that may match."""
+    side = lambda s: reps.select(F.col("uid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in fields))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_score(shared), "a long, b long, confidence double")
 
 
 def stated(source: Column, url: Column) -> Column:

@@ -65,7 +65,7 @@ def test_linkage(spark):
     right += [("none", None, ["salmon"], None, None), ("empty", "salmon pie", None, None, None), right[0]]
     schema = "key string, title string, lines array<string>, publisher string, entity string"
     l, r = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
-    got = pairs(linkage.match(l, r, vocabulary=1), "left", "right")
+    got = pairs(linkage.match(l, r), "left", "right")
     want = {(str(k), f"m{k}") for k in range(60)}
     assert len(got & want) >= 57 and len(got - want) <= 2
     assert linkage.match(l, r.limit(0)).count() == 0
@@ -246,4 +246,73 @@ def test_stuffing_does_not_depend_on_the_number_of_hosts(spark):
 def test_windows_hold_thirty_neighbours():
     n = 26  # other foods than the first and the last record
     t = {"uid": np.arange(n), "side": np.array([0] * (n - 1) + [1]), "food": np.array([0] + [-1] * (n - 2) + [0]), "title": np.zeros(n, dtype=np.int64), "pub": np.zeros(n, dtype=np.int32)}
-    assert [(int(a), int(b)) for a, b in zip(*linkage._window_pairs(t))] == [(0, n - 1)]
+    t["food2"] = t["food"]
+    assert [(int(a), int(b)) for a, b in zip(*linkage._window_pairs(t))] == [(n - 1, 0)]
+
+
+def test_windows_go_over_borders_and_batches():
+    rng = np.random.default_rng(4)
+    n, small = 5_000, 40  # far apart from one another but for some
+    t = {"uid": np.arange(n), "side": (rng.random(n) < 0.3).astype(np.int64), "pub": np.zeros(n, dtype=np.int32), "title": np.zeros(n, dtype=np.int64)}
+    t["food"] = t["food2"] = np.where(rng.random(n) < 0.1, 0, rng.integers(-(2**62), 2**62, n))
+    whole = {(int(a), int(b)) for a, b in zip(*linkage._window_pairs(t))}
+    pieces, at = set(), 2_300
+    for a, z in ((0, at), (at, n)):
+        pieces |= {(int(t["uid"][a:z][i]), int(t["uid"][a:z][j])) for i, j in zip(*linkage._window_pairs({c: v[a:z] for c, v in t.items()}))}
+    around = {c: v[at - linkage.REACH : at + linkage.REACH] for c, v in t.items()}
+    pieces |= {(int(around["uid"][i]), int(around["uid"][j])) for i, j in zip(*linkage._window_pairs(around, 1, linkage.REACH))}
+    assert whole == pieces and len(whole) > small
+
+
+def test_components_of_long_chains(spark):
+    chain = spark.createDataFrame([(f"n{k:04d}", f"n{k + 1:04d}") for k in range(300)] + [("x", "y")], "x string, y string")
+    labels = {r.node: r.label for r in linkage.components(chain).collect()}
+    assert len(labels) == 303 and set(labels.values()) == {"n0000", "x"} and labels["y"] == "x"
+    assert linkage.components(chain.limit(0)).count() == 0
+
+
+def test_auction_is_near_the_best_total(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    profit = np.where(rng.random((25, 30)) < 0.3, np.round(0.5 + rng.random((25, 30)) / 2, 6), 0)
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}", float(profit[i, j])) for i, j in zip(*np.nonzero(profit))], "ea string, eb string, confidence double")
+    best = sum(profit[i, j] for i, j in linkage._hungarian(profit))
+    value = lambda df: sum(profit[int(r.ea[1:]), int(r.eb[1:])] for r in df.collect())
+    got = linkage.auction(edges).collect()
+    assert len({r.ea for r in got}) == len({r.eb for r in got}) == len(got)
+    assert best - 25 * linkage.EPSILON <= value(linkage.auction(edges)) <= best + 1e-9
+    assert value(linkage.assignment(edges)) == pytest.approx(best)
+    monkeypatch.setattr(linkage, "EXACT", 3)  # the group is too large for one task
+    assert value(linkage.assignment(edges)) >= best - 25 * linkage.EPSILON
+
+
+def test_leftover_rivals_are_copies_only_if_alike(spark):
+    foods = ["parsnips", "red lentils", "whole milk", "barley", "spelt flour", "rhubarb", "smoked mackerel", "walnuts"]
+    other = ["parsnips", "red lentils", "whole milk", "barley", "spelt flour", "basmati rice", "kale", "honey", "fennel seeds"]
+    noise = [(f"x{k}", f"plain word{k} thing{k}", [f"stuff{k}", f"more{k}", f"else{k}"], None, None) for k in range(40)]
+    schema = "key string, title string, lines array<string>, publisher string, entity string"
+    left = spark.createDataFrame([("1", "Harvest Barley Soup", foods, "torvel-hearth", None), *noise], schema)
+    right = spark.createDataFrame([("m1", "Harvest Barley Soup", foods, None, None), ("m2", "harvest barley soup", foods[:7] + ["salt"], None, None), ("m3", "Harvest Barley Soup", foods[:1] + other[1:], None, None)], schema)
+    assert pairs(linkage.match(left, right), "left", "right") == {("1", "m1"), ("1", "m2")}
+
+
+def test_linkage_finds_what_all_pairs_find(spark):
+    import os
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the test tables are not there")
+    from cookwright.llm import catalog
+
+    got = pairs(catalog.p3_found(spark, d), "row_ix", "record_key")
+    left = spark.read.parquet(f"{d}/sample_recipes.parquet").select("row_ix", "name", "ingredients", linkage.stated(F.col("source"), F.col("url")).alias("s")).collect()
+    right = spark.read.parquet(f"{d}/method_corpus.parquet").collect()
+    foods = lambda lines: {w for x in lines or [] if x for w in linkage._LETTERS.findall(linkage.fold(x)) if len(w) > 2}
+    ls = [(r.row_ix, " ".join(linkage.title_words(r.name)), foods(r.ingredients), *linkage.publisher(r.s)) for r in left]
+    rs = [(r.record_key, " ".join(linkage.title_words(r.title)), foods(r.ingredients), *linkage.publisher(r.credit)) for r in right]
+    df: dict = {}
+    for x in ls + rs:
+        for w in x[2]:
+            df[w] = df.get(w, 0) + 1
+    weight = lambda ws: sum(min(4.0, np.log(len(ls + rs) / df[w])) for w in ws)
+    sure = {(a[0], b[0]) for a in ls for b in rs if a[1] and b[1] and a[2] and b[2] and linkage.publishers_agree(a[3], b[3], a[4], b[4]) and linkage.title_similarity(a[1], b[1]) >= 0.6 and weight(a[2] & b[2]) >= 0.5 * weight(a[2] | b[2])}
+    assert len(sure) > 20 and len(sure & got) >= 0.97 * len(sure)
