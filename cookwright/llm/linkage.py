@@ -31,8 +31,9 @@ WINDOW, REACH = 30, 600
 #: Least similarities of titles and of ingredients, and of the whole, for a match.
 LEAST_TITLE, LEAST_FOODS, LEAST = 0.5, 0.43, 0.5
 WEIGHTS = {"title": 0.4, "foods": 0.5, "publisher": 0.1}
-#: Differing bits, of 128 and of 64, up to which sketches of foods and of titles may belong to a match.
-FOOD_BITS, TITLE_BITS = 50, 31
+#: Differing bits, of 128 and of 64, up to which sketches of foods and of titles may belong to a match, and of both
+#: together. At scale 0.1 these let 4,415 of 4,415 pairs pass that the similarities accept.
+FOOD_BITS, TITLE_BITS, BITS = 46, 28, 62
 #: Places of the table of word frequencies (bounded, so that it can be broadcast; words that share one count together),
 #: and the share of records from which a word is as rare as any.
 BUCKETS, RARE = 1 << 18, 0.018
@@ -194,7 +195,8 @@ def _close(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     """Which neighbours may match: sketches near, publishers not at odds."""
     apart = lambda *cs: sum(np.bitwise_count((t[c][left] ^ t[c][right]).view(np.uint64)).astype(np.int32) for c in cs)
     pub = (t["pub"][left] == t["pub"][right]) | (t["pub"][left] == 0) | (t["pub"][right] == 0)
-    return pub & (apart("food", "food2") <= FOOD_BITS) & (apart("title") <= TITLE_BITS) & (t["uid"][left] != t["uid"][right])
+    foods, titles = apart("food", "food2"), apart("title")
+    return pub & (foods <= FOOD_BITS) & (titles <= TITLE_BITS) & (foods + titles <= BITS) & (t["uid"][left] != t["uid"][right])
 
 
 def _window_pairs(t: dict[str, np.ndarray], anchors: int = 1, only_across: int | None = None) -> tuple[np.ndarray, np.ndarray]:
