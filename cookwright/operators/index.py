@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cookwright.functions import text as T
 from cookwright.functions.query_text import normalize_text
 from cookwright.functions.query_text import terms as line_terms
-from cookwright.plans.frames import stored
+from cookwright.plans.frames import spread, stored
 
 VERSION = "2"
 MAX_FEATURES = 40_000
@@ -44,12 +44,6 @@ def term_batches(batches: Iterator[pa.RecordBatch], text_limit: int | None = Non
         yield pa.RecordBatch.from_arrays([b.column("row_ix"), b.column("name"), *(pa.array(o, k) for o, k in zip(out, kinds))], names=["row_ix", "name", "name_norm", "terms", "text"])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores: only where it has fewer partitions than there are cores is it shuffled."""
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
-
-
 def term_table(recipes: DataFrame, text_limit: int | None = None) -> DataFrame:
     """``row_ix, name, name_norm, terms, text``: what ranking needs of each recipe. No shuffle but where
     the input has fewer partitions than there are cores.

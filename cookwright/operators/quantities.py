@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cookwright.functions.encoding import LOST, SINGLE, garble, repair
+from cookwright.plans.frames import spread
 
 # Other names of the units, by the name that the table of factors has.
 ALIASES = {
@@ -243,7 +244,7 @@ def quantities(recipes: DataFrame, factors: DataFrame) -> DataFrame:
     Lines are read whole. An amount whose thousandths a bigint can't hold gives no row. No shuffle: one pass over the
     input, then a broadcast join with the factors of the known units in one row.
     """
-    found = recipes.select("row_ix", "ingredients", "recipe_yield").mapInArrow(_parse_batches, _DDL)
+    found = spread(recipes.select("row_ix", "ingredients", "recipe_yield")).mapInArrow(_parse_batches, _DDL)
     known = factors.where(F.col("unit").isin(list(ALIASES)) & F.col("base_unit").isNotNull() & (F.col("factor") > 0)).groupBy("unit").agg(F.max(F.struct("factor", "base_unit")).alias("f"))
     known = known.select("unit", F.struct(F.col("f.base_unit").alias("base"), (F.col("f.factor") * 1_000_000).cast("decimal(13,0)").alias("millionths")).alias("f"))
     known = known.union(factors.sparkSession.sql("select 'count', struct('count' as base, cast(1000000 as decimal(13,0)) as millionths)"))

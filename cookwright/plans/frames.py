@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the session names, or a local one set here if it names none.
 
-    On a cluster ``spark.checkpoint.dir`` has to name storage that all executors share. Only where it is
-    unset, as in tests on one machine, a temporary folder is used.
+    On a cluster ``spark.checkpoint.dir`` has to name storage that all executors share; it is an error if it is unset.
+    Only on one machine (a ``local`` master) a temporary folder is used instead.
     """
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cookwright-checkpoints"))
     return jsc.getCheckpointDir().get()
 
@@ -63,6 +65,12 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: only where it has fewer partitions than there are cores, as small files do, is it shuffled."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``limit`` rows, otherwise as it is.
 
