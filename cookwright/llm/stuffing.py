@@ -1,40 +1,40 @@
 """Keyword-stuffed pages, link lists and product tags, told from prose, recipes and glossaries.
 
-Each page is split into segments. Sentences and stated ingredients are content; links, hash tags, article numbers,
-menus and heaps of keywords are list words. What is neither (short phrases without a verb or an amount) is decided
-by replication: its phrase shingles are exploded, the hosts that use each are counted over the whole corpus, and
-the segment counts as stitched together if the page itself uses its phrases again and again, or other hosts do and
-far more often than they would by chance. Neither depends on the size of the corpus. A page is flagged when its list
-words hold more than half of its words.
+Each page is split into segments. Sentences and stated ingredients are content; what has the density of a list (links,
+hash tags, article numbers, separators, words without function words) and short phrases that are neither are open to
+doubt. Their phrase shingles, five words long and two words long, are exploded, and the hosts that use each phrase are
+counted over all texts. Words count as stuffing where both kinds of evidence meet: they stand in phrases that other
+hosts or the page itself use again and again, and outside content. A page is flagged when that is more than half of
+its words. In shingles a link, a hash tag and a number are each one word, whatever they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cookwright.operators.quantities import parse_amounts
-from cookwright.plans.frames import small, stored
-
-#: Words of a phrase shingle of a segment that is neither content nor list.
-PHRASE = 2
-#: Hosts that have to use a phrase before its association is judged.
-HOSTS = 3
-#: Segments of a page that have to share a phrase before it counts as repeated.
-REPEATS = 3
-#: Normalised pointwise mutual information of a phrase's words over hosts from which it counts as replicated: 0 where
-#: as many hosts use the phrase as would by chance, 1 where its words stand only in it, whatever the number of hosts.
+from cookwright.plans.frames import spread, stored
+
+#: Words of a phrase that is replicated if hosts use it, and of one whose words have to be associated besides.
+PHRASE, SHORT = 5, 2
+#: Hosts that have to use a phrase, and places of one page that count as replication of their own.
+HOSTS, REPEATS = 3, 3
+#: Normalised pointwise mutual information of a short phrase's words over hosts from which it counts as replicated: 0
+#: where as many hosts use the phrase as would by chance, 1 where its words stand only in it, whatever the number of hosts.
 ASSOCIATION = 0.5
-#: Share of list words above which a page is flagged.
+#: Share of stuffing above which a page is flagged.
 SHARE = 0.5
 #: Share of function words that makes words between full stops a sentence.
 FUNCTION_SHARE = 0.12
+#: Bits of the filter that keeps phrases of no doubtful page from leaving the scan of all texts; hits are joined exactly.
+FILTER_BITS = 1 << 26
 
 # Function words that sentences have and lists of keywords don't.
 FUNCTION_WORDS = frozenset(
@@ -45,6 +45,7 @@ FUNCTION_WORDS = frozenset(
 ) - frozenset("i in no".split())
 
 _WORD = re.compile(r"\w+(?:['’]\w+)?")
+_TOKEN = re.compile(r"#\w+|\x00|\w+(?:['’]\w+)?")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}/\S*|\b[\w-]+\.(?:example|com|net|org|info|biz|io|shop|de|se|es|co|uk)\b\S*", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]+\]\([^)\s]+\)", re.I | re.S)
 _MARKUP = re.compile(r"<a\s|\[url|\]\(", re.I)
@@ -58,145 +59,287 @@ _BULLET = re.compile(r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+")
 _COUNTED = re.compile(r"^\d[\d\s/.,½¼¾⅓⅔–-]*\s*[^\W\d]")
 _MENU = re.compile(r"^[^\d]{1,40}\(\d+\)$")
 _CAMEL = re.compile(r"[a-zà-ÿ\d][A-ZÀ-Þ]")
+_CAMEL_WORD = re.compile(r"\w*[a-zà-ÿ\d][A-ZÀ-Þ]\w*")
+
+LIST, OPEN, CONTENT = 2, 1, 0
+_functions = FUNCTION_WORDS.__contains__
 
 
 def _is_sentence(words: list[str]) -> bool:
-    n = sum(w.lower() in FUNCTION_WORDS for w in words)
-    return len(words) >= 3 and n >= max(1, FUNCTION_SHARE * len(words))
+    n = len(words)
+    return n >= 3 and sum(map(_functions, words)) >= max(1, FUNCTION_SHARE * n)
+
 
+def _sentences(body: str) -> list[tuple[int, int, str]]:
+    """The pieces of a line between full stops: kind, words, text."""
+    out = []
+    for piece in _SENTENCE.split(body):
+        words = _WORD.findall(piece.lower())
+        if words:
+            kind = CONTENT if _is_sentence(words) else LIST if len(words) >= 3 and piece[-1:] in ".!?…" else OPEN
+            out.append((kind, len(words), piece))
+    return out
 
-def segments(text: str) -> tuple[int, int, list[list[str]]]:
-    """Words of the page, words of its evident lists, and the undecided segments as lists of words."""
-    listed = 0
-    # links first: their addresses and anchors are list words wherever they stand
+
+def without_links(text: str) -> tuple[str, int, int]:
+    """The text with each link as one sign; the links, and the words in their addresses and anchors."""
+    links = words = 0
     for pattern, hint in ((_ANCHOR, _MARKUP), (_URL, _DOTTED)):
         if hint.search(text):
-            listed += sum(len(_WORD.findall(m)) for m in pattern.findall(text))
-            text = pattern.sub(" \x00 ", text)
-    total, open_ = listed, []
+            found = pattern.findall(text)
+            if found:
+                links += len(found)
+                words += sum(len(_WORD.findall(m)) for m in found)
+                text = pattern.sub(" \x00 ", text)
+    return text, links, words
+
+
+def segments(text: str) -> tuple[int, float, list[tuple[int, float, str]]]:
+    """Words of the page, words of one of its links, and its segments in order: kind, words and text, in which links
+    are single signs."""
+    text, links, linked = without_links(text)
+    per_link = linked / links if links else 0.0
+    total, out = 0.0, []
     for line in text.split("\n"):
-        links = line.count("\x00")
-        line = line.replace("\x00", " ").strip()
-        words = _WORD.findall(line)
-        if not words:
-            continue
-        total += len(words)
+        n_links = line.count("\x00")
+        plain = line.replace("\x00", " ").strip() if n_links else line.strip()
+        words = _WORD.findall(plain.lower())
         n = len(words)
-        body = _BULLET.sub("", line)
-        functions = sum(w.lower() in FUNCTION_WORDS for w in words)
+        if not n and not n_links:
+            continue
+        total += n + n_links * per_link
+        if not n:
+            out.append((LIST, n_links * per_link, line))
+            continue
+        body = _BULLET.sub("", plain)
+        functions = sum(map(_functions, words))
         spoken = n >= 3 and functions >= max(1, FUNCTION_SHARE * n)
-        if links and n <= 6 * links and not spoken:
-            listed += n  # the labels of links
-        elif ("#" in line and 2 * len(_TAG.findall(line)) >= n) or (n >= 3 and 2 * sum(bool(_CAMEL.search(w)) for w in words) >= n) or (_NUMBERED.search(line) and _CODE.search(line)) or _MENU.match(body):
-            listed += n
-        elif (cuts := len(_SEPARATOR.findall(body))) >= 3 and n <= 7 * (cuts + 1) and not (spoken and line[-1] in ".!?…"):
-            listed += n
-        elif line[-1] in ".!?…\"”’)" and not _COUNTED.match(body) and len(body) > 0:
-            for piece in _SENTENCE.split(body):
-                ws = _WORD.findall(piece)
-                if ws and not _is_sentence(ws):
-                    if len(ws) >= 3 and piece[-1:] in ".!?…":
-                        listed += len(ws)
-                    else:
-                        open_.append(ws)
+        parts = None
+        if n_links and n <= 6 * n_links and not spoken:
+            kind = LIST  # the labels of links
+        elif ("#" in plain and 2 * len(_TAG.findall(plain)) >= n) or (n >= 3 and _CAMEL.search(plain) and 2 * len(_CAMEL_WORD.findall(plain)) >= n) or (_NUMBERED.search(plain) and _CODE.search(plain)) or _MENU.match(body):
+            kind = LIST
+        elif (cuts := len(_SEPARATOR.findall(body))) >= 3 and n <= 7 * (cuts + 1) and not (spoken and plain[-1] in ".!?…"):
+            kind = LIST
+        elif plain[-1] in ".!?…\"”’)" and body and not _COUNTED.match(body):
+            kind, parts = OPEN, _sentences(body)
         elif n <= 16 and (_COUNTED.match(body) or parse_amounts(body)):
-            pass  # an ingredient
+            kind = CONTENT  # an ingredient
         elif n > 8 and spoken and functions >= 0.25 * n and body.count(",") * 6 < n:
-            pass  # prose without a full stop
+            kind = CONTENT  # prose without a full stop
         elif n > 12:
             # a long line: prose broken off in it is content, the rest are heaps
-            rest = 0
-            for piece in _SENTENCE.split(body):
-                ws = _WORD.findall(piece)
-                rest += 0 if _is_sentence(ws) and piece[-1:] in ".!?…" else len(ws)
-            listed += rest
+            kind, parts = LIST, [(CONTENT if k == CONTENT and t[-1:] in ".!?…" else LIST, m, t) for k, m, t in _sentences(body)]
         else:
-            open_.append(words)
-    return total, listed, open_
+            kind = OPEN
+        if parts is None:
+            out.append((kind, n + (n_links * per_link if kind == LIST else 0.0), line))
+        else:
+            out += parts
+        if n_links and (parts is not None or kind != LIST):
+            out.append((LIST, n_links * per_link, "\x00 " * n_links))  # links amid other text
+    return round(total), per_link, out
+
+
+class _Hashes(dict):
+    """Hash of a word as it stands in shingles: hash tags are all alike, and so are numbers, with a unit or without."""
+
+    def __missing__(self, word: str) -> int:
+        plain = "#" if word[0] == "#" or _CAMEL.search(word) else "0" if word[0].isdigit() else word.lower()
+        self[word] = xxhash.xxh64_intdigest(plain)
+        return self[word]
+
+
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, PHRASE + 1)], dtype=np.uint64)
+
+
+def _shingled(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of ``size`` words."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.full(n, size, dtype=np.uint64)
+        for k in range(size):
+            x = h[k : k + n] * _FACTORS[k]
+            out = (out ^ (x ^ (x >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
 
 
-def _grams(words: tuple[str, ...]) -> list[tuple[str, ...]]:
-    return [words[i : i + PHRASE] for i in range(max(1, len(words) - PHRASE + 1))]
+_LINK, _HASH_TAG = xxhash.xxh64_intdigest("\x00"), xxhash.xxh64_intdigest("#")
+_DDL = "page long, doc long, host string, words int, doubtful double, link double, runs array<array<array<long>>>, phrases array<struct<p: long, a: long, b: long>>"
+_PHRASE = pa.struct([("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _hash(words: Sequence[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words).lower()) - (1 << 63)
+def _runs(found: list[tuple[int, float, str]], hashes: _Hashes) -> list[list[np.ndarray]]:
+    """The words outside content, as hashes by line, in runs: lines of lists that follow one another are one run."""
+    runs: list[list[np.ndarray]] = []
+    last = None
+    for kind, _n, text in found:
+        if kind != CONTENT:
+            h = np.array([hashes[w] for w in _TOKEN.findall(text)], dtype=np.uint64)
+            if kind == LIST and last == LIST:
+                runs[-1].append(h)
+            else:
+                runs.append([h])
+        last = kind
+    return runs
 
 
-_DDL = "doc long, host string, total int, listed double, phrases array<struct<p: long, a: long, b: long, w: double>>"
+def _phrases(lines: list[np.ndarray]) -> list[tuple[np.ndarray, int, int]]:
+    """The phrases of a run with their length, and how many words before the first of them the run has: long ones over
+    its lines, short ones within them; a line of a single word is a phrase of its own."""
+    out, at = [(_shingled(np.concatenate(lines), PHRASE), PHRASE, 0)], 0
+    for h in lines:
+        out.append((h, 1, at) if len(h) == 1 else (_shingled(h, SHORT), SHORT, at))
+        at += len(h)
+    return [x for x in out if len(x[0])]
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    phrase = pa.struct([("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.list_(phrase)]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.list_(pa.list_(pa.int64()))), pa.list_(_PHRASE)]
+    hashes = _Hashes()
     for batch in batches:
         rows = []
+        if len(hashes) > 500_000:
+            hashes.clear()
         for doc, host, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if not text or not (found := segments(text))[0]:
+            if not text:
                 continue
-            total, listed, open_ = found
-            weight: dict[tuple[str, ...], float] = {}
-            if 2 * (listed + sum(map(len, open_))) > total:  # else no replication can flag the page
-                lower = [tuple(w.lower() for w in s) for s in open_]
-                own = Counter(lower)
-                shared = Counter(g for s in lower for g in set(_grams(s)))
-                for s in lower:
-                    if own[s] >= REPEATS:  # the page repeats the segment itself
-                        listed += len(s)
-                        continue
-                    grams = _grams(s)
-                    for g in grams:
-                        if shared[g] >= REPEATS:
-                            listed += len(s) / len(grams)
-                        elif len(g) == PHRASE:  # a word alone has no association
-                            weight[g] = weight.get(g, 0.0) + len(s) / len(grams)
-            phrases = [{"p": _hash(g), "a": _hash(g[:1]), "b": _hash(g[1:]), "w": w} for g, w in weight.items()]
-            rows.append((doc, host, total, float(listed), phrases))
+            total, per_link, found = segments(text)
+            if not total:
+                continue
+            doubtful = sum(n for kind, n, _ in found if kind != CONTENT)
+            runs, asked = [], {}
+            if doubtful > SHARE * total:  # content is no stuffing however often it is repeated, so others can't be flagged
+                runs = _runs(found, hashes)
+                for lines in runs:
+                    for g, size, at in _phrases(lines):
+                        if size > 1:
+                            h = np.concatenate(lines)[at : at + len(g) + 1]
+                            a, b = (h[: len(g)], h[1 : len(g) + 1]) if size == SHORT else (None, None)
+                            for k, x in enumerate(_signed(g).tolist()):
+                                if x not in asked:
+                                    asked[x] = {"p": x, "a": int(_signed(a)[k]) if size == SHORT else None, "b": int(_signed(b)[k]) if size == SHORT else None}
+            page = xxhash.xxh64_intdigest(f"{doc}:{host}:{text}") >> 1
+            rows.append((page, doc, host, total, float(doubtful), per_link, [[_signed(h).tolist() for h in lines] for lines in runs], list(asked.values())))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "host", "total", "listed", "phrases"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page", "doc", "host", "words", "doubtful", "link", "runs", "phrases"])
+
 
+def _covered(runs: list[list[np.ndarray]], replicated: np.ndarray, per_link: float) -> tuple[float, float, float]:
+    """Words in phrases that the page itself repeats, in phrases that other hosts use, and in either; links and hash tags
+    are no prose in any case."""
+    phrases = [_phrases(lines) for lines in runs]
+    every = [g for one in phrases for g, _, _ in one]
+    if not every:
+        return 0.0, 0.0, 0.0
+    u, n = np.unique(np.concatenate(every), return_counts=True)
+    repeated = u[n >= REPEATS]
+    out = [0.0, 0.0, 0.0]
+    for lines, one in zip(runs, phrases):
+        h = np.concatenate(lines)
+        weight = np.where(h == np.uint64(_LINK), per_link, 1.0)
+        for k, known in enumerate((repeated, replicated, np.union1d(repeated, replicated))):
+            hit = (h == np.uint64(_LINK)) | (h == np.uint64(_HASH_TAG))
+            for g, size, at in one:
+                starts = at + np.flatnonzero(np.isin(g, known))
+                for d in range(size):
+                    hit[starts + d] = True
+            out[k] += float(weight[hit].sum())
+    return tuple(out)
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, grams``: the distinct words and phrases of the lines of each text, whatever its lines are."""
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for host, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found = set()
-            for line in (text or "").split("\n"):
-                words = [w.lower() for w in _WORD.findall(line)]
-                found.update(words)
-                found.update(map(" ".join, zip(words, words[1:])))
-            rows.append((host, [_hash([x]) for x in found]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.list_(pa.int64())))], names=["host", "grams"])
+        out = []
+        for doc, per_link, runs, hits in zip(*(c.to_pylist() for c in batch.columns)):
+            arrays = [[np.array(h, dtype=np.int64).view(np.uint64) for h in lines] for lines in runs]
+            out.append((doc, *_covered(arrays, np.array(sorted(hits or ()), dtype=np.int64).view(np.uint64), per_link)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc", "own", "others", "w"])
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _shingles(shared):
+    """``host, grams``: of every text the distinct words and phrases of both lengths, whatever its lines are, that pass
+    the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, hashes = shared.value, _Hashes()
+        for batch in batches:
+            hosts, grams, sizes = [], [], []
+            if len(hashes) > 500_000:
+                hashes.clear()
+            for host, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text:
+                    continue
+                h = np.array([hashes[w] for w in _TOKEN.findall(without_links(text)[0])], dtype=np.uint64)
+                g = np.concatenate([h, _shingled(h, SHORT), _shingled(h, PHRASE)])
+                at = _bits(g)
+                g = np.unique(g[(bitmap[at >> 3] >> (at & 7)) & 1 == 1])
+                hosts.append(host)
+                grams.append(g.view(np.int64))
+                sizes.append(len(g))
+            if hosts:
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams)))], names=["host", "grams"])
+
+    return run
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """The bits of the wanted hashes: of a fixed size, put together by Spark."""
+    bit = F.col("g").bitwiseAND(FILTER_BITS - 1) + 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        at = (r.k - 1) * 4096
+        out[at : at + len(part)] = part[: len(out) - at]
+    return out
 
 
 def stuffed_pages(documents: DataFrame, doc: str, text: str, url: str, source: str) -> DataFrame:
-    """``doc, words, list_words, share, stuffed`` for every page with at least one word.
+    """``doc, words, list_words, doubtful_words, repeated_words, shared_words, share, stuffed`` for every page with at
+    least one word.
+
+    ``host`` is the url's host, or the source where there is no url. A page is stuffed if more than half of its words
+    are ``list_words``: words outside content in replicated phrases. ``doubtful_words`` are all outside content, and of
+    ``list_words`` the page itself repeats the phrases of ``repeated_words``, other hosts use those of ``shared_words``. Null and empty texts give
+    no row; of rows that repeat an id the one with most stuffing counts; texts are read whole.
 
-    ``host`` is the url's host, or the source where there is no url. A page is stuffed if more than half of its
-    words are list words. Null and empty texts give no row; a repeated row counts once; texts are read whole. The hosts
-    of the phrases of undecided segments and of their words are counted over the shingles of all texts, which are cut
-    to those before they are shuffled and pre-aggregated by host; no list of pages is ever collected for a phrase.
+    The hosts of the phrases of pages with enough doubtful words, and of their words, are counted over the shingles of
+    all texts; a filter of bounded size keeps other phrases from being shuffled, and the counts are pre-aggregated. No
+    list of pages is ever collected for a phrase.
     """
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lower(F.col(source)), F.lit(""))
-    texts = documents.select(F.col(doc).cast("long").alias("doc"), host.alias("host"), F.col(text).alias("t"))
+    texts = spread(documents.select(F.col(doc).cast("long").alias("doc"), host.alias("host"), F.col(text).alias("t")))
     pages = stored(texts.mapInArrow(_scan, _DDL))
-    sure = pages.select("doc", "total", "listed", F.lit(0.0).alias("w"), F.lit(None).cast("long").alias("p"), "host")
-    undecided = pages.where("size(phrases) > 0").select("doc", "host", F.explode("phrases").alias("z")).select("doc", "host", "z.*")
-    wanted = small(undecided.select(F.explode(F.array("p", "a", "b")).alias("g")).distinct())
-    used = texts.select("host", "t").mapInArrow(_shingles, "host string, grams array<long>").select(F.explode("grams").alias("g"), "host").join(wanted, "g", "left_semi")
-    # a phrase over a link that was taken out is in no shingle
-    used = used.union(undecided.select("p", "host")).distinct()
-    n = stored(used.groupBy("g").agg(F.count("*").alias("n")))
+    asked = pages.where("size(phrases) > 0").select("page", "host", F.explode("phrases").alias("z")).select("page", "host", "z.*")
+    wanted = asked.select(F.explode(F.array_compact(F.array("p", "a", "b"))).alias("g")).distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(_filter(wanted))
+    used = texts.select("host", "t").mapInArrow(_shingles(shared), "host string, grams array<long>").select(F.explode("grams").alias("g"), "host")
+    # a page's phrases are counted for its own host in any case, also those beside a link that its text has elsewhere
+    n = stored(used.union(asked.select("p", "host")).distinct().groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= HOSTS))
     count = lambda c: n.select(F.col("g").alias(c), F.col("n").alias(f"n_{c}"))
     hosts = texts.agg(F.count_distinct("host").alias("hosts"))
-    counted = undecided.select("p", "a", "b").distinct().join(count("p").where(F.col("n_p") >= HOSTS), "p").join(count("a"), "a").join(count("b"), "b").crossJoin(F.broadcast(hosts))
     # a phrase that all hosts use says nothing
+    known = asked.select("p", "a", "b").distinct().join(count("p"), "p").crossJoin(F.broadcast(hosts)).where(F.col("n_p") < F.col("hosts"))
     association = F.log(F.col("n_p") * F.col("hosts") / (F.col("n_a") * F.col("n_b"))) / F.log(F.col("hosts") / F.col("n_p"))
-    replicated = counted.where((F.col("n_p") < F.col("hosts")) & (association >= ASSOCIATION)).select("p")
-    stitched = undecided.join(replicated, "p", "left_semi").groupBy("doc").agg(F.sum("w").alias("w"))
-    per = sure.groupBy("doc").agg(F.max("total").alias("words"), F.max("listed").alias("listed"))
-    joined = per.join(stitched, "doc", "left").select(F.col("doc").alias(doc), "words", F.round(F.col("listed") + F.coalesce("w", F.lit(0.0)), 3).alias("list_words"))
+    associated = known.where("a is not null").join(count("a"), "a").join(count("b"), "b").where(association >= ASSOCIATION)
+    replicated = known.where("a is null").select("p").union(associated.select("p")).distinct()
+    hits = asked.select("page", "p").join(replicated, "p", "left_semi").groupBy("page").agg(F.collect_set("p").alias("hits"))
+    weighed = pages.where("size(runs) > 0").select("page", "doc", "link", "runs").join(hits, "page", "left").select("doc", "link", "runs", "hits").mapInArrow(_weigh, "doc long, own double, others double, w double")
+    stuffing = weighed.groupBy("doc").agg(F.max("own").alias("own"), F.max("others").alias("others"), F.max("w").alias("w"))
+    per = pages.groupBy("doc").agg(F.max("words").alias("words"), F.max("doubtful").alias("doubtful"))
+    out = per.join(stuffing, "doc", "left").select(F.col("doc").alias(doc), "words", *(F.round(F.coalesce(c, F.lit(0.0)), 3).alias(name) for c, name in (("w", "list_words"), ("doubtful", "doubtful_words"), ("own", "repeated_words"), ("others", "shared_words"))))
     share = F.col("list_words") / F.col("words")
-    return joined.select("*", F.round(share, 6).alias("share"), (share > SHARE).alias("stuffed"))
+    return out.select("*", F.round(share, 6).alias("share"), (share > SHARE).alias("stuffed"))
