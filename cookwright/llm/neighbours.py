@@ -18,11 +18,13 @@ from cookwright.llm.hnsw import Graph
 from cookwright.plans.frames import cut
 
 #: Vectors that one graph holds, about, and queries that one task puts to it.
-SHARD_ROWS, QUERY_ROWS = 4_000, 40_000
+SHARD_ROWS, QUERY_ROWS = 2_000, 40_000
 #: Vectors of the sample that the pivots are fitted to, and most pivots.
 SAMPLE_ROWS, MOST_PIVOTS = 20_000, 4_096
 #: Cells in which a vector is searched where not all are.
 PROBES = 3
+#: Breadth of the walks over a graph: for the nearest ones, and where only very similar ones are asked for.
+BREADTH, NARROW = 40, 20
 #: Copies of one vector that are expanded to all their pairs; a larger group gives pairs with its first row only.
 EXPAND = 1_000
 
@@ -109,7 +111,7 @@ def _search(dim: int, k: int, least: float | None, m: int, ef: int):
     return run
 
 
-def nearest(rows: DataFrame, ident: str, vec: str, k: int = 5, dim: int = 64, ask: Column | None = None, least: float | None = None, probes: int | None = PROBES, shard_rows: int = SHARD_ROWS, m: int = 10, ef: int = 40) -> tuple[DataFrame, DataFrame]:
+def nearest(rows: DataFrame, ident: str, vec: str, k: int = 5, dim: int = 64, ask: Column | None = None, least: float | None = None, probes: int | None = PROBES, shard_rows: int = SHARD_ROWS, m: int = 10, ef: int = BREADTH) -> tuple[DataFrame, DataFrame]:
     """The approximate nearest distinct vectors by cosine.
 
     Returns ``(near, members)``. ``members`` has ``row, rep, rows`` for every row with a usable vector; ``near`` has
@@ -134,7 +136,7 @@ def nearest(rows: DataFrame, ident: str, vec: str, k: int = 5, dim: int = 64, as
     routed = cut(reps.mapInArrow(_route(centre, dim, min(probes or n, n)), "rep long, vec array<float>, ask boolean, cells array<int>"))
     homes = {r[0]: r[1] for r in routed.groupBy(F.element_at("cells", 1)).count().collect()}  # one row for each cell
     asks = {r[0]: r[1] for r in routed.where("ask").select(F.explode("cells").alias("c")).groupBy("c").count().collect()}
-    parts = [max(1, -(-homes.get(c, 0) // (2 * shard_rows))) for c in range(n)]
+    parts = [max(1, -(-4 * homes.get(c, 0) // (5 * shard_rows))) for c in range(n)]
     blocks = [max(1, -(-asks.get(c, 0) // QUERY_ROWS)) for c in range(n)]
     of = lambda values, c: F.element_at(F.array(*(F.lit(v) for v in values)), c + 1) if len(set(values)) > 1 else F.lit(values[0])
     h = F.xxhash64("rep", F.lit(9))
@@ -142,7 +144,7 @@ def nearest(rows: DataFrame, ident: str, vec: str, k: int = 5, dim: int = 64, as
     index = home.select("rep", "vec", "cell", F.pmod("h", of(parts, F.col("cell"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), of(blocks, F.col("cell")) - 1)).alias("block"), F.lit(False).alias("ask"))
     query = routed.where("ask").select("rep", "vec", F.explode("cells").alias("cell"), h.alias("h"))
     query = query.select("rep", "vec", "cell", F.explode(F.sequence(F.lit(0), of(parts, F.col("cell")) - 1)).alias("part"), F.pmod(F.shiftright("h", 20), of(blocks, F.col("cell"))).cast("int").alias("block"), F.lit(True).alias("ask"))
-    found = index.unionByName(query).groupBy("cell", "part", "block").applyInArrow(_search(dim, k if least is None else max(k, 15), least, m, ef), "row long, near long, similarity double")
+    found = index.unionByName(query).groupBy("cell", "part", "block").applyInArrow(_search(dim, k, least, m, ef), "row long, near long, similarity double")
     if least is None:
         best = found.groupBy("row", "near").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("similarity"), "near")))
         return best.where(F.col("rank") <= k), members
@@ -155,7 +157,7 @@ def similar_rows(rows: DataFrame, ident: str, vec: str, least: float, dim: int =
     A pair is found from either end. Rows with the very same vector are pairs of similarity 1; of more than
     ``EXPAND`` of them each is paired with the first only.
     """
-    near, members = nearest(rows, ident, vec, dim=dim, least=least)
+    near, members = nearest(rows, ident, vec, k=7, dim=dim, least=least, ef=NARROW)
     pairs = near.select(F.least("row", "near").alias("a"), F.greatest("row", "near").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     multi = members.where("rows > 1").select("row", "rep", "rows").distinct()
     few, other = multi.where(f"rows <= {EXPAND}"), F.col("y.row")
