@@ -10,14 +10,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cookwright.functions.encoding import CHAINS, LOST, MULTI, garble, invert
+from cookwright.plans.frames import spread
 
 SOUND = "sound"
 CLASSES = (SOUND, *CHAINS)
@@ -28,6 +31,8 @@ TRAINING_ROWS = 6_000
 MARGIN = 2.0
 #: Times that the word a chain of one-byte pages leads to has to be as frequent as what stands there.
 USUAL = 8
+#: Places of either table of word counts; a word's count is the lesser of its two places.
+BUCKETS_OF_WORDS = 1 << 20
 #: A run without ASCII white space that holds another character; other white space may be part of the damage.
 _PIECE = re.compile(r"(?<![^ \t\n\r\f\v])[!-~\x00-\x08\x0e-\x1f\x7f]*+[^\x00-\x7f][^ \t\n\r\f\v]*")
 _EDGES = re.compile(r"^[^\w¡¿½¼¾⅓⅔]+|[^\w½¼¾⅓⅔]+$")
@@ -45,13 +50,33 @@ def _word(piece: str) -> str:
     return _EDGES.sub("", piece).lower()
 
 
+def _places(word: str) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(word)
+    return h % BUCKETS_OF_WORDS, BUCKETS_OF_WORDS + (h >> 32) % BUCKETS_OF_WORDS
+
+
+class WordCounts:
+    """How often words stand in all texts: two hashed tables of fixed size, whose lesser entry counts. Never too low, and
+    too high only where a word meets others in both."""
+
+    def __init__(self, counts: np.ndarray | None = None) -> None:
+        self.counts = np.zeros(2 * BUCKETS_OF_WORDS, dtype=np.int64) if counts is None else counts
+
+    def add(self, word: str, n: int = 1) -> None:
+        for at in _places(word):
+            self.counts[at] += n
+
+    def __getitem__(self, word: str) -> int:
+        return int(min(self.counts[at] for at in _places(word)))
+
+
 @dataclass(frozen=True)
 class ChainModel:
-    """Log-likelihoods of the hashed bigrams under each class, and the characters and words of sound text."""
+    """Log-likelihoods of the hashed bigrams under each class, the characters of sound text, and how often its words stand."""
 
     weights: np.ndarray
     alphabet: frozenset
-    words: dict
+    words: WordCounts
 
     def ranked(self, piece: str) -> list[tuple[float, str]]:
         """Classes by likelihood, the best first, with their log-odds over sound text."""
@@ -79,12 +104,16 @@ class ChainModel:
                     second = second or (odds > 0 and (chain, out)) or None
             elif odds >= MARGIN:
                 out = invert(piece, chain)
-                if out is not None and self.words.get(_word(out), 0) > USUAL * self.words.get(_word(piece), 0):
+                if out is not None and self.words[_word(out)] > USUAL * self.words[_word(piece)]:
                     return chain, out
         if second:
             return second
         return ("lost", piece) if _CONTROL.search(piece) else (None, piece)
 
+    def sound(self, piece: str) -> bool:
+        """Whether a piece has only familiar characters and no multi-byte chain explains it."""
+        return LOST not in piece and not _CONTROL.search(piece) and self._familiar(piece) and all(invert(piece, c) is None for c in MULTI)
+
     def _foreign(self, piece: str) -> bool:
         return any(ord(c) > 127 and c not in self.alphabet for c in piece)
 
@@ -93,7 +122,7 @@ class ChainModel:
 
 
 def train(texts: list[str]) -> ChainModel:
-    """Fit the classifier to records, most of which are sound.
+    """Fit the classifier to records, most of which are sound; words are counted in them too (see :func:`counted`).
 
     A character is familiar if it holds 1 in 5,000 of the non-ASCII places outside pieces that any multi-byte
     chain would explain. Pieces of familiar characters only are the sound class; garbled by each chain they are
@@ -112,9 +141,9 @@ def train(texts: list[str]) -> ChainModel:
         for k, g in enumerate([p, *(garble(p, chain) for chain in CHAINS)]):
             if k == 0 or (g is not None and g != p):
                 counts[k] += np.bincount(_features(g), minlength=BUCKETS) * np.sqrt(n)
-    words: Counter = Counter()
+    words = WordCounts()
     for p, n in sound.items():
-        words[_word(p)] += n
+        words.add(_word(p), n)
     weights = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     return ChainModel(weights, frozenset(alphabet), words)
 
@@ -130,9 +159,45 @@ def fit(rows: DataFrame, ident: str, columns: list[str], arrays: list[str], most
     return train([r.t for r in some.orderBy("h", "t").limit(most).collect()])
 
 
-def _scan(model: ChainModel, columns: list[str], arrays: list[str]):
+def counted(model: ChainModel, rows: DataFrame, columns: list[str], arrays: list[str]) -> ChainModel:
+    """The model with the words of all rows: one pass that adds up the words of sound pieces in tables of fixed size."""
+    shared = rows.sparkSession.sparkContext.broadcast(ChainModel(np.zeros((0, 0)), model.alphabet, WordCounts(np.zeros(0))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str | None, str]] = {}
+        words, known = WordCounts(), {}
+        for batch in batches:
+            pieces: Counter = Counter()
+            for column in batch.columns:
+                for value in column.to_pylist():
+                    for x in value if isinstance(value, list) else (value,):
+                        if x and not x.isascii():
+                            pieces.update(_PIECE.findall(x))
+            for p, n in pieces.items():
+                if p not in known:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[p] = _word(p) if shared.value.sound(p) else None
+                if known[p] is not None:
+                    words.add(known[p], n)
+        at = np.flatnonzero(words.counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words.counts[at])], names=["place", "n"])
+
+    total = np.zeros(2 * BUCKETS_OF_WORDS, dtype=np.int64)
+    for r in _doubtful(rows, columns, arrays).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        total[r.place] = r.n
+    return replace(model, words=WordCounts(total.astype(np.int32)))
+
+
+def _doubtful(rows: DataFrame, columns: list[str], arrays: list[str], *more: Column) -> DataFrame:
+    """The rows and fields that hold another character than ASCII ones; other fields are null."""
+    other = "[^\\x00-\\x7F]"
+    some = [F.coalesce(F.col(c).rlike(other), F.lit(False)) for c in columns] + [F.coalesce(F.exists(a, lambda x: x.rlike(other)), F.lit(False)) for a in arrays]
+    return spread(rows.where(reduce(lambda a, b: a | b, some)).select(*more, *(F.when(s, F.col(c)).alias(c) for s, c in zip(some, [*columns, *arrays]))))
+
+
+def _scan(shared, columns: list[str], arrays: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = shared.value, {}
 
         def fix(m: re.Match) -> str:
             piece = m[0]
@@ -170,13 +235,9 @@ def garbled(rows: DataFrame, ident: str, columns: list[str], arrays: list[str],
     ``columns`` are string fields, ``arrays`` fields of lines. ``lines`` is the field restored as far as possible
     (one element for a string), ``chain`` the chain of most pieces, ``restored`` false where a character is lost.
     Null fields, null lines and empty texts give nothing; a repeated row gives its rows each time; texts are read
-    whole. One pass without a shuffle; rows without any non-ASCII character don't reach Python.
+    whole. Two passes without a shuffle of texts, the first to count words; rows without any non-ASCII character don't
+    reach Python.
     """
-    model = model or fit(rows, ident, columns, arrays)
-    other = "[^\\x00-\\x7F]"
-    some = [F.col(c).rlike(other) for c in columns] + [F.exists(a, lambda x: x.rlike(other)) for a in arrays]
-    hit = F.coalesce(some[0], F.lit(False))
-    for s in some[1:]:
-        hit = hit | F.coalesce(s, F.lit(False))
-    keep = [F.when(F.coalesce(s, F.lit(False)), F.col(c)).alias(c) for s, c in zip(some, [*columns, *arrays])]
-    return rows.where(hit).select(F.col(ident).cast("long").alias(ident), *keep).mapInArrow(_scan(model, columns, arrays), "row_ix long, field string, chain string, restored boolean, lines array<string>")
+    model = model or counted(fit(rows, ident, columns, arrays), rows, columns, arrays)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return _doubtful(rows, columns, arrays, F.col(ident).cast("long").alias(ident)).mapInArrow(_scan(shared, columns, arrays), "row_ix long, field string, chain string, restored boolean, lines array<string>")
