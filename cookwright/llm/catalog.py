@@ -15,12 +15,12 @@ SCORES = ["semantic", "lexical", "ingredient", "distinctiveness"]
 
 
 def p1_fused(spark: SparkSession, d: str) -> DataFrame:
-    fused = ranking.fused_scores(table(spark, d, "score_breakdown"), "request_id", "row_ix", SCORES)
+    fused = ranking.fused_scores(table(spark, d, "score_breakdown"), "request_id", "row_ix", SCORES, missing=-1)
     return fused.select("request_id", "row_ix", F.round("fused", 6).alias("fused"), "used")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    fused = ranking.fused_scores(table(spark, d, "score_breakdown"), "request_id", "row_ix", SCORES)
+    fused = ranking.fused_scores(table(spark, d, "score_breakdown"), "request_id", "row_ix", SCORES, missing=-1)
     return ranking.best_of_each(fused, "request_id", "row_ix")
 
 
@@ -47,6 +47,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(pairs.a.alias("row_ix_a"), pairs.b.alias("row_ix_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """For every row with a set of five lines or more: its class of equal sets and the classes similar to it."""
+    found = setjoin.linked_classes(table(spark, d, "sample_recipes"), "row_ix", "ingredients")
+    return found.select(F.col("row").alias("row_ix"), F.col("rep").alias("class_id"), "size", "rows", "links")
+
+
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "sample_recipes"), "row_ix", ["name", "description"], ["ingredients"])
 
@@ -97,6 +103,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("row_ix_a"), F.col("b").alias("row_ix_b"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """For every row with a usable vector: the class of rows with the very same vector."""
+    found = neighbours.classes(table(spark, d, "recipe_vectors"), "row_ix", "vec", 64)
+    return found.select(F.col("row").alias("row_ix"), F.col("rep").alias("class_id"), "rows")
+
+
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest distinct vectors of every row whose row_ix is divisible by 100, over all shards."""
     near, members = neighbours.nearest(table(spark, d, "recipe_vectors"), "row_ix", "vec", k=5, ask=F.col("row") % 100 == 0, probes=None, shard_rows=20_000)
@@ -113,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_matches": p3_matches,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p4_classes": p4_classes,
+    "p5_classes": p5_classes,
     "p5_nearest": p5_nearest,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
@@ -136,6 +150,19 @@ GROUP BY a.row_ix, b.row_ix
 HAVING count(*) * 100 >= (min(a.n) + min(b.n) - count(*)) * 60
 """
 
+SQL["p4_classes"] = """
+WITH s AS (
+  SELECT row_ix, list_sort(list_distinct(list_filter(list_transform(ingredients, lambda x: regexp_replace(trim(lower(x)), ' +', ' ', 'g')), lambda x: x <> ''))) AS t
+  FROM sample_recipes WHERE ingredients IS NOT NULL
+), c AS (SELECT row_ix, t, min(row_ix) OVER (PARTITION BY t) AS class_id, count(*) OVER (PARTITION BY t) AS rows FROM s WHERE len(t) >= 5),
+u AS (SELECT class_id, len(t) AS n, unnest(t) AS x FROM c WHERE row_ix = class_id),
+p AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM u a JOIN u b ON a.x = b.x AND a.class_id < b.class_id
+  GROUP BY a.class_id, b.class_id HAVING count(*) * 100 >= (min(a.n) + min(b.n) - count(*)) * 60
+), k AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p) GROUP BY class_id)
+SELECT row_ix, class_id, len(t) AS size, rows, coalesce(links, 0) AS links FROM c LEFT JOIN k USING (class_id)
+"""
+
 SQL["p8_found"] = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_cases WHERE passage IS NOT NULL),
@@ -156,7 +183,7 @@ f AS (SELECT request_id, row_ix, exp(({sums}) / ({used})) AS fused, {used} AS us
 """
 _each = lambda t, sep=", ": sep.join(t.replace("$", s) for s in SCORES)
 _FUSED = _FUSED.format(
-    computed=_each("max(CASE WHEN CAST($ AS VARCHAR) NOT IN ('nan', '-nan', 'inf', '-inf') AND $ >= 0 THEN $ END) AS $"),
+    computed=_each("max(CASE WHEN CAST($ AS VARCHAR) NOT IN ('nan', '-nan', 'inf', '-inf') AND $ <> -1 THEN $ END) AS $"),
     medians=_each("quantile_disc($, 0.5) AS m_$"),
     offsets=_each("$ - m_$ AS $"),
     spreads=_each("quantile_disc(abs($), 0.5) AS d_$, avg(abs($)) AS a_$"),
@@ -170,6 +197,14 @@ _FUSED = _FUSED.format(
 SQL["p1_fused"] = _FUSED + "SELECT request_id, row_ix, round(fused, 6) AS fused, CAST(used AS INT) AS used FROM f"
 SQL["p1_found"] = _FUSED + "SELECT request_id, row_ix FROM f QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 12) DESC, row_ix) = 1"
 
+SQL["p5_classes"] = """
+WITH v AS (
+  SELECT DISTINCT row_ix, vec FROM recipe_vectors
+  WHERE vec IS NOT NULL AND len(vec) = 64 AND NOT list_contains(list_transform(vec, lambda x: CAST(x AS VARCHAR) IN ('nan', '-nan', 'inf', '-inf')), true) AND list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[])) > 0
+)
+SELECT row_ix, min(row_ix) OVER (PARTITION BY vec) AS class_id, count(*) OVER (PARTITION BY vec) AS rows FROM v
+"""
+
 SQL["p5_found"] = """
 WITH v AS (
   SELECT DISTINCT row_ix, CAST(vec AS DOUBLE[]) AS v FROM recipe_vectors

@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cookwright.plans.frames import spread
+
 #: Words of a stretch that counts as a leak.
 WINDOW = 13
-#: Items held in one automaton; more items are searched in blocks of this size.
-BLOCK = 20_000
+#: Most items, and characters of items, that are sought in one scan of the texts: a bound on what is broadcast. More items
+#: take more scans, each at the price of reading the texts (at 1,000 characters an item, a million take 32).
+BLOCK, BLOCK_CHARS = 20_000, 32_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -110,6 +113,16 @@ class Matcher:
         return best
 
 
+_LAST: list = []
+
+
+def _matcher(block: list[tuple[int, str]], window: int, errors: int) -> Matcher:
+    """The matcher of a block; the last one is kept, so a worker that scans on makes it once."""
+    if not (_LAST and _LAST[0] is block and _LAST[1:3] == [window, errors]):
+        _LAST[:] = [block, window, errors, Matcher(block, window, errors)]
+    return _LAST[3]
+
+
 def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, window: int = WINDOW, errors: int = 0) -> DataFrame:
     """``doc, item, errors``: each document with each item of which it holds ``window`` words within ``errors`` edits.
 
@@ -119,15 +132,15 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     once. Texts are read whole, once for each block; nothing but the hits is shuffled.
     """
     wanted = items.select(F.col(item).cast("long"), passage).where(F.col(passage).isNotNull()).distinct().orderBy(item, passage)
-    texts = documents.select(F.col(doc).cast("long").alias(doc), F.col(text).alias("t")).where("t is not null")
+    texts = spread(documents.select(F.col(doc).cast("long").alias(doc), F.col(text).alias("t")).where("t is not null"))
     ddl = f"{doc} long, {item} long, errors int"
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, window, errors)
+            matcher = _matcher(shared.value, window, errors)
             for batch in batches:
                 rows = [(d, k, n) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for k, n in matcher.find(t).items()]
                 if rows:
@@ -138,8 +151,9 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
 
     for r in wanted.toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
+        size += len(r[1])
+        if len(block) == BLOCK or size >= BLOCK_CHARS:
+            out, block, size = search(block) if out is None else out.unionByName(search(block)), [], 0
     if block or out is None:
         out = search(block) if out is None else out.unionByName(search(block))
     return out.groupBy(doc, item).agg(F.min("errors").alias("errors"))

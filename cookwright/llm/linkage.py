@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cookwright.functions.encoding import repair
-from cookwright.plans.frames import stored
+from cookwright.plans.frames import spread, stored
 
 #: Sort keys that begin with the publisher, the title and the ingredients.
 KEYS = (5, 5, 2)
@@ -459,7 +459,7 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     spark = left.sparkSession
     cols = [F.col("key").cast("string"), F.col("title"), F.col("lines"), F.col("publisher")]
-    feats = left.select(*cols).mapInArrow(_features(0), _FEATURES).unionByName(right.select(*cols).mapInArrow(_features(1), _FEATURES))
+    feats = spread(left.select(*cols)).mapInArrow(_features(0), _FEATURES).unionByName(spread(right.select(*cols)).mapInArrow(_features(1), _FEATURES))
     feats = stored(feats)
     fields = ["title", "letters", "foods", "publisher", "short"]
     reps = stored(feats.groupBy("uid").agg(F.any_value("side").alias("side"), F.any_value(F.struct(*fields)).alias("r")).select("uid", "side", "r.*"))

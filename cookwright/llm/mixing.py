@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cookwright.plans.frames import cut, small
+from cookwright.plans.frames import cut, small, spread
 
 #: The public vocabulary whose tokens are counted; a path on every worker.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,7 +48,7 @@ def _count(path: str):
 
 def token_counts(records: DataFrame, ident: str, source: Column, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``id, source, tokens`` of each record; a null or empty text has none. No shuffle."""
-    return records.select(F.col(ident).cast("long").alias("id"), source.alias("source"), F.col(text).alias("t")).mapInArrow(_count(vocabulary), "id long, source string, tokens long")
+    return spread(records.select(F.col(ident).cast("long").alias("id"), source.alias("source"), F.col(text).alias("t"))).mapInArrow(_count(vocabulary), "id long, source string, tokens long")
 
 
 def source_name(source: Column) -> Column:

@@ -17,15 +17,17 @@ ACCURACY = 10_000
 MAD_SCALE, MEAN_SCALE = 1.4826, 1.2533
 
 
-def computed(score: Column) -> Column:
-    """The score, or null where it was not computed: null, NaN, infinite or negative."""
-    return F.when(score.isNotNull() & ~F.isnan(score) & (score >= 0) & (score < float("inf")), score)
+def computed(score: Column, missing: float | None = None) -> Column:
+    """The score, or null where it was not computed: null, NaN, infinite or the value ``missing`` that stands for it."""
+    given = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    return F.when(given if missing is None else given & (score != missing), score)
 
 
-def fused_scores(rows: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None) -> DataFrame:
+def fused_scores(rows: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, missing: float | None = -1.0) -> DataFrame:
     """``group, item, fused, used``: each candidate with its joint score in (0, 1) and the number of scores it rests on.
 
-    A score that was not computed for a candidate says nothing: the mean is over those it has. A group whose values
+    A score that was not computed for a candidate (null, NaN, infinite, or ``missing`` where a number stands for that)
+    says nothing: the mean is over those it has. Scores may be negative. A group whose values
     of a score are all equal gives 0.5 for it; where more than half are equal, the mean absolute deviation stands in
     for the median one. Candidates without any score are left out, so are rows with a null group or item; repeated
     rows count once, and of unlike rows of one candidate the largest value of each score counts. Medians come from
@@ -33,7 +35,7 @@ def fused_scores(rows: DataFrame, group: str, item: str, scores: list[str], weig
     two joins on the group follow, which adaptive execution splits where a group is hot.
     """
     weights = weights or [1.0] * len(scores)
-    base = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*(F.max(computed(F.col(s).cast("double"))).alias(s) for s in scores))
+    base = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*(F.max(computed(F.col(s).cast("double"), missing)).alias(s) for s in scores))
     mid = base.groupBy(group).agg(*(F.percentile_approx(s, F.lit(0.5), F.lit(ACCURACY)).alias(f"m_{s}") for s in scores))
     off = base.join(mid, group).select(group, item, *(((F.col(s) - F.col(f"m_{s}"))).alias(s) for s in scores))
     spread = off.groupBy(group).agg(

@@ -83,7 +83,7 @@ def similar_sets(rows: DataFrame, ident: str, lines: str, percent: int = 60, lea
     first = keyed.groupBy("h1", "h2", "size").agg(F.min("row").alias("rep"), F.count("*").alias("rows"))
     members = keyed.select("row", "h1", "h2", "size").join(first, ["h1", "h2", "size"]).groupBy("row").agg(F.min(F.struct("rep", "size", "rows")).alias("m")).select("row", "m.rep", "m.size", "m.rows")
     members = cut(members)
-    reps = keyed.join(members.where("row = rep").select("row"), "row").select(F.col("row").alias("rep"), "size", "hashes").dropDuplicates(["rep"])
+    reps = keyed.join(members.where("row = rep").select("row"), "row").groupBy(F.col("row").alias("rep")).agg(F.min_by(F.struct("size", "hashes"), F.struct("h1", "h2")).alias("s")).select("rep", "s.*")
     tokens = reps.select("rep", F.explode("hashes").alias("t"))
     often = tokens.groupBy("t").count().where("count > 1")
     # only what several sets have; the rarest first, ties by hash, the same order in every set
@@ -109,6 +109,14 @@ def similar_sets(rows: DataFrame, ident: str, lines: str, percent: int = 60, lea
     return pairs, members
 
 
+def linked_classes(rows: DataFrame, ident: str, lines: str, percent: int = 60, least: int = 5) -> DataFrame:
+    """``row, rep, size, rows, links``: one row for each row with a set: its class of equal sets (the smallest ident that
+    holds the set), the set's size, the rows of the class, and the number of other classes similar to it."""
+    pairs, members = similar_sets(rows, ident, lines, percent, least)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(ends, "rep", "left").select("row", "rep", "size", "rows", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def similar_rows(rows: DataFrame, ident: str, lines: str, percent: int = 60, least: int = 5) -> DataFrame:
     """``a, b, shared, either``: the similar pairs as pairs of rows, copies included, the smaller ident first.
 

@@ -316,3 +316,65 @@ def test_linkage_finds_what_all_pairs_find(spark):
     weight = lambda ws: sum(min(4.0, np.log(len(ls + rs) / df[w])) for w in ws)
     sure = {(a[0], b[0]) for a in ls for b in rs if a[1] and b[1] and a[2] and b[2] and linkage.publishers_agree(a[3], b[3], a[4], b[4]) and linkage.title_similarity(a[1], b[1]) >= 0.6 and weight(a[2] & b[2]) >= 0.5 * weight(a[2] | b[2])}
     assert len(sure) > 20 and len(sure & got) >= 0.97 * len(sure)
+
+
+def test_negative_scores_count_unless_they_stand_for_none(spark):
+    df = spark.createDataFrame([(1, k, -float(k)) for k in range(1, 9)], "q long, row long, s double")
+    first = lambda **more: {r.q: r.row for r in ranking.best_of_each(ranking.fused_scores(df, "q", "row", ["s"], **more), "q", "row").collect()}
+    assert first(missing=None) == {1: 1} and first() == {1: 2}
+
+
+def test_residue_generalises_and_spoilt_fields_go(spark, residue_model):
+    from cookwright.llm.residue import exclude_spoilt
+
+    told = [x for b in (residue.FILLER, residue.FAILURES, residue.NOTICES) for x in b.split("|")] + residue.residue_lines()
+    held_out = ["Switch scripting on before you read these directions", "Kindly turn on scripts, else the list stays empty", "Write the method of your dish in here", "Oops, our kitchen server had an internal error", "Bitte schalten Sie JavaScript für diese Rezepte ein", "Introduzca aquí la lista de ingredientes"]
+    assert not set(held_out) & set(told)
+    rows = [(k, [x], "Stir in the onions and let it bubble gently.") for k, x in enumerate(held_out)] + [(50, ["2 cups flour"], "Bake until golden."), (None, ["{{item}}"], None), (51, ["{{x}}"] + NATURAL * 9, None)]
+    df = spark.createDataFrame(rows, "row_ix long, ingredients array<string>, instructions string").withColumn("_fields", F.lit("clash"))
+    found = residue.residue(df, "row_ix", ["ingredients"], ["instructions"], residue_model)
+    assert len({r.row_ix for r in found.where("row_ix < 50 and field = 'ingredients'").collect()}) >= 5
+    left = exclude_spoilt(df, found, "row_ix", ["ingredients"], ["instructions"]).collect()
+    assert len(left) == len(rows) and sum(r.ingredients is None for r in left if r.row_ix is not None and r.row_ix < 50) >= 4
+    assert all(r.instructions is not None for r in left if r.row_ix is not None and r.row_ix < 51) and all(r.ingredients for r in left if r.row_ix in (50, 51))
+
+
+def test_nearest_over_many_cells(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 24)) * 0.6
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "id long, v array<float>")
+    near, _ = neighbours.nearest(df, "id", "v", k=5, dim=24, ask=F.col("row") % 100 == 0, shard_rows=100)
+    found: dict = {}
+    for r in near.collect():
+        found.setdefault(r.row, set()).add(r.near)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {k: set(np.argsort(-(u @ u[k]))[1:6].tolist()) for k in range(0, 6000, 100)}
+    assert np.mean([len(found[k] & want[k]) / 5 for k in want]) >= 0.9
+
+
+def test_classes_of_copies(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.0]), (4, None)], "id long, v array<float>")
+    assert {(r.row, r.rep, r.rows) for r in neighbours.classes(df, "id", "v", 2).collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 1)}
+    lines = list("abcdef")
+    sets = spark.createDataFrame([(1, lines), (2, lines[::-1]), (3, lines[:5]), (4, lines[:4]), (5, list("uvwxyz")), (6, None)], "id long, lines array<string>")
+    got = {r.row: (r.rep, r.rows, r.links) for r in setjoin.linked_classes(sets, "id", "lines").collect()}
+    assert got == {1: (1, 2, 1), 2: (1, 2, 1), 3: (3, 1, 1), 5: (5, 1, 0)}
+
+
+def test_words_are_counted_in_all_rows(spark):
+    sound = ["tolv och zwölf eier", "zwölf eier und mehl", "gräddfil och smör"]
+    rows = [(k, sound[k % 3]) for k in range(400)] + [(900, garble("zwölf", "cp1252>mac_roman") or "zw\\x9alf")]
+    df = spark.createDataFrame(rows, "row_ix long, name string").withColumn("ingredients", F.array(F.lit(None).cast("string")))
+    model = mojibake.train(["gräddfil och smör på bröd"] * 50 + SOUND * 50)
+    assert model.words["zwölf"] == 0 and mojibake.counted(model, df, ["name"], ["ingredients"]).words["zwölf"] == sum("zwölf" in t for _, t in rows[:400])
+
+
+def test_link_lists_without_repetition_and_hot_hosts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") for _ in range(3))
+    rows = [(k, "\n".join(f"https://{word()}.example/{word()}/{rng.randrange(9999)} {word()}" for _ in range(14)), f"https://h{k}.example/p", None) for k in range(6)]
+    rows += [(100 + k, f"The {word()} was so good that I went back for the {word()}, which we had with {word()} on the side.", "https://one.example/p", "s") for k in range(60)]
+    rows += [(200, "A link to https://one.example/a that I liked, and why it is worth the time of anyone who cooks.", None, None), (100, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, url string, source string")
+    assert {r.id for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").where("stuffed").collect()} == set(range(6))
