@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from cookwright.operators import index as I
 from cookwright.operators import linkage, present, rank
 from cookwright.operators.evaluate import aggregates, evaluate
 from cookwright.operators.quantities import quantities
-from cookwright.plans.frames import stored, table
+from cookwright.plans.frames import shared_dir, stored, table
+from cookwright.sources import recipes as sources
 from cookwright.sources.recipes import hash_sample
 from cookwright.streaming.limiter import limited
 from cookwright.streaming.requests import read_requests
@@ -93,7 +95,7 @@ def lexical_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors nearest to the first one, by an exact scan."""
-    v = table(spark, d, "recipe_vectors").where("vec is not null and size(vec) = 64 and forall(vec, x -> not isnan(x)) and exists(vec, x -> x <> 0)").select("row_ix", I.l2_normalize(F.col("vec")).alias("v")).dropDuplicates(["row_ix"])
+    v = given_vectors(spark, d).withColumnRenamed("vec", "v")
     first = v.orderBy("row_ix").limit(1).select(F.col("row_ix").alias("asked"), F.col("v").alias("q"))
     near = v.crossJoin(F.broadcast(first)).where("row_ix <> asked").select("row_ix", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), I.dot(F.col("v"), F.col("q")))), 5).alias("cosine"))
     return near.orderBy(F.desc("cosine"), "row_ix").limit(10)
@@ -118,20 +120,64 @@ def hashed_sample(spark: SparkSession, d: str) -> DataFrame:
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 method records when the corpora take turns."""
     m = table(spark, d, "method_corpus").where("corpus is not null").select("corpus", "record_key")
-    n = m.withColumn("turn", F.row_number().over(Window.partitionBy("corpus").orderBy("record_key"))).where(F.col("turn") <= 200)
-    return n.orderBy("turn", "corpus").limit(200)
+    n = m.withColumn("ordinal", F.row_number().over(Window.partitionBy("corpus").orderBy("record_key"))).withColumn("file_no", F.col("corpus"))
+    return sources.interleaved(n).limit(200).select("corpus", "record_key", F.col("ordinal").alias("turn"))
+
+
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """The delivered records as lines of JSON under other field names, read into the fixed schema."""
+    r = _recipes(spark, d)
+    line = F.to_json(F.struct(F.col("name").alias("title"), F.col("ingredients").alias("recipeIngredient"), F.col("url").alias("source_url"), "source", F.col("prep_time").alias("prepTime"), F.col("recipe_yield").alias("yield"), F.col("instructions").alias("method")))
+    records = r.select(F.lit("delivered.jsonl").alias("file"), F.lit(0).alias("file_no"), F.col("row_ix").cast("string").alias("key"), F.col("row_ix").alias("ordinal"), line.alias("raw"))
+    out = sources.to_recipes(records.withColumn("v", F.try_parse_json("raw")))
+    return out.select(F.col("ordinal").alias("row_ix"), "id", "name", F.size("ingredients").alias("lines"), F.md5(F.array_join("ingredients", "|")).alias("lines_md5"), "source", "url", "prep_time", "recipe_yield", "instruction_source")
 
 
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
-    v = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    """A field of raw JSON by event type, as ingestion reads it: absent, null, empty and zero values are not given."""
+    v = sources.scalar(F.try_parse_json("props"), "k").try_cast("bigint")
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.count(v).alias("with_k"), F.sum(v).alias("sum_k"))
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    """By origin of the instructions: recipes, and the share of all that have any."""
+    return sources.instruction_coverage(_recipes(spark, d))
+
+
+def readiness(spark: SparkSession, d: str) -> DataFrame:
+    return sources.readiness(_recipes(spark, d), semantic=True)
+
+
+def _methods(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "method_corpus").select(F.coalesce("corpus", F.lit("")).alias("corpus"), "record_key", F.col("record_key").alias("ordinal"), "title", "ingredients", "instructions", F.col("credit").alias("source"))
+
+
+def source_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Strict linkage at the usual threshold, where the method's corpus credits the recipe's publisher by its very name."""
+    m = _methods(spark, d)
+    credited = m.where("corpus <> '' and source is not null").select("corpus", "source").distinct()
+    return linkage.strict_matches(_recipes(spark, d), m.drop("source"), credited, least=0.9).select("row_ix", "record_key", "score")
+
+
+def enriched_records(spark: SparkSession, d: str) -> DataFrame:
+    """The recipes linked by title and half of the terms, in the shape of the enriched file."""
     r = _recipes(spark, d)
-    whole = r.agg(F.bround(F.avg(F.col("instructions").isNotNull().cast("double")), 4).alias("share"))
-    return r.groupBy(F.coalesce("instruction_source", F.lit("none")).alias("origin")).agg(F.count("*").alias("recipes")).crossJoin(F.broadcast(whole))
+    rows = linkage.enriched(r, linkage.strict_matches(r, _methods(spark, d).drop("source"), any_source=True, least=0.5))
+    return rows.select("assignmentRecord", "name", "url", "recipeInstructions", "instructionCorpus", "instructionRecord", "instructionMatcher", "instructionMatchScore")
+
+
+def enrichment_counts(spark: SparkSession, d: str) -> DataFrame:
+    r, m = _recipes(spark, d), _methods(spark, d).drop("source")
+    report = linkage.enrichment_report(r, m, linkage.strict_matches(r, m, any_source=True, least=0.5))
+    by = F.array_join(F.transform(F.map_entries("by_corpus"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ", ")
+    return report.select("recipes_seen", "methods_seen", "linked", by.alias("by_corpus"))
+
+
+def saved_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first requests of the batch by an index that was saved and loaded again."""
+    index, asked = _batch(spark, d)
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.save(folder)
+    return _shown(rank.search(I.RecipeIndex.load(spark, folder, I.HashEmbedding()), asked[:3]))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p6_found, normalize_text, canonical_urls, durations, category_counts, postings, document_frequency, distinctiveness, ingredient_topk, exclusions, lexical_topk, lexical_vocabulary,
-        cosine_topk, distinct_titles_topk, strict_linkage, hashed_sample, round_robin, json_fields, coverage, facts, summaries, steps, marked_steps, hybrid_search, search_responses,
+        cosine_topk, distinct_titles_topk, strict_linkage, hashed_sample, round_robin, ingested, json_fields, coverage, readiness, source_linkage, enriched_records, enrichment_counts, saved_index_search, facts, summaries, steps, marked_steps, hybrid_search, search_responses,
         search_metadata, discovery, retrieval_quality, rate_limit,
     )
 }
@@ -227,5 +273,6 @@ SQL: dict[str, str] = {
     **catalog_sql.SQL,
     "hybrid_search": catalog_sql.hybrid_search(catalog_sql.BATCH, _ASKED_VECTORS),
     "search_metadata": catalog_sql.search_metadata(catalog_sql.BATCH, _ASKED_VECTORS, rank.DISCOVERED, rank.ADVENTURE, rank.BROAD, rank.CLOSEST),
+    "saved_index_search": catalog_sql.hybrid_search(catalog_sql.BATCH[:3], _ASKED_VECTORS[:3]),
     "discovery": catalog_sql.hybrid_search(_ONE, _ASKED_VECTORS[:1]),
 }

@@ -203,10 +203,52 @@ FROM (
 )"""
 
 
+def _shown_duration(c: str) -> str:
+    part = lambda k: f"regexp_extract({c}, '^(?i)PT(?:(\\d+)H)?(?:(\\d+)M)?$', {k})"
+    return f"CASE WHEN regexp_matches({c}, '^(?i)PT(\\d+H)?(\\d+M)?$') AND upper({c}) <> 'PT' THEN concat_ws(' ', CASE WHEN {part(1)} <> '' THEN {part(1)} || ' hr' END, CASE WHEN {part(2)} <> '' THEN {part(2)} || ' min' END) ELSE nullif({c}, '') END"
+
+
+_LABELS = "MAP {" + ", ".join(f"{_str(a)}: {_str(b)}" for a, b in W.SOURCE_LABELS.items()) + "}"
+_FACTS = f"""
+WITH m AS (SELECT row_ix, ({_MIN('prep_time')}) + ({_MIN('cook_time')}) AS total, {_shown_duration('cook_time')} AS cook, {_shown_duration('prep_time')} AS prep, trim(recipe_yield, ' \t\n\r') AS y, greatest(coalesce(len(ingredients), 0), 0) AS n, trim(source, ' \t\n\r') AS s FROM sample_recipes)
+SELECT row_ix, concat_ws(' · ',
+  CASE WHEN total IS NOT NULL THEN concat_ws(' ', CASE WHEN total >= 60 THEN (total // 60) || ' hr' END, CASE WHEN total % 60 > 0 OR total < 60 THEN (total % 60) || ' min' END) || ' total time' WHEN cook IS NOT NULL THEN cook || ' cooking time' WHEN prep IS NOT NULL THEN prep || ' preparation time' END,
+  CASE WHEN y <> '' AND length(y) <= 36 THEN CASE WHEN regexp_matches(y, '^(?i)makes?\\b') THEN y ELSE 'Makes ' || y END END, n || CASE WHEN n = 1 THEN ' ingredient' ELSE ' ingredients' END) AS facts,
+  CASE WHEN s <> '' THEN coalesce(map_extract({_LABELS}, lower(s))[1], regexp_replace(regexp_replace(s, '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) END AS source_label
+FROM m
+"""
+
 #: Why a recipe is shown, in words.
 _REASON = """CASE WHEN strategy = 'adventurous' THEN 'Adventurous pick with a less common ingredient combination' WHEN strategy = 'discovery' THEN 'Varied discovery pick from the recipe collection'
 WHEN len(matched) > 0 THEN 'Matches ' || array_to_string(matched[:4], ', ') WHEN semantic >= lexical THEN 'Strong meaning-based match' WHEN lexical > 0 THEN 'Matches words in the request' ELSE 'Closest available match' END"""
 
+
+def linked(least: float, also: str = "") -> str:
+    """The best method of each recipe, as CTEs up to ``best``; ``also`` is a further condition on recipe and method."""
+    return f"""
+WITH {TERMS}, {_NAMES},
+mlines AS (SELECT record_key, unnest(ingredients) AS l FROM method_corpus),
+mraw AS (SELECT record_key, {_words('l')} AS w FROM mlines WHERE l IS NOT NULL),
+mmarked AS (SELECT record_key, list_transform(w, lambda t: CASE WHEN len(t) > 1 AND NOT list_contains({_STOP}, t) THEN {_sing('t')} END) AS m FROM mraw),
+mpost AS (
+  SELECT DISTINCT record_key, term FROM (
+    SELECT record_key, unnest(m) AS term FROM mmarked
+    UNION ALL SELECT record_key, unnest(list_transform(range(1, len(m)), lambda i: m[i] || ' ' || m[i + 1])) FROM mmarked
+  ) WHERE term IS NOT NULL
+),
+rn AS (SELECT row_ix, count(*) AS n FROM post GROUP BY row_ix), mn AS (SELECT record_key, count(*) AS n FROM mpost GROUP BY record_key),
+titles AS (SELECT names.row_ix, record_key, instructions FROM names JOIN (SELECT record_key, instructions, {norm('title')} AS t FROM method_corpus WHERE instructions <> '') ON name_norm = t{also}),
+sh AS (SELECT row_ix, record_key, count(*) AS c FROM titles JOIN post USING (row_ix) JOIN mpost USING (record_key, term) GROUP BY row_ix, record_key),
+sc AS (SELECT row_ix, record_key, instructions, c / rn.n AS x, c / mn.n AS y FROM sh JOIN titles USING (row_ix, record_key) JOIN rn USING (row_ix) JOIN mn USING (record_key)),
+ok AS (SELECT *, least(x, y) AS score FROM sc WHERE least(x, y) >= {least}),
+sure AS (SELECT row_ix FROM ok GROUP BY row_ix HAVING count(DISTINCT instructions) = 1),
+best AS (SELECT row_ix, record_key, instructions, round(score, 6) AS score FROM ok JOIN sure USING (row_ix) QUALIFY row_number() OVER (PARTITION BY row_ix ORDER BY score DESC, (x + y) / 2 DESC, record_key) = 1)
+"""
+
+
+_BY_SOURCE = """ AND (row_ix, record_key) IN (SELECT (r.row_ix, m.record_key) FROM sample_recipes r JOIN (SELECT DISTINCT corpus, credit FROM method_corpus WHERE corpus IS NOT NULL AND credit IS NOT NULL) c ON c.credit = r.source JOIN method_corpus m ON m.corpus = c.corpus)"""
+_LINES = "list_filter(list_transform(list_filter(ingredients, lambda x: x IS NOT NULL), lambda x: trim(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 'ADVERTISEMENT', ''), ' \t,-')), lambda x: x <> '')"
+
 SQL: dict[str, str] = {
     "normalize_text": f"SELECT row_ix, {norm('name')} AS name_norm FROM sample_recipes",
     "canonical_urls": f"""
@@ -246,7 +288,7 @@ FROM d JOIN q USING (gram) JOIN dn USING (row_ix) GROUP BY row_ix ORDER BY lexic
 """,
     "cosine_topk": """
 WITH v AS (
-  SELECT row_ix, any_value(CAST(vec AS DOUBLE[])) AS v FROM recipe_vectors
+  SELECT row_ix, min(CAST(vec AS DOUBLE[])) AS v FROM recipe_vectors
   WHERE vec IS NOT NULL AND len(vec) = 64 AND NOT list_contains(list_transform(vec, lambda x: CAST(x AS VARCHAR) IN ('nan', '-nan')), true) GROUP BY row_ix
 ), n AS (SELECT row_ix, v, sqrt(list_dot_product(v, v)) AS s FROM v WHERE list_dot_product(v, v) > 0),
 q AS (SELECT row_ix AS asked, v AS qv, s AS qs FROM n ORDER BY row_ix LIMIT 1)
@@ -257,27 +299,40 @@ WITH {TERMS}, {_NAMES}, {_DISTINCT},
 one AS (SELECT * FROM dist JOIN names USING (row_ix) QUALIFY row_number() OVER (PARTITION BY name_norm ORDER BY distinctiveness DESC, row_ix) = 1)
 SELECT row_ix, CAST(row_number() OVER (ORDER BY distinctiveness DESC, row_ix) AS INT) AS rank FROM one QUALIFY rank <= 20
 """,
-    "strict_linkage": f"""
-WITH {TERMS}, {_NAMES},
-mlines AS (SELECT record_key, unnest(ingredients) AS l FROM method_corpus),
-mraw AS (SELECT record_key, {_words('l')} AS w FROM mlines WHERE l IS NOT NULL),
-mmarked AS (SELECT record_key, list_transform(w, lambda t: CASE WHEN len(t) > 1 AND NOT list_contains({_STOP}, t) THEN {_sing('t')} END) AS m FROM mraw),
-mpost AS (
-  SELECT DISTINCT record_key, term FROM (
-    SELECT record_key, unnest(m) AS term FROM mmarked
-    UNION ALL SELECT record_key, unnest(list_transform(range(1, len(m)), lambda i: m[i] || ' ' || m[i + 1])) FROM mmarked
-  ) WHERE term IS NOT NULL
-),
-rn AS (SELECT row_ix, count(*) AS n FROM post GROUP BY row_ix), mn AS (SELECT record_key, count(*) AS n FROM mpost GROUP BY record_key),
-titles AS (SELECT row_ix, record_key, instructions FROM names JOIN (SELECT record_key, instructions, {norm('title')} AS t FROM method_corpus WHERE instructions <> '') ON name_norm = t),
-sh AS (SELECT row_ix, record_key, count(*) AS c FROM titles JOIN post USING (row_ix) JOIN mpost USING (record_key, term) GROUP BY row_ix, record_key),
-sc AS (SELECT row_ix, record_key, instructions, c / rn.n AS x, c / mn.n AS y FROM sh JOIN titles USING (row_ix, record_key) JOIN rn USING (row_ix) JOIN mn USING (record_key)),
-ok AS (SELECT *, least(x, y) AS score FROM sc WHERE least(x, y) >= 0.5),
-sure AS (SELECT row_ix FROM ok GROUP BY row_ix HAVING count(DISTINCT instructions) = 1)
-SELECT row_ix, record_key, round(score, 6) AS score FROM ok JOIN sure USING (row_ix) QUALIFY row_number() OVER (PARTITION BY row_ix ORDER BY score DESC, (x + y) / 2 DESC, record_key) = 1
+    "strict_linkage": linked(0.5) + "SELECT row_ix, record_key, score FROM best",
+    "source_linkage": linked(0.9, _BY_SOURCE) + "SELECT row_ix, record_key, score FROM best",
+    "enriched_records": linked(0.5) + """
+SELECT r.id AS assignmentRecord, r.name, r.url, b.instructions AS recipeInstructions, coalesce(m.corpus, '') AS instructionCorpus, b.record_key AS instructionRecord, 'strict-title-source-coverage' AS instructionMatcher, score AS instructionMatchScore
+FROM best b JOIN sample_recipes r USING (row_ix) JOIN method_corpus m USING (record_key)
+""",
+    "enrichment_counts": linked(0.5) + """
+SELECT (SELECT count(*) FROM sample_recipes) AS recipes_seen, (SELECT count(*) FROM method_corpus) AS methods_seen, CAST(sum(n) AS BIGINT) AS linked, string_agg(corpus || '=' || n, ', ' ORDER BY corpus) AS by_corpus
+FROM (SELECT coalesce(m.corpus, '') AS corpus, count(*) AS n FROM best JOIN method_corpus m USING (record_key) GROUP BY 1)
+""",
+    "ingested": f"""
+WITH r AS (SELECT row_ix, nullif(trim(name), '') AS name, {_LINES} AS l, nullif(trim(source), '') AS source, CASE WHEN regexp_matches({_URL}, '^(?i)https?://[^/?#]+') THEN {_URL} END AS u, nullif(trim(prep_time), '') AS prep_time, nullif(trim(recipe_yield), '') AS recipe_yield, instructions FROM sample_recipes)
+SELECT row_ix, substring(sha1('delivered.jsonl:' || row_ix || ':' || name), 1, 16) AS id, name, CAST(len(l) AS INT) AS lines, md5(array_to_string(l, '|')) AS lines_md5, coalesce(source, CASE WHEN u IS NOT NULL THEN regexp_replace({_AUTH}, '^www\\.', '') END, 'delivered') AS source, u AS url, prep_time, recipe_yield, CASE WHEN trim(instructions, ' \n\t\r') <> '' THEN 'dataset' END AS instruction_source
+FROM r WHERE name IS NOT NULL AND len(l) > 0
+""",
+    "facts": _FACTS,
+    "readiness": "SELECT 'ready' AS status, count(*) AS recipes, count(instructions) AS with_instructions, round_even(count(instructions) / count(*), 4) AS coverage, true AS semantic, false AS model FROM sample_recipes",
+    "rate_limit": """
+WITH RECURSIVE g AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, ts, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) >= 60000000 THEN 1 ELSE 0 END AS gap FROM events),
+p AS (SELECT *, sum(gap) OVER (ORDER BY ts, event_id) AS piece FROM g),
+e AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY ts, event_id) AS n FROM p),
+r AS (
+  SELECT DISTINCT piece, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(c VARCHAR, us BIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS TIMESTAMP) AS ts, false AS allowed FROM p
+  UNION ALL
+  SELECT piece, n, CASE WHEN ok THEN list_append(live, {'c': user_id, 'us': us}) ELSE live END, event_id, user_id, ts, ok
+  FROM (
+    SELECT piece, n, live, event_id, user_id, ts, us, len(live) < 20 AND len(list_filter(live, lambda x: x.c = user_id)) < 5 AS ok
+    FROM (SELECT e.*, list_filter(r.kept, lambda x: x.us > e.us - 60000000) AS live FROM r JOIN e ON e.piece = r.piece AND e.n = r.n + 1)
+  )
+)
+SELECT event_id, user_id, ts, allowed FROM r WHERE n > 0
 """,
     "hashed_sample": "SELECT row_ix, id FROM sample_recipes ORDER BY md5('20260902:' || CAST(row_ix AS VARCHAR)), row_ix LIMIT 100",
     "round_robin": "SELECT corpus, record_key, CAST(row_number() OVER (PARTITION BY corpus ORDER BY record_key) AS INT) AS turn FROM method_corpus WHERE corpus IS NOT NULL ORDER BY turn, corpus LIMIT 200",
-    "json_fields": "SELECT event_type, count(*) AS events, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
+    "json_fields": "SELECT event_type, count(*) AS events, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT event_type, nullif(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events) GROUP BY event_type",
     "coverage": "SELECT coalesce(instruction_source, 'none') AS origin, count(*) AS recipes, (SELECT round_even(avg(CAST(instructions IS NOT NULL AS DOUBLE)), 4) FROM sample_recipes) AS share FROM sample_recipes GROUP BY 1",
 }

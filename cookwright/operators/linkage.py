@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cookwright.operators.index import term_batches
+from cookwright.plans.frames import spread
 
 MATCHER = "strict-title-source-coverage"
 # Which publishers a method corpus may serve.
@@ -38,20 +39,22 @@ def strict_matches(recipes: DataFrame, methods: DataFrame, compatible: DataFrame
 def _with_terms(df: DataFrame, ident: str, title: str, more: list[str]) -> DataFrame:
     """``ident, title_norm, terms`` and the columns ``more``; rows without a title or terms are left out.
 
-    Everything that has to stay with a row rides through the Arrow pass as its name, in one struct.
+    What has to stay with a row goes through the Arrow pass beside its name, as it is.
     """
-    kind = dict(df.dtypes)
-    packed = df.where(F.col(title).isNotNull()).select(F.to_json(F.struct(F.col(ident), *more)).alias("pack"), F.col(title).alias("name"), "ingredients")
-    out = packed.mapInArrow(_terms_beside, "pack string, title_norm string, terms array<string>")
-    fields = F.from_json("pack", ", ".join(f"{c} {kind[c]}" for c in (ident, *more)))
-    return out.where("size(terms) > 0").select(fields.alias("p"), "title_norm", "terms").select("p.*", "title_norm", "terms")
-
-
-def _terms_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        plain = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("name"), b.column("ingredients")], names=["row_ix", "name", "ingredients"])
-        for t in term_batches(iter([plain])):
-            yield pa.RecordBatch.from_arrays([b.column("pack"), t.column("name_norm"), t.column("terms")], names=["pack", "title_norm", "terms"])
+    kept = [ident, *more]
+    cols = spread(df.where(F.col(title).isNotNull()).select(*kept, F.col(title).alias("_name"), F.col("ingredients").alias("_lines")))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in cols.select(*kept).dtypes)
+    return cols.mapInArrow(_terms_beside(kept), f"{kinds}, title_norm string, terms array<string>").where("size(terms) > 0")
+
+
+def _terms_beside(kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("_name"), b.column("_lines")], names=["row_ix", "name", "ingredients"])
+            for t in term_batches(iter([plain])):
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), t.column("name_norm"), t.column("terms")], names=[*kept, "title_norm", "terms"])
+
+    return run
 
 
 def enriched(recipes: DataFrame, matches: DataFrame) -> DataFrame:

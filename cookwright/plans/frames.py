@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows a side may have, counted, before it is broadcast.
@@ -99,3 +99,14 @@ def with_index(df: DataFrame, name: str, first: int = 0) -> DataFrame:
         return kept.select(*df.columns, F.col("_k").alias(name))
     shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p long, _o long"))
     return kept.join(shift, "_p").select(*df.columns, (F.col("_k") + F.col("_o")).alias(name))
+
+
+def offsets(kept: DataFrame, group: list[str], split: str, at: str, name: str) -> DataFrame:
+    """``group, split, name``: what to add to ``at`` for an index from 0 within each group, in the order of ``split``.
+
+    ``kept`` is materialised and ``at`` a monotonically increasing id on it, gap-free within a task. Each split, as the
+    blocks of text files are, is held whole and in order by one task; only the splits' sizes, one row each, are summed up.
+    """
+    sizes = kept.groupBy(*group, split).agg(F.min(at).alias("_a"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*group, split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_a")).alias(name))

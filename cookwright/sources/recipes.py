@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from cookwright.functions import text as T
-from cookwright.plans.frames import cut, with_index
+from cookwright.plans.frames import cut, offsets, small, with_index
 
 #: Seed of the samples of capped single files and of enriched output.
 SEED = 20_260_902
@@ -47,17 +47,34 @@ def resolve_files(path: str) -> list[str]:
     raise DatasetError(f"no such recipe data: {path}")
 
 
-def fingerprint(files: list[str]) -> str:
-    """16 hex digits over the names and bytes of the files, in order."""
+def fingerprint(spark: SparkSession, files: list[str]) -> str:
+    """16 hex digits over the names and checksums of the files, in order. The files are read by tasks, one each."""
     digest = hashlib.sha256()
+    sums = checksums(spark, files)
     for f in files:
-        digest.update(os.path.basename(f).encode())
-        with open(f, "rb") as handle:
-            while chunk := handle.read(1 << 20):
-                digest.update(chunk)
+        digest.update(f"{os.path.basename(f)}:{sums[_uri(f)]}".encode())
     return digest.hexdigest()[:16]
 
 
+def checksums(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The SHA-256 of each file by its URI."""
+    read = spark.read.format("binaryFile").load(list(map(_readable, files)))
+    return {r[0]: r[1] for r in read.select(_path(F.col("_metadata.file_path")), F.sha2("content", 256)).collect()}  # one row for each file
+
+
+def _readable(file: str) -> str:
+    return file if "://" in file else os.path.abspath(file)
+
+
+def _uri(file: str) -> str:
+    """The file as a scan names it."""
+    return file if "://" in file else Path(os.path.abspath(file)).as_uri()
+
+
+def _path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/(?=[^/])", "file:///")
+
+
 def index_key(print_: str, rows: int, version: str, model: str | None) -> str:
     """The folder name of an index: what it was built from and with."""
     return f"{version}-{print_}-{rows}-{hashlib.sha256((model or 'no-semantic').encode()).hexdigest()[:10]}"
@@ -68,34 +85,37 @@ def raw_records(spark: SparkSession, files: list[str]) -> DataFrame:
 
     Lines of ``.jsonl`` files are one record each, keyed by physical line, blank ones skipped; a broken line is kept
     with a null ``v`` instead of ending its file. Other files hold one object of records, keyed by its names, or one
-    array, keyed by position; they are read whole, one task each. ``ordinal`` counts a file's records in order.
+    array, keyed by position. ``ordinal`` counts a file's records in order. All files of a kind are one scan: lines in
+    splits of any size, other files whole, one task each, as a root cannot be split.
     """
+    rows = [(_uri(f), os.path.basename(f), no) for no, f in enumerate(files)]
+    names = small(spark.createDataFrame(rows, "path string, file string, file_no int"))
+    lines, others = ([_readable(f) for f in files if f.endswith(".jsonl") == kind] for kind in (True, False))
     parts = []
-    for no, f in enumerate(files):
-        tag = [F.lit(os.path.basename(f)).alias("file"), F.lit(no).alias("file_no")]
-        if f.endswith(".jsonl"):
-            lines = with_index(spark.read.text(f), "line")
-            some = with_index(lines.where(F.trim("value") != ""), "ordinal")
-            parts.append(some.select(*tag, F.col("line").cast("string").alias("key"), F.col("ordinal").cast("long"), F.col("value").alias("raw")))
-            continue
-        whole = spark.read.text(f, wholetext=True)
-        root = F.substring(F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", "")), 1, 1)
-        kinds = [r[0] for r in whole.select(root).collect()]
-        if kinds == ["{"]:
-            records = whole.select(F.posexplode_outer(F.from_json("value", "map<string,variant>")).alias("ordinal", "key", "v"))
-        elif kinds == ["["]:
-            records = whole.select(F.posexplode_outer(F.from_json("value", "array<variant>")).alias("ordinal", "v")).withColumn("key", F.col("ordinal").cast("string"))
-        else:
-            raise DatasetError(f"neither an object nor an array in {f}")
-        parts.append(records.where("ordinal is not null").select(*tag, "key", F.col("ordinal").cast("long"), F.to_json("v").alias("raw")))
-    return reduce(DataFrame.unionByName, parts).withColumn("v", F.try_parse_json("raw"))
+    if lines:
+        text = spark.read.text(lines).select(_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+        every = cut(text).withColumn("_m", F.monotonically_increasing_id())
+        some = cut(every.where(F.trim("value") != "")).withColumn("_k", F.monotonically_increasing_id())
+        for kept, at, name in ((every, "_m", "_line"), (some, "_k", "_ordinal")):
+            some = some.join(small(offsets(kept, ["path"], "block", at, name)), ["path", "block"])
+        parts.append(some.select("path", (F.col("_m") + F.col("_line")).cast("string").alias("key"), (F.col("_k") + F.col("_ordinal")).alias("ordinal"), F.col("value").alias("raw")))
+    if others:
+        whole = spark.read.text(others, wholetext=True).select(_path(F.col("_metadata.file_path")).alias("path"), "value")
+        whole = whole.withColumn("root", F.substring(F.regexp_replace("value", "^[\\s\ufeff]+", ""), 1, 1))
+        odd = whole.where(~F.col("root").isin("{", "[")).select("path").limit(1).collect()
+        if odd:
+            raise DatasetError(f"neither an object nor an array in {odd[0][0]}")
+        keyed = whole.where("root = '{'").select("path", F.posexplode(F.from_json("value", "map<string,variant>")).alias("ordinal", "key", "v"))
+        listed = whole.where("root = '['").select("path", F.posexplode(F.from_json("value", "array<variant>")).alias("ordinal", "v")).select("path", "ordinal", F.col("ordinal").cast("string").alias("key"), "v")
+        parts.append(keyed.unionByName(listed).select("path", "key", F.col("ordinal").cast("long"), F.to_json("v").alias("raw")))
+    return reduce(DataFrame.unionByName, parts).join(names, "path").select("file", "file_no", "key", "ordinal", "raw").withColumn("v", F.try_parse_json("raw"))
 
 
 def _kind(v: Column, name: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
 
 
-def _scalar(v: Column, name: str) -> Column:
+def scalar(v: Column, name: str) -> Column:
     """A field as text if it is a scalar that counts as given: not null, empty, zero or false."""
     kind, text = _kind(v, name), F.try_variant_get(v, f"$.{name}", "string")
     empty = (text == "") | ((kind != "STRING") & text.isin("0", "0.0", "false"))
@@ -103,7 +123,7 @@ def _scalar(v: Column, name: str) -> Column:
 
 
 def _first(v: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(_scalar(v, n) for n in names))
+    return F.coalesce(*(scalar(v, n) for n in names))
 
 
 def _lines(v: Column, names: tuple[str, ...], objects: bool) -> Column:
@@ -220,7 +240,20 @@ def load_recipes(spark: SparkSession, path: str, most: int | None = None, reserv
         else:
             recipes = with_index(hash_sample(recipes, most).drop("row_ix"), "row_ix")
         report.recipes_loaded = most
-    return recipes.select("row_ix", *COLUMNS), report, fingerprint(files)
+    return recipes.select("row_ix", *COLUMNS), report, fingerprint(spark, files)
+
+
+def instruction_coverage(recipes: DataFrame) -> DataFrame:
+    """``origin, recipes, share``: by origin of the instructions the recipes, and the share of all that have any."""
+    whole = recipes.agg(F.bround(F.avg(F.col("instructions").isNotNull().cast("double")), 4).alias("share"))
+    return recipes.groupBy(F.coalesce("instruction_source", F.lit("none")).alias("origin")).agg(F.count("*").alias("recipes")).crossJoin(F.broadcast(whole))
+
+
+def readiness(recipes: DataFrame, semantic: bool, model_ready: bool = False) -> DataFrame:
+    """One row on whether searches can be answered: ``status, recipes, with_instructions, coverage, semantic, model``."""
+    n, some = F.count("*"), F.count("instructions")
+    share = F.bround(F.coalesce(F.try_divide(some, n), F.lit(0.0)), 4)
+    return recipes.agg(F.when(n > 0, "ready").otherwise("empty").alias("status"), n.alias("recipes"), some.alias("with_instructions"), share.alias("coverage"), F.lit(semantic).alias("semantic"), F.lit(model_ready).alias("model"))
 
 
 def require_instructions(recipes: DataFrame) -> DataFrame:
@@ -255,8 +288,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(path: str, inputs: list[str], report: object, **more: object) -> dict:
-    """A manifest with checksums of the inputs, written beside its place and renamed into it."""
-    sums = {os.path.basename(f): hashlib.sha256(Path(f).read_bytes()).hexdigest() for f in inputs}
+    """A manifest with checksums of the inputs, read by tasks, written beside its place and renamed into it."""
+    known = checksums(SparkSession.active(), inputs)
+    sums = {os.path.basename(f): known[_uri(f)] for f in inputs}
     body = {"inputs": sums, "report": report if isinstance(report, dict) else asdict(report), **more}
     Path(f"{path}.tmp").write_text(json.dumps(body, sort_keys=True, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
     os.replace(f"{path}.tmp", path)

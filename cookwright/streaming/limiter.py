@@ -6,7 +6,7 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,20 +29,35 @@ def limited(events: DataFrame, ident: str, client: str, ts: str, client_limit: i
     Events count in the order of time, then ident; a limit of 0 admits none; a null client is a client like others;
     events without a time are refused. Without a global limit, clients are spread over the cluster and each
     partition is one pass in order, so a client of any size never sits in memory. A global limit orders all events
-    against each other and is by definition one sequence: one task, also a single pass with bounded state.
+    against each other. A minute without any event makes what follows independent of what was before, so the sequence is
+    cut there and the pieces are spread; without such gaps it is by definition one pass in one task, with bounded state.
     """
     cols = events.select(F.col(ident).alias("ident"), F.col(client).cast("string").alias("client"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    spread = cols.repartition(1) if global_limit is not None else cols.repartition(F.coalesce("client", F.lit("")))
-    lead = [] if global_limit is not None else [F.asc_nulls_first("client")]
+    if global_limit is not None:
+        minute = F.floor(F.col("us") / 60_000_000)
+        # one row for each minute that has events
+        apart = (F.col("minute") - F.lag("minute", 1).over(Window.orderBy("minute")) > 1).cast("int")
+        pieces = cols.select(minute.alias("minute")).where("minute is not null").distinct().select("minute", F.coalesce(apart, F.lit(0)).alias("apart"))
+        pieces = pieces.select("minute", F.sum("apart").over(Window.orderBy("minute")).alias("piece"))
+        cols = cols.withColumn("minute", minute).join(pieces, "minute", "left").drop("minute").withColumn("piece", F.coalesce("piece", F.lit(-1)))
+        spread, lead = cols.repartition("piece"), ["piece"]
+    else:
+        cols = cols.withColumn("piece", F.lit(0))
+        spread, lead = cols.repartition(F.coalesce("client", F.lit(""))), [F.asc_nulls_first("client")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = deque() if global_limit is not None else None
         clients: dict = defaultdict(deque)
-        last = None
+        last = piece = None
         for pdf in batches:
             allowed = []
-            for c, us in zip(pdf.client, pdf.us):
+            for c, us, now in zip(pdf.client, pdf.us, pdf.piece):
                 key = None if pd.isna(c) else c
+                if now != piece:  # nothing of the piece before counts any more
+                    clients.clear()
+                    if every is not None:
+                        every.clear()
+                    piece = now
                 if every is None and key != last:
                     clients.clear()  # sorted by client: the one before is done
                     last = key

@@ -75,3 +75,31 @@ def test_methods_and_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "m.json").read_text()) == body
     S.write_jsonl(spark.createDataFrame([("a", None)], "x string, y string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"x":"a","y":null}'
+
+
+def test_lines_of_split_files_are_numbered_in_order(spark, tmp_path):
+    for f, n in (("a", 300), ("b c", 7)):
+        write(tmp_path / f"{f}.jsonl", "".join(json.dumps({"name": f"{f}{k}", "ingredients": ["x" * 40]}) + ("\n\n" if k % 3 == 0 else "\n") for k in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = S.raw_records(spark, S.resolve_files(str(tmp_path))).orderBy("file_no", "ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for f, n in (("a", 300), ("b c", 7)):
+        mine = [r for r in rows if r.file == f"{f}.jsonl"]
+        assert [json.loads(r.raw)["name"] for r in mine] == [f"{f}{k}" for k in range(n)] and [r.ordinal for r in mine] == list(range(n))
+        assert [int(r.key) for r in mine] == [k + (k + 2) // 3 for k in range(n)]
+
+
+def test_fingerprint_follows_bytes_and_names(spark, tmp_path):
+    write(tmp_path / "a.json", "[1]")
+    one = S.fingerprint(spark, [str(tmp_path / "a.json")])
+    write(tmp_path / "a.json", "[2]")
+    assert len(one) == 16 and one != S.fingerprint(spark, [str(tmp_path / "a.json")])
+
+
+def test_readiness_and_coverage(spark):
+    df = spark.createDataFrame([("a", "dataset"), (None, None), ("b", "dataset")], "instructions string, instruction_source string")
+    assert tuple(S.readiness(df, True).first()) == ("ready", 3, 2, 0.6667, True, False) and S.readiness(df.limit(0), False).first().status == "empty"
+    assert {tuple(r) for r in S.instruction_coverage(df).collect()} == {("dataset", 2, 0.6667), ("none", 1, 0.6667)}

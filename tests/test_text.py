@@ -98,3 +98,17 @@ def test_exclusions_are_one_walk():
         ("soup except for leeks", "soup", ["leek"]), ("no, garlic", "no , garlic", []), ("stew sin ajo con pollo", "stew con pollo", ["garlic"]), ("without", "", []), ("no without onion", "no", ["onion"]),
     ]:
         assert split_excluded(text) == (wanted, out), text
+
+
+def test_a_model_that_fails_degrades_to_rules():
+    from cookwright.functions import query_text as Q
+
+    def answer(**more):
+        return lambda q: {"ingredients": ["tomatoes", "basil"], "excluded_ingredients": ["basil"], "preferences": [" vegan "], "max_minutes": 30, **more}
+
+    got = Q.interpret_with(answer(), "not spicy tomato dinner")
+    assert (got.ingredients, got.excluded_ingredients, got.preferences, got.max_minutes, got.source, got.warning) == (["tomato"], ["basil"], ["vegan"], 30, "model", Q.CONFLICT) and got.excluded_preferences == ["spicy"]
+    for bad in (lambda q: 1 / 0, lambda q: {}, answer(max_minutes=0), answer(ingredients=["x"] * 21), answer(preferences=["y" * 101])):
+        low = Q.interpret_with(bad, "tomato soup")
+        assert low.degraded and low.warning == Q.UNAVAILABLE and low.ingredients == Q.interpret("tomato soup").ingredients
+    assert not Q.interpret_with(None, "tomato soup").degraded
