@@ -33,6 +33,8 @@ ASSOCIATION = 0.5
 SHARE = 0.5
 #: Share of function words that makes words between full stops a sentence.
 FUNCTION_SHARE = 0.12
+#: Share of function words that makes a whole line prose.
+PROSE_SHARE = 0.25
 #: Bits of the filter that keeps phrases of no doubtful page from leaving the scan of all texts; hits are joined exactly.
 FILTER_BITS = 1 << 26
 
@@ -49,7 +51,7 @@ _TOKEN = re.compile(r"#\w+|\x00|\w+(?:['’]\w+)?")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}/\S*|\b[\w-]+\.(?:example|com|net|org|info|biz|io|shop|de|se|es|co|uk)\b\S*", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]+\]\([^)\s]+\)", re.I | re.S)
 _MARKUP = re.compile(r"<a\s|\[url|\]\(", re.I)
-_DOTTED = re.compile(r"[^\W\d]\.[^\W\d]|://")
+_DOTTED = re.compile(r"\.[^\W\d]")
 _NUMBERED = re.compile(r"\d{3}|\d[.,]\d\d|[€$£]")
 _TAG = re.compile(r"#\w+")
 _CODE = re.compile(r"\b(?:EAN|SKU|REF|ISBN|GTIN|UPC|ASIN|MPN|No|Nr|Art|Item)\b\.?:?\s*#?\d{3,}|(?:\b\d+[.,]\d\d\s?(?:EUR|USD|SEK|GBP|kr)\b|[€$£]\s?\d+[.,]\d\d|\d+[.,]\d\d\s?[€$£])", re.I)
@@ -61,6 +63,7 @@ _MENU = re.compile(r"^[^\d]{1,40}\(\d+\)$")
 _CAMEL = re.compile(r"[a-zà-ÿ\d][A-ZÀ-Þ]")
 _CAMEL_WORD = re.compile(r"\w*[a-zà-ÿ\d][A-ZÀ-Þ]\w*")
 
+_ENDS = ".!?…\"”’)"
 LIST, OPEN, CONTENT = 2, 1, 0
 _functions = FUNCTION_WORDS.__contains__
 
@@ -84,8 +87,8 @@ def _sentences(body: str) -> list[tuple[int, int, str]]:
 def without_links(text: str) -> tuple[str, int, int]:
     """The text with each link as one sign; the links, and the words in their addresses and anchors."""
     links = words = 0
-    for pattern, hint in ((_ANCHOR, _MARKUP), (_URL, _DOTTED)):
-        if hint.search(text):
+    for pattern, some in ((_ANCHOR, ("<" in text or "[" in text) and _MARKUP.search(text)), (_URL, "://" in text or _DOTTED.search(text))):
+        if some:
             found = pattern.findall(text)
             if found:
                 links += len(found)
@@ -111,21 +114,24 @@ def segments(text: str) -> tuple[int, float, list[tuple[int, float, str]]]:
         if not n:
             out.append((LIST, n_links * per_link, line))
             continue
-        body = _BULLET.sub("", plain)
         functions = sum(map(_functions, words))
+        if n >= 8 and not n_links and functions >= PROSE_SHARE * n and plain[-1] in _ENDS and "#" not in plain:
+            out.append((CONTENT, n, line))
+            continue
+        body = _BULLET.sub("", plain)
         spoken = n >= 3 and functions >= max(1, FUNCTION_SHARE * n)
         parts = None
         if n_links and n <= 6 * n_links and not spoken:
             kind = LIST  # the labels of links
-        elif ("#" in plain and 2 * len(_TAG.findall(plain)) >= n) or (n >= 3 and _CAMEL.search(plain) and 2 * len(_CAMEL_WORD.findall(plain)) >= n) or (_NUMBERED.search(plain) and _CODE.search(plain)) or _MENU.match(body):
+        elif ("#" in plain and 2 * len(_TAG.findall(plain)) >= n) or (n >= 3 and len(plain) >= 8 * n and _CAMEL.search(plain) and 2 * len(_CAMEL_WORD.findall(plain)) >= n) or (_NUMBERED.search(plain) and _CODE.search(plain)) or _MENU.match(body):
             kind = LIST
         elif (cuts := len(_SEPARATOR.findall(body))) >= 3 and n <= 7 * (cuts + 1) and not (spoken and plain[-1] in ".!?…"):
             kind = LIST
-        elif plain[-1] in ".!?…\"”’)" and body and not _COUNTED.match(body):
+        elif plain[-1] in _ENDS and body and not _COUNTED.match(body):
             kind, parts = OPEN, _sentences(body)
         elif n <= 16 and (_COUNTED.match(body) or parse_amounts(body)):
             kind = CONTENT  # an ingredient
-        elif n > 8 and spoken and functions >= 0.25 * n and body.count(",") * 6 < n:
+        elif n > 8 and spoken and functions >= PROSE_SHARE * n and body.count(",") * 6 < n:
             kind = CONTENT  # prose without a full stop
         elif n > 12:
             # a long line: prose broken off in it is content, the rest are heaps
@@ -167,44 +173,54 @@ def _shingled(h: np.ndarray, size: int) -> np.ndarray:
 
 
 _LINK, _HASH_TAG = xxhash.xxh64_intdigest("\x00"), xxhash.xxh64_intdigest("#")
-_DDL = "page long, doc long, host string, words int, doubtful double, link double, runs array<array<array<long>>>, phrases array<struct<p: long, a: long, b: long>>"
+_LINK, _HASH_TAG = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00", "#"))
+_DDL = "page long, doc long, host string, words int, doubtful double, link double, tokens array<long>, lines array<int>, runs array<int>, phrases array<struct<p: long, a: long, b: long>>"
 _PHRASE = pa.struct([("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _runs(found: list[tuple[int, float, str]], hashes: _Hashes) -> list[list[np.ndarray]]:
-    """The words outside content, as hashes by line, in runs: lines of lists that follow one another are one run."""
-    runs: list[list[np.ndarray]] = []
-    last = None
-    for kind, _n, text in found:
+def _doubtful_words(found: list[tuple[int, float, str]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words outside content as hashes, with the number of their line, and of their run: lines of lists that follow
+    one another are one run. Runs that are no lists have negative numbers."""
+    tokens, lines, runs = [], [], []
+    last, run = CONTENT, 0
+    for k, (kind, _n, text) in enumerate(found):
         if kind != CONTENT:
-            h = np.array([hashes[w] for w in _TOKEN.findall(text)], dtype=np.uint64)
-            if kind == LIST and last == LIST:
-                runs[-1].append(h)
-            else:
-                runs.append([h])
+            mine = [hashes[w] for w in _TOKEN.findall(text)]
+            run += not (kind == LIST and last == LIST)
+            tokens += mine
+            lines += [k] * len(mine)
+            runs += [run if kind == LIST else -run] * len(mine)
         last = kind
-    return runs
+    return np.array(tokens, dtype=np.uint64), np.array(lines, dtype=np.int32), np.array(runs, dtype=np.int32)
 
 
-def _phrases(lines: list[np.ndarray]) -> list[tuple[np.ndarray, int, int]]:
-    """The phrases of a run with their length, and how many words before the first of them the run has: long ones over
-    its lines, short ones within them; a line of a single word is a phrase of its own."""
-    out, at = [(_shingled(np.concatenate(lines), PHRASE), PHRASE, 0)], 0
-    for h in lines:
-        out.append((h, 1, at) if len(h) == 1 else (_shingled(h, SHORT), SHORT, at))
-        at += len(h)
-    return [x for x in out if len(x[0])]
+def _phrases(h: np.ndarray, lines: np.ndarray, runs: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of phrase the places where one begins, and its hash there: long ones lie within a run, short ones
+    within a line; a line of a single word is a phrase of its own, and so is every word of a list."""
+    out = []
+    for size, within in ((PHRASE, runs), (SHORT, lines)):
+        g = _shingled(h, size)
+        at = np.flatnonzero(within[: len(g)] == within[size - 1 :][: len(g)])
+        out.append((size, at, g[at]))
+    before = np.concatenate([[True], lines[1:] != lines[:-1]]) if len(lines) else np.zeros(0, dtype=bool)
+    alone = np.flatnonzero((runs > 0) | before & np.concatenate([before[1:], [True]])) if len(lines) else np.zeros(0, dtype=np.int64)
+    return [*out, (1, alone, h[alone])]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.list_(pa.list_(pa.int64()))), pa.list_(_PHRASE)]
-    hashes = _Hashes()
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64()]
+    hashes, none = _Hashes(), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32))
     for batch in batches:
-        rows = []
+        rows, words, asked = [], [], []
         if len(hashes) > 500_000:
             hashes.clear()
         for doc, host, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -214,52 +230,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not total:
                 continue
             doubtful = sum(n for kind, n, _ in found if kind != CONTENT)
-            runs, asked = [], {}
+            own, pairs = none, (none[0], none[0], none[0], np.zeros(0, dtype=bool))
             if doubtful > SHARE * total:  # content is no stuffing however often it is repeated, so others can't be flagged
-                runs = _runs(found, hashes)
-                for lines in runs:
-                    for g, size, at in _phrases(lines):
-                        if size > 1:
-                            h = np.concatenate(lines)[at : at + len(g) + 1]
-                            a, b = (h[: len(g)], h[1 : len(g) + 1]) if size == SHORT else (None, None)
-                            for k, x in enumerate(_signed(g).tolist()):
-                                if x not in asked:
-                                    asked[x] = {"p": x, "a": int(_signed(a)[k]) if size == SHORT else None, "b": int(_signed(b)[k]) if size == SHORT else None}
-            page = xxhash.xxh64_intdigest(f"{doc}:{host}:{text}") >> 1
-            rows.append((page, doc, host, total, float(doubtful), per_link, [[_signed(h).tolist() for h in lines] for lines in runs], list(asked.values())))
+                own = h, _, _ = _doubtful_words(found, hashes)
+                (_, _, long), (_, at, short), _ = _phrases(*own)
+                long, (short, first) = np.unique(long), np.unique(short, return_index=True)
+                at = at[first]
+                pairs = (np.concatenate([long, short]), np.concatenate([long, h[at]]), np.concatenate([long, h[at + 1]]), np.arange(len(long) + len(short)) < len(long))
+            rows.append((xxhash.xxh64_intdigest(f"{doc}:{host}:{text}") >> 1, doc, host, total, float(doubtful), per_link))
+            words.append(own)
+            asked.append(pairs)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page", "doc", "host", "words", "doubtful", "link", "runs", "phrases"])
+            p, a, b, long = (np.concatenate(x) for x in zip(*asked))
+            ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in asked])]).astype(np.int32)
+            phrases = pa.StructArray.from_arrays([pa.array(_signed(p)), pa.array(_signed(a), mask=long), pa.array(_signed(b), mask=long)], fields=list(_PHRASE))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            columns += [_lists([_signed(x[0]) for x in words], pa.int64()), _lists([x[1] for x in words], pa.int32()), _lists([x[2] for x in words], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), phrases)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "doc", "host", "words", "doubtful", "link", "tokens", "lines", "runs", "phrases"])
 
 
-def _covered(runs: list[list[np.ndarray]], replicated: np.ndarray, per_link: float) -> tuple[float, float, float]:
+def _covered(h: np.ndarray, lines: np.ndarray, runs: np.ndarray, replicated: np.ndarray, per_link: float) -> tuple[float, float, float]:
     """Words in phrases that the page itself repeats, in phrases that other hosts use, and in either; links and hash tags
     are no prose in any case."""
-    phrases = [_phrases(lines) for lines in runs]
-    every = [g for one in phrases for g, _, _ in one]
-    if not every:
-        return 0.0, 0.0, 0.0
-    u, n = np.unique(np.concatenate(every), return_counts=True)
+    phrases = _phrases(h, lines, runs)
+    u, n = np.unique(np.concatenate([g for _, _, g in phrases]), return_counts=True)
     repeated = u[n >= REPEATS]
-    out = [0.0, 0.0, 0.0]
-    for lines, one in zip(runs, phrases):
-        h = np.concatenate(lines)
-        weight = np.where(h == np.uint64(_LINK), per_link, 1.0)
-        for k, known in enumerate((repeated, replicated, np.union1d(repeated, replicated))):
-            hit = (h == np.uint64(_LINK)) | (h == np.uint64(_HASH_TAG))
-            for g, size, at in one:
-                starts = at + np.flatnonzero(np.isin(g, known))
-                for d in range(size):
-                    hit[starts + d] = True
-            out[k] += float(weight[hit].sum())
-    return tuple(out)
+    weight = np.where(h == _LINK, per_link, 1.0)
+    hits = []
+    for known in (repeated, replicated):
+        hit = (h == _LINK) | (h == _HASH_TAG)
+        for size, at, g in phrases:
+            starts = at[np.isin(g, known)]
+            for d in range(size):
+                hit[starts + d] = True
+        hits.append(hit)
+    return tuple(float(weight[hit].sum()) for hit in (*hits, hits[0] | hits[1]))
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, per_link, runs, hits in zip(*(c.to_pylist() for c in batch.columns)):
-            arrays = [[np.array(h, dtype=np.int64).view(np.uint64) for h in lines] for lines in runs]
-            out.append((doc, *_covered(arrays, np.array(sorted(hits or ()), dtype=np.int64).view(np.uint64), per_link)))
+        lists = [[np.asarray(x.values) for x in batch.column(c)] for c in ("tokens", "lines", "runs")]
+        for doc, per_link, hits, h, lines, runs in zip(batch.column("doc").to_pylist(), batch.column("link").to_pylist(), batch.column("hits").to_pylist(), *lists):
+            out.append((doc, *_covered(h.astype(np.int64).view(np.uint64), lines, runs, np.array(hits or (), dtype=np.int64).view(np.uint64), per_link)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc", "own", "others", "w"])
 
@@ -337,7 +350,7 @@ def stuffed_pages(documents: DataFrame, doc: str, text: str, url: str, source: s
     associated = known.where("a is not null").join(count("a"), "a").join(count("b"), "b").where(association >= ASSOCIATION)
     replicated = known.where("a is null").select("p").union(associated.select("p")).distinct()
     hits = asked.select("page", "p").join(replicated, "p", "left_semi").groupBy("page").agg(F.collect_set("p").alias("hits"))
-    weighed = pages.where("size(runs) > 0").select("page", "doc", "link", "runs").join(hits, "page", "left").select("doc", "link", "runs", "hits").mapInArrow(_weigh, "doc long, own double, others double, w double")
+    weighed = pages.where("size(tokens) > 0").select("page", "doc", "link", "tokens", "lines", "runs").join(hits, "page", "left").select("doc", "link", "tokens", "lines", "runs", "hits").mapInArrow(_weigh, "doc long, own double, others double, w double")
     stuffing = weighed.groupBy("doc").agg(F.max("own").alias("own"), F.max("others").alias("others"), F.max("w").alias("w"))
     per = pages.groupBy("doc").agg(F.max("words").alias("words"), F.max("doubtful").alias("doubtful"))
     out = per.join(stuffing, "doc", "left").select(F.col("doc").alias(doc), "words", *(F.round(F.coalesce(c, F.lit(0.0)), 3).alias(name) for c, name in (("w", "list_words"), ("doubtful", "doubtful_words"), ("own", "repeated_words"), ("others", "shared_words"))))
