@@ -21,8 +21,8 @@ from cookwright.plans.frames import cut
 SHARD_ROWS, QUERY_ROWS = 2_000, 40_000
 #: Vectors of the sample that the pivots are fitted to, and most pivots.
 SAMPLE_ROWS, MOST_PIVOTS = 20_000, 4_096
-#: Cells in which a vector is searched where not all are.
-PROBES = 3
+#: Cells in which a vector is searched where not all are: for its nearest ones, and for very similar ones only.
+PROBES, CLOSE_PROBES = 6, 3
 #: Breadth of the walks over a graph: for the nearest ones, and where only very similar ones are asked for.
 BREADTH, NARROW = 40, 20
 #: Copies of one vector that are expanded to all their pairs; a larger group gives pairs with its first row only.
@@ -157,7 +157,7 @@ def similar_rows(rows: DataFrame, ident: str, vec: str, least: float, dim: int =
     A pair is found from either end. Rows with the very same vector are pairs of similarity 1; of more than
     ``EXPAND`` of them each is paired with the first only.
     """
-    near, members = nearest(rows, ident, vec, k=7, dim=dim, least=least, ef=NARROW)
+    near, members = nearest(rows, ident, vec, k=7, dim=dim, least=least, probes=CLOSE_PROBES, ef=NARROW)
     pairs = near.select(F.least("row", "near").alias("a"), F.greatest("row", "near").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     multi = members.where("rows > 1").select("row", "rep", "rows").distinct()
     few, other = multi.where(f"rows <= {EXPAND}"), F.col("y.row")
