@@ -48,15 +48,27 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, as a Parquet table in the same folder: smaller on disk, and read by column.
 
-    Row order and partitions may change. The table is dropped when the process ends.
+    Row order and partitions may change. The table is dropped by :func:`release`, or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    _STORED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Drop all stored tables. For long sessions, once the results made from them are written: they can't be read then."""
+    while _STORED:
+        _drop(*_STORED.pop())
+
+
+atexit.register(release)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -103,3 +103,15 @@ def test_readiness_and_coverage(spark):
     df = spark.createDataFrame([("a", "dataset"), (None, None), ("b", "dataset")], "instructions string, instruction_source string")
     assert tuple(S.readiness(df, True).first()) == ("ready", 3, 2, 0.6667, True, False) and S.readiness(df.limit(0), False).first().status == "empty"
     assert {tuple(r) for r in S.instruction_coverage(df).collect()} == {("dataset", 2, 0.6667), ("none", 1, 0.6667)}
+
+
+def test_stored_tables_are_released(spark):
+    from cookwright.plans import frames
+
+    kept = frames.stored(spark.range(5))
+    path = frames._STORED[-1][1].removeprefix("file:")
+    assert kept.count() == 5 and __import__("os").path.isdir(path)
+    before, frames._STORED[:] = frames._STORED[:-1], frames._STORED[-1:]
+    frames.release()
+    assert not __import__("os").path.isdir(path)
+    frames._STORED[:] = before
