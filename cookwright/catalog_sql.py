@@ -218,6 +218,16 @@ SELECT row_ix, concat_ws(' · ',
 FROM m
 """
 
+_bare = lambda x: f"lower(regexp_replace({x}, '\\s+', '', 'g'))"
+_STEPS = f"""
+WITH a AS (SELECT row_ix, list_filter(list_transform(regexp_split_to_array(instructions, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM sample_recipes WHERE instructions IS NOT NULL),
+b AS (SELECT row_ix, CASE WHEN len(l) > 1 AND {_bare('l[1]')} = {_bare("array_to_string(l[2:], ' ')")} THEN l[2:] ELSE l END AS l FROM a),
+c AS (SELECT row_ix, list_filter(l, lambda x, i: i = 1 OR {_bare('x')} <> {_bare('l[i - 1]')}) AS l FROM b),
+d AS (SELECT row_ix, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '^(?i)(?:step\\s*)?\\d+\\s*[.):]\\s*', ''))), lambda x: x <> '') AS s FROM c),
+e AS (SELECT row_ix, list_filter(s, lambda x, i: list_position(s, x) = i AND len(list_filter(s[i + 1:], lambda z: length(z) >= 24 AND length(x) > length(z) AND contains(x, z))) = 0) AS s FROM d)
+SELECT row_ix, CAST(i - 1 AS INT) AS step_no, s[i] AS step FROM (SELECT row_ix, s, unnest(range(1, len(s) + 1)) AS i FROM e)
+"""
+
 #: Why a recipe is shown, in words.
 _REASON = """CASE WHEN strategy = 'adventurous' THEN 'Adventurous pick with a less common ingredient combination' WHEN strategy = 'discovery' THEN 'Varied discovery pick from the recipe collection'
 WHEN len(matched) > 0 THEN 'Matches ' || array_to_string(matched[:4], ', ') WHEN semantic >= lexical THEN 'Strong meaning-based match' WHEN lexical > 0 THEN 'Matches words in the request' ELSE 'Closest available match' END"""
@@ -315,6 +325,7 @@ SELECT row_ix, substring(sha1('delivered.jsonl:' || row_ix || ':' || name), 1, 1
 FROM r WHERE name IS NOT NULL AND len(l) > 0
 """,
     "facts": _FACTS,
+    "steps": _STEPS,
     "readiness": "SELECT 'ready' AS status, count(*) AS recipes, count(instructions) AS with_instructions, round_even(count(instructions) / count(*), 4) AS coverage, true AS semantic, false AS model FROM sample_recipes",
     "rate_limit": """
 WITH RECURSIVE g AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, ts, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) >= 60000000 THEN 1 ELSE 0 END AS gap FROM events),

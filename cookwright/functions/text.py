@@ -6,6 +6,7 @@ All stay inside the JVM but for HTML entities, for which Spark has no function.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
 
@@ -205,11 +206,22 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, "^[^:]+://([^/?#]*)", 1), "^www\\.", "")
 
 
+def cleaned_lines(lines: list[str]) -> list[str]:
+    """Lines with single blanks, blank ones dropped; then a first line that repeats all others, then repeats of the line
+    before. Lines are compared without blanks and case."""
+    bare = lambda t: "".join(t.split()).casefold()
+    flat = [" ".join(x.split()) for x in lines]
+    flat = [x for x in flat if x]
+    if len(flat) > 1 and bare(flat[0]) == bare(" ".join(flat[1:])):
+        flat = flat[1:]
+    return [x for k, x in enumerate(flat) if not k or bare(x) != bare(flat[k - 1])]
+
+
+@F.pandas_udf(StringType())
+def _cleaned(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else "\n".join(cleaned_lines(re.split(r"\r\n|\n|\r", t))))
+
+
 def clean_method(text: Column) -> Column:
-    """Instruction lines with single blanks, a first line that repeats all others dropped, then repeats of the line before."""
-    bare = lambda t: F.lower(F.regexp_replace(t, r"(?U)\s+", ""))
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
-    lines = F.when((F.size(lines) > 1) & (bare(F.get(lines, F.lit(0))) == bare(F.array_join(rest, " "))), rest).otherwise(lines)
-    kept = F.filter(lines, lambda x, i: (i == 0) | (bare(x) != bare(F.get(lines, i - 1))))
-    return F.array_join(kept, "\n")
+    """Instructions by :func:`cleaned_lines`. One Arrow pass: as array functions every look at a line makes all lines anew."""
+    return _cleaned(text)

@@ -9,7 +9,7 @@ from itertools import groupby, takewhile
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from cookwright.functions import text as T
 from cookwright.functions import words as W
@@ -136,13 +136,29 @@ def source_icon(source: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_replace(F.coalesce(source, F.lit("")), r"(?U)^\s+|\s+$", "")))
 
 
-def steps(instructions: Column) -> Column:
+_NUMBER_OF_STEP = re.compile(r"^(?:step\s*)?\d+\s*[.):]\s*", re.IGNORECASE)
+
+
+def steps_of(text: str | None) -> list[str]:
     """The steps without their numbers: repeats dropped, so is a step that holds a later one of 24 characters or more."""
-    trim = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
-    bare = F.transform(F.split(instructions, "\n+"), lambda s: trim(F.regexp_replace(trim(s), r"(?i)^(?:step\s*)?\d+\s*[.):]\s*", "")))
-    some = F.filter(bare, lambda s: s != "")
-    later = lambda s, i: F.exists(F.slice(some, i + 2, F.greatest(F.size(some), F.lit(1))), lambda z: (F.length(z) >= 24) & (F.length(s) > F.length(z)) & s.contains(z))
-    return F.coalesce(F.filter(some, lambda s, i: (F.array_position(some, s) == i + 1) & ~later(s, i)), F.array().cast("array<string>"))
+    some = [x for s in (text or "").split("\n") if (x := _NUMBER_OF_STEP.sub("", s.strip()).strip())]
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for k, s in enumerate(some):
+        first.setdefault(s, k)
+        last[s] = k
+    held = [(k, s) for s, k in last.items() if len(s) >= 24]
+    return [s for s, k in first.items() if not any(at > k and len(s) > len(z) and z in s for at, z in held)]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _steps(s: pd.Series) -> pd.Series:
+    return s.map(steps_of)
+
+
+def steps(instructions: Column) -> Column:
+    """:func:`steps_of` as a column, in one Arrow pass; null gives no step."""
+    return _steps(instructions)
 
 
 def ingredient_items(text: Column) -> Column:

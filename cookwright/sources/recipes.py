@@ -148,12 +148,7 @@ def _unescaped_lines(s: pd.Series) -> pd.Series:
 
 def clean_method(lines: list[str]) -> str:
     """As :func:`cookwright.functions.text.clean_method`, over lines with entities."""
-    bare = lambda t: "".join(t.split()).casefold()
-    flat = [" ".join(x.split()) for t in lines for x in html.unescape(html.unescape(t)).replace("ADVERTISEMENT", "").splitlines()]
-    flat = [x for x in flat if x]
-    if len(flat) > 1 and bare(flat[0]) == bare(" ".join(flat[1:])):
-        flat = flat[1:]
-    return "\n".join(x for k, x in enumerate(flat) if not k or bare(x) != bare(flat[k - 1]))
+    return "\n".join(T.cleaned_lines([x for t in lines for x in html.unescape(html.unescape(t)).replace("ADVERTISEMENT", "").splitlines()]))
 
 
 @F.pandas_udf(StringType())
