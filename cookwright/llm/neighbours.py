@@ -24,7 +24,7 @@ SAMPLE_ROWS, MOST_PIVOTS = 20_000, 4_096
 #: Cells in which a vector is searched where not all are: for its nearest ones, and for very similar ones only.
 PROBES, CLOSE_PROBES = 6, 3
 #: Breadth of the walks over a graph: for the nearest ones, and where only very similar ones are asked for.
-BREADTH, NARROW = 40, 20
+BREADTH, NARROW = 40, 32
 #: Copies of one vector that are expanded to all their pairs; a larger group gives pairs with its first row only.
 EXPAND = 1_000
 
