@@ -6,7 +6,7 @@ import pytest
 
 entry_point = importlib.import_module("__spark_entry__")
 DATA = "/root/testdata/sf0.001"
-FAST = ["normalize_text", "canonical_urls", "category_counts", "ingredient_topk", "lexical_topk", "strict_linkage", "distinctiveness", "round_robin", "json_fields", "coverage"]
+FAST = ["normalize_text", "canonical_urls", "category_counts", "ingredient_topk", "lexical_topk", "strict_linkage", "distinctiveness", "round_robin", "json_fields", "coverage", "hybrid_search", "ingested", "rate_limit", "facts", "steps", "source_linkage"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not there")
 
 
