@@ -281,29 +281,50 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+#: Words whose shingles are made at once.
+_AT_ONCE = 1_000_000
+
+
 def _shingles(shared):
     """``host, grams``: of every text the distinct words and phrases of both lengths, whatever its lines are, that pass
     the filter."""
 
+    def passing(hosts: list, words: list[int], sizes: list[int], bitmap: np.ndarray) -> pa.RecordBatch:
+        h, text = np.array(words, dtype=np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+        owners, grams = [], []
+        for size in (1, SHORT, PHRASE):
+            g = h if size == 1 else _shingled(h, size)
+            bits = _bits(g)
+            at = np.flatnonzero((bitmap[bits >> 3] >> (bits & 7)) & 1)
+            at = at[text[at] == text[at + size - 1]]  # not over the end of a text
+            owners.append(text[at])
+            grams.append(g[at])
+        owner, gram = np.concatenate(owners), np.concatenate(grams)
+        order = np.lexsort((gram, owner))
+        owner, gram = owner[order], gram[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+        owner, gram = owner[new], gram[new]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(gram)))], names=["host", "grams"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, hashes = shared.value, _Hashes()
+        bitmap, known = shared.value, _Hashes()
         for batch in batches:
-            hosts, grams, sizes = [], [], []
-            if len(hashes) > 500_000:
-                hashes.clear()
+            hosts, words, sizes = [], [], []
+            if len(known) > 500_000:
+                known.clear()
             for host, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text:
-                    continue
-                h = np.array([hashes[w] for w in _TOKEN.findall(without_links(text)[0])], dtype=np.uint64)
-                g = np.concatenate([h, _shingled(h, SHORT), _shingled(h, PHRASE)])
-                at = _bits(g)
-                g = np.unique(g[(bitmap[at >> 3] >> (at & 7)) & 1 == 1])
-                hosts.append(host)
-                grams.append(g.view(np.int64))
-                sizes.append(len(g))
+                if text:
+                    mine = [known[w] for w in _TOKEN.findall(without_links(text)[0])]
+                    hosts.append(host)
+                    words += mine
+                    sizes.append(len(mine))
+                    if len(words) > _AT_ONCE:
+                        yield passing(hosts, words, sizes, bitmap)
+                        hosts, words, sizes = [], [], []
             if hosts:
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams)))], names=["host", "grams"])
+                yield passing(hosts, words, sizes, bitmap)
 
     return run
 
