@@ -1,9 +1,11 @@
 """Matching records of two sources without a common key.
 
-Records are sorted by several composite keys (least hashes of publisher, title words and ingredient words, the latter
-weighted by their rarity) and each is compared with its neighbours of the other side in a sliding window by sketches of
-its fields. What is close is scored with weighted field similarities, and a one-to-one assignment of the highest total
-confidence decides between rivals.
+Each record is compared with every record of the other side whose title shares a word with its own, by sketches of the
+fields and then by the ingredients themselves; so what is found doesn't depend on the size of the tables. Records whose
+titles share no word, through slips in short titles, are sought in blocks of equal least hashes of ingredient words
+(weighted by their rarity), and as neighbours under composite sort keys that begin with such hashes.
+What is close is scored with weighted field similarities, and a one-to-one assignment of the highest total confidence
+decides between rivals.
 """
 
 from __future__ import annotations
@@ -24,10 +26,17 @@ from pyspark.sql import functions as F
 from cookwright.functions.encoding import repair
 from cookwright.plans.frames import spread, stored
 
-#: Sort keys that begin with the publisher, the title and the ingredients.
-KEYS = (5, 5, 2)
+#: Sort keys that begin with the publisher, the title and the ingredients: only the last can bring titles together that
+#: share no word, and all others meet in blocks.
+KEYS = (0, 0, 2)
 #: Records of the other side on each side that a record is compared with under each key, and the places they lie within.
 WINDOW, REACH = 30, 600
+#: Words of a title up to which slips may leave it no word in common with its match: such records also meet in blocks of
+#: three equal least hashes of their foods, under so many keys.
+SHORT, FOOD_BLOCKS = 4, 4
+#: Records that share a title word, beyond which their block is compared in parts, each part of one side with each of the
+#: other (a bound on the rows that a task holds). Length of a range that is compared in place, and pairs compared at once.
+PART, WIDE, AT_ONCE = 500_000, 1_000, 1 << 20
 #: Least similarities of titles and of ingredients, and of the whole, for a match.
 LEAST_TITLE, LEAST_FOODS, LEAST = 0.5, 0.43, 0.5
 WEIGHTS = {"title": 0.4, "foods": 0.5, "publisher": 0.1}
@@ -152,8 +161,22 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
+def _blocks_of(side: int, uid: int, words: list[str], foods: list[np.ndarray], parts: dict[str, int]) -> list[int]:
+    """The blocks that a record is compared in: one for each word of its title (for a word of many records, the cells of
+    its part of them and every part of the other side) and, of a short title, some of its foods."""
+    out = []
+    for w in words:
+        n = parts.get(w, 1)
+        mine = uid % n
+        out += [xxhash.xxh64_intdigest(f"{w} {mine} {k}" if side else f"{w} {k} {mine}") >> 1 for k in range(n)]
+    if len(words) <= SHORT:
+        out += [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in foods]
+    return out
+
+
 def _sketches(shared):
-    """``uid, side, food, food2, title, pub, keys``: sketches of foods and title, and every sort key of a record."""
+    """``uid, side, food, food2, title, pub, keys, blocks, foods``: sketches of foods and title, every sort key of a
+    record, and its blocks."""
     bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
     by_pub, by_title, by_food = KEYS
     part = lambda h: (h >> np.uint64(40)).astype(np.int64) & 0xFFFFF
@@ -161,6 +184,7 @@ def _sketches(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed: dict[str, list[int]] = {}
+        weights, parts = shared.value
 
         def grams(title: str) -> list[int]:
             out = []
@@ -176,7 +200,7 @@ def _sketches(shared):
             if not batch.num_rows:
                 continue
             titles = batch.column("title").to_pylist()
-            f = _minhashes(*_flat(batch.column("foods")), 128 + 2 * sum(KEYS), shared.value)
+            f = _minhashes(*_flat(batch.column("foods")), 128 + max(2 * sum(KEYS), 3 * FOOD_BLOCKS), weights)
             g = _minhashes(*_flat(pa.array([grams(t) for t in titles], pa.list_(pa.int32()))), 64)
             t = _minhashes(*_flat(pa.array([[_h(w) for w in t.split()] for t in titles], pa.list_(pa.int32()))), sum(KEYS))
             pub = np.array([_h(x) if x else 0 for x in batch.column("short").to_pylist()], dtype=np.int64)
@@ -186,7 +210,9 @@ def _sketches(shared):
                 first, second, third = (pub & 0xFFFFF, part(t[:, k]), one) if k < by_pub else (part(t[:, k]), one, two) if k < by_pub + by_title else (one, two, part(t[:, k]))
                 keys[:, k] = (k - sum(KEYS) // 2 << 60) | first << 40 | second << 20 | third
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, sum(KEYS), dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("side"), pa.array(sketch(f[:, :64])), pa.array(sketch(f[:, 64:128])), pa.array(sketch(g)), pa.array(pub.astype(np.int32)), listed], names=[*_SORTED, "keys"])
+            foods = np.ascontiguousarray(f[:, 128 : 128 + 3 * FOOD_BLOCKS]).reshape(len(f), FOOD_BLOCKS, 3)
+            blocks = pa.array([_blocks_of(s, u, t.split(), x, parts) for s, u, t, x in zip(batch.column("side").to_pylist(), batch.column("uid").to_pylist(), titles, foods)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("side"), pa.array(sketch(f[:, :64])), pa.array(sketch(f[:, 64:128])), pa.array(sketch(g)), pa.array(pub.astype(np.int32)), listed, blocks, batch.column("foods")], names=[*_SORTED, "keys", "blocks", "foods"])
 
     return run
 
@@ -266,6 +292,125 @@ def _across(pdf: pd.DataFrame, anchors: int) -> pd.DataFrame:
     return pd.DataFrame({"a": t["uid"][i], "b": t["uid"][j]})
 
 
+def _foods_agree(left: np.ndarray, right: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Which pairs of records may have foods as like as a match needs: the similarity itself, but for words that share a
+    place of 4,096 (they can only make it larger). Pairs come in the order of ``right``."""
+    out = np.zeros(len(left), dtype=bool)
+
+    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.concatenate([[0], np.cumsum(sizes[rows])])
+        return tokens[np.arange(begin[-1]) - np.repeat(begin[:-1] - starts[rows], sizes[rows])], begin[:-1]
+
+    rights, of = np.unique(right, return_inverse=True)
+    for first in range(0, len(rights), 256):
+        some = rights[first : first + 256]
+        a, z = np.searchsorted(of, [first, first + len(some)])
+        theirs, their_begin = flat(some)
+        held = np.zeros((len(some), 4096), dtype=bool)
+        held[np.repeat(np.arange(len(some)), sizes[some]), theirs % 4096] = True
+        other = np.add.reduceat(weights[theirs % BUCKETS], their_begin, dtype=np.float64)[of[a:z] - first]
+        for at in range(a, z, AT_ONCE // 8):
+            to = min(z, at + AT_ONCE // 8)
+            mine, begin = flat(left[at:to])
+            w = weights[mine % BUCKETS]
+            one = np.add.reduceat(w, begin, dtype=np.float64)
+            both = np.add.reduceat(w * held[np.repeat(of[at:to] - first, sizes[left[at:to]]), mine % 4096], begin, dtype=np.float64)
+            out[at:to] = both >= (LEAST_FOODS - 1e-4) * (one + other[at - a : to - a] - both)
+    return out
+
+
+def _block_pairs(t: dict[str, np.ndarray], tokens: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole blocks, every pair of a left and a right record that may match, as positions."""
+    block, pub = np.unique(t["k"], return_inverse=True)[1].astype(np.int64) << 32, t["pub"].astype(np.int64)
+    order = np.lexsort((pub, block))
+    lefts, rights = order[t["side"][order] == 0], order[t["side"][order] == 1]
+    code, base, own = (block + pub)[lefts], block[rights], pub[rights]
+    # a record without a publisher meets the whole block; any other its publisher's records and those without one
+    begin = np.searchsorted(code, base + own)
+    end = np.where(own > 0, np.searchsorted(code, base + own + 1), np.searchsorted(code, base + (1 << 32)))
+    begin0, end0 = np.searchsorted(code, base), np.where(own > 0, np.searchsorted(code, base + 1), 0)
+    right, lo, n = np.concatenate([rights, rights]), np.concatenate([begin, begin0]), np.concatenate([end - begin, end0 - begin0])
+    some = np.flatnonzero(n > 0)
+    some = some[np.argsort(right[some], kind="stable")]
+    right, lo, n = right[some], lo[some], n[some]
+    food, food2, title = (t[c][lefts].view(np.uint64) for c in ("food", "food2", "title"))
+    sizes = np.diff(np.concatenate([starts, [len(tokens)]]))
+
+    def near(at, r) -> np.ndarray:
+        foods = np.bitwise_count(food[at] ^ t["food"][r].view(np.uint64)) + np.bitwise_count(food2[at] ^ t["food2"][r].view(np.uint64))
+        titles = np.bitwise_count(title[at] ^ t["title"][r].view(np.uint64))
+        return np.flatnonzero((foods <= FOOD_BITS) & (titles <= TITLE_BITS) & (foods + titles <= BITS))
+
+    out, held, count = [], [], 0
+
+    def settle() -> None:
+        nonlocal held, count
+        if held:
+            i, j = (np.concatenate(x) for x in zip(*held))
+            by = np.argsort(j, kind="stable")
+            i, j = i[by], j[by]
+            ok = _foods_agree(i, j, tokens, starts, sizes, weights)
+            out.append((i[ok], j[ok]))
+        held, count = [], 0
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal count
+        if len(i):
+            held.append((lefts[i], j))
+            count += len(i)
+            if count > AT_ONCE // 4:
+                settle()
+
+    for k in np.flatnonzero(n >= WIDE):
+        for a in range(lo[k], lo[k] + n[k], AT_ONCE):
+            hit = near(slice(a, min(a + AT_ONCE, lo[k] + n[k])), right[k : k + 1]) + a
+            add(hit, np.full(len(hit), right[k]))
+    narrow = n < WIDE
+    right, lo, n = right[narrow], lo[narrow], n[narrow]
+    total = np.concatenate([[0], np.cumsum(n)])
+    a = 0
+    while a < len(n):
+        z = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, side="right")) - 1)
+        i = np.arange(total[z] - total[a]) + np.repeat(lo[a:z] - (total[a:z] - total[a]), n[a:z])
+        j = np.repeat(right[a:z], n[a:z])
+        hit = near(i, j)
+        add(i[hit], j[hit])
+        a = z
+    settle()
+    if not out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def _within_blocks(shared):
+    """``a, b``: the pairs of every block of a partition that is sorted by block (``k``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, _ = shared.value
+
+        def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            t = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("k", *_SORTED)}
+            i, j = _block_pairs(t, *_flat(b.column("foods")), weights)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(t["uid"][i]), pa.array(t["uid"][j])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # what may belong to a block that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column("k").to_numpy()
+            if held and k[-1] != held[-1].column("k")[-1].as_py() or not held and k[-1] != k[0]:
+                at = int(np.searchsorted(k, k[-1]))
+                yield from pairs([*held, batch.slice(0, at)])
+                held, batch = [], batch.slice(at)
+            held.append(batch)
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
 def _alike(a: str, b: str) -> bool:
     """Whether two words agree up to one slip: a letter more, less, changed, or two swapped."""
     if a == b:
@@ -338,7 +483,7 @@ def _abbreviated(a: str, b: str) -> bool:
 
 def _score(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        w, _ = shared.value
         for p in batches:
             scores = []
             for ta, tb, la, lb, fa, fb, pa_, pb, sa, sb in zip(p.title_a, p.title_b, p.letters_a, p.letters_b, p.foods_a, p.foods_b, p.publisher_a, p.publisher_b, p.short_a, p.short_b):
@@ -454,8 +599,9 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
     the highest total confidence; all its records are returned, and so are records of the right table that are copies
     of the matched one, which they have to be as like as a match is. Keys are strings; repeated keys count once.
 
-    Exact copies are collapsed before sorting, so no group of copies can fill the windows. The sort by hashed keys
-    with a record's own hash as tie-breaker splits hot keys over partitions; windows go over partition borders.
+    Exact copies are collapsed before sorting, so no group of copies can fill the windows. Records whose titles share a
+    word are all compared: no window or sample bounds that, and a word of many records is compared in parts. The sort by
+    hashed keys with a record's own hash as tie-breaker splits hot keys over partitions; windows go over partition borders.
     """
     spark = left.sparkSession
     cols = [F.col("key").cast("string"), F.col("title"), F.col("lines"), F.col("publisher")]
@@ -465,16 +611,19 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
     reps = stored(feats.groupBy("uid").agg(F.any_value("side").alias("side"), F.any_value(F.struct(*fields)).alias("r")).select("uid", "side", "r.*"))
     count = {r.side: r.n for r in reps.groupBy("side").agg(F.count("*").alias("n")).collect()}
     records, anchors = sum(count.values()), int(count.get(1, 0) <= count.get(0, 0))
-    shared = spark.sparkContext.broadcast(word_weights(reps, max(1, records)))
+    often = reps.select(F.explode(F.split("title", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    shared = spark.sparkContext.broadcast((word_weights(reps, max(1, records)), {r.w: -(-r.n // PART) for r in often.collect()}))
     # sketches and keys are made once and stored: range partitioning reads its input twice
     sketches = ", ".join(f"{c} {'int' if c in ('side', 'pub') else 'long'}" for c in _SORTED)
-    slim = stored(reps.select("uid", "side", "title", "foods", "short").mapInArrow(_sketches(shared), f"{sketches}, keys array<long>"))
+    slim = stored(reps.select("uid", "side", "title", "foods", "short").mapInArrow(_sketches(shared), f"{sketches}, keys array<long>, blocks array<long>, foods array<int>"))
     rows = slim.select(F.explode("keys").alias("k"), *_SORTED)
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), records * sum(KEYS) // (20 * REACH)))
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), records // 1_000))
     ordered = rows.repartitionByRange(n, "k", "uid").sortWithinPartitions("k", "uid")
     slid = stored(ordered.select(*_SORTED).mapInArrow(_slide(anchors), _SLIDE))
     border = slid.where("tag > 0").withColumn("border", F.floor(F.col("tag") / 2)).groupBy("border").applyInPandas(partial(_across, anchors=anchors), "a long, b long")
-    pairs = slid.where("tag = 0").select("a", "b").union(border).distinct()
+    blocks = slim.select(F.explode("blocks").alias("k"), *_SORTED, "foods").repartition(n, "k").sortWithinPartitions("k")
+    within = blocks.mapInArrow(_within_blocks(shared), "a long, b long")
+    pairs = slid.where("tag = 0").select("a", "b").union(border).union(within).distinct()
     scored = stored(_scored(pairs, reps, fields, shared))
     # back from classes of copies to entities
     ent = lambda f: f.select(F.col("key").cast("string").alias("key"), F.coalesce(F.col("entity").cast("string"), F.col("key").cast("string")).alias("entity")).groupBy("key").agg(F.min("entity").alias("entity"))

@@ -378,3 +378,40 @@ def test_link_lists_without_repetition_and_hot_hosts(spark):
     rows += [(200, "A link to https://one.example/a that I liked, and why it is worth the time of anyone who cooks.", None, None), (100, None, None, None)]
     df = spark.createDataFrame(rows, "id long, text string, url string, source string")
     assert {r.id for r in stuffing.stuffed_pages(df, "id", "text", "url", "source").where("stuffed").collect()} == set(range(6))
+
+
+def test_linkage_does_not_depend_on_windows(spark):
+    # dishes that 400 publishers have alike; the publishers' short forms are equal, so only their by-lines tell them apart
+    rng, left, right = random.Random(21), [], []
+    word = lambda n: "".join(rng.choice("bcdfghklmnprstvw") for _ in range(n))
+    extras, publishers = [word(6) for _ in range(200)], [f"torv{word(2 * k)}gate" for k in range(1, 401)]
+    for dish in range(10):
+        title, base = [word(7) for _ in range(3)], [word(6) for _ in range(12)]
+        for k, by in enumerate(publishers):
+            mine = rng.sample(extras, 2)
+            left.append((f"{dish}-{k}", " ".join(title), base + mine, by, None))
+            if k % 16 == 8:
+                right.append((f"m{dish}-{k}", " ".join(title).upper(), mine[:1] + base, by, None))
+    schema = "key string, title string, lines array<string>, publisher string, entity string"
+    got = pairs(linkage.match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)), "left", "right")
+    assert len(right) == 250 and got == {(r[0][1:], r[0]) for r in right}
+
+
+def test_blocks_are_compared_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 3_000
+    t = {"k": rng.integers(0, 4, n), "uid": np.arange(n), "side": rng.integers(0, 2, n), "pub": rng.integers(0, 3, n).astype(np.int32)}
+    t |= {c: np.where(rng.random(n) < 0.5, 0, rng.integers(-(2**62), 2**62, n)) for c in ("food", "title")} | {"food2": np.zeros(n, dtype=np.int64)}
+    tokens, starts, weights = rng.integers(0, 12, 5 * n), np.arange(0, 5 * n, 5), np.ones(linkage.BUCKETS, dtype=np.float32)
+    tokens = np.concatenate([rng.choice(12, 5, replace=False) for _ in range(n)])
+    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(t["side"] == 0), np.flatnonzero(t["side"] == 1)))
+    near = linkage._close(t, i, j) & (t["k"][i] == t["k"][j])
+    sets = [set(tokens[5 * r : 5 * r + 5].tolist()) for r in range(n)]
+    want = {(a, b) for a, b in zip(i[near].tolist(), j[near].tolist()) if len(sets[a] & sets[b]) >= linkage.LEAST_FOODS * len(sets[a] | sets[b])}
+    for wide in (10, 1_000):
+        monkeypatch.setattr(linkage, "WIDE", wide)
+        got = list(zip(*(x.tolist() for x in linkage._block_pairs(t, tokens, starts, weights))))
+        assert len(want) > 1_000 and len(got) == len(set(got)) and set(got) == want
+    for left, right in ((5, 8), (6, 6), (7, 9)):  # a word of many records: in parts, of which any two meet once
+        a, b = (linkage._blocks_of(side, uid, ["stew", "a", "b", "c"], [], {"stew": 3}) for side, uid in ((0, left), (1, right)))
+        assert len(a) == 3 + 3 and len(set(a) & set(b)) == 1 + 3
