@@ -1,7 +1,8 @@
 """Template residue and error pages in text fields: placeholders, filler, failure messages, script notices.
 
 Two character n-gram models are fitted: one on filler, notices and error messages written down or generated here,
-one on a bounded sample of the table's own lines, from which lines that look like residue are taken out again.
+one on all of the table's own lines, counted in tables of fixed size, from which lines that look like residue are taken out
+again.
 Windows over the likelihood ratio of the two localise residue in every line; a field's coverage is the share of its
 characters within such windows.
 """
@@ -9,7 +10,7 @@ characters within such windows.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from http import HTTPStatus
 
@@ -26,17 +27,16 @@ WINDOWS = ((6, 2.2), (10, 1.6), (20, 1.0), (36, 0.8))
 LEAST = 9.0
 #: Times that natural text is as likely as residue beforehand: a gram that it has now and then is no evidence.
 PRIOR = 60.0
-#: Occurrences of a gram in the natural sample that are put down to residue left in it.
-SPARE = 2
+#: Occurrences of a gram in natural text of up to so many bytes that are put down to residue left in it; in proportion
+#: beyond.
+SPARE, SPARE_BYTES = 2, 2_900_000
 #: A line of up to so many bytes is residue as a whole if its mean log ratio is this or more.
 WHOLE, WHOLE_MEAN = 60, -1.8
-#: Mean log ratio above which a whole line of the natural sample is left out of it, and rounds of that.
+#: Mean log ratio above which a whole line of the natural text is left out of it, and rounds of that.
 ROUGH = 0.7
 ROUNDS = 3
-#: Occurrences, in a text of the sample's size, that a gram's shorter one stands for.
+#: Occurrences, in a text of the natural one's size, that a gram's shorter one stands for.
 SHRINK = 1.0
-#: Records whose lines are the sample of natural text: a bound on what the driver reads.
-SAMPLE_ROWS = 6_000
 _SIZES = {1: 1 << 8, 2: 1 << 16, 3: 1 << 18, 4: 1 << 19, 5: 1 << 20}
 _PAD = 4  # line feeds before each line
 _MOST = 4.0  # bound of one character's log ratio
@@ -156,17 +156,17 @@ class ResidueModel:
 
     tables: dict
 
-    def ratios(self, b: np.ndarray) -> np.ndarray:
-        grams = _grams(b)
+    def ratios(self, b: np.ndarray, grams: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        grams = grams or _grams(b)
         out = self.tables[1][grams[1]]
         for n in range(2, ORDER + 1):
             x = self.tables[n][grams[n]]
             out = np.where(np.isnan(x), out, x)
         return out
 
-    def means(self, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def means(self, b: np.ndarray, starts: np.ndarray, grams: dict[int, np.ndarray] | None = None) -> np.ndarray:
         """The mean log ratio of each whole line."""
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(b), dtype=np.float64)])
+        total = np.concatenate([[0.0], np.cumsum(self.ratios(b, grams), dtype=np.float64)])
         return (total[starts[1:]] - total[starts[:-1] + _PAD]) / np.maximum(1, np.diff(starts) - _PAD)
 
     def windows(self, b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,51 +200,144 @@ class ResidueModel:
         return np.maximum.reduceat(best, starts[:-1]), np.add.reduceat(inside.astype(np.int64), starts[:-1])
 
 
-def _fit(residue: list[str], natural: list[str], prior: float, spare: int = 0) -> ResidueModel:
+#: Where the places of each order begin in one array of counts, whose last place counts the lines; and the places that
+#: are sent and added up together.
+_AT = dict(zip(_SIZES, np.cumsum([0, *_SIZES.values()]).tolist()))
+_PLACES = sum(_SIZES.values()) + 1
+_PIECE = 8192
+
+
+class _Counts:
+    """Occurrences of every gram, and the place of its gram one shorter (the largest of those that share its place)."""
+
+    def __init__(self) -> None:
+        self.n, self.shorter = np.zeros(_PLACES, dtype=np.int64), np.full(_PLACES, -1, dtype=np.int32)
+
+    def of(self, n: int) -> slice:
+        return slice(_AT[n], _AT[n] + _SIZES[n])
+
+    def add(self, lines: list[str], models: list[ResidueModel]) -> None:
+        """Count the lines that no model takes for residue."""
+        b, starts = _bytes(lines)
+        grams = _grams(b)
+        kept = np.ones(len(lines), dtype=bool)
+        for model in models:
+            kept &= model.means(b, starts, grams) < ROUGH
+        own = np.repeat(kept, np.diff(starts))
+        own[(starts[:-1, None] + np.arange(_PAD)).ravel()] = False  # grams of the line feeds before a line reach into another
+        grams = {n: g[own].astype(np.int64) for n, g in grams.items()}
+        for n, g in grams.items():
+            self.n[self.of(n)] += np.bincount(g, minlength=_SIZES[n])
+            if n > 1:
+                np.maximum.at(self.shorter[self.of(n)], g, grams[n - 1].astype(np.int32))
+        self.n[-1] += int(kept.sum())
+
+    def pieces(self) -> pa.RecordBatch:
+        at = np.unique(np.flatnonzero(self.n) // _PIECE)
+        cut = lambda x: pa.array([x[_PIECE * k : _PIECE * (k + 1)].tobytes() for k in at], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), cut(self.n), cut(self.shorter)], names=["piece", "n", "shorter"])
+
+    def merge(self, piece: int, n: bytes, shorter: bytes) -> None:
+        own = slice(_PIECE * piece, _PIECE * (piece + 1))
+        self.n[own] += np.frombuffer(n, dtype=np.int64)
+        np.maximum(self.shorter[own], np.frombuffer(shorter, dtype=np.int32), out=self.shorter[own])
+
+
+_PIECES = "piece int, n binary, shorter binary"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = _Counts()
+    for b in batches:
+        for piece in zip(*(c.to_pylist() for c in b.columns)):
+            total.merge(*piece)
+    yield total.pieces()
+
+
+def _fit(natural: _Counts, prior: float, spare: float = 0) -> ResidueModel:
     """Odds of each gram, shrunk towards those of the gram one shorter where it is rare in both texts."""
-    grams, counts = zip(*((g, {n: np.bincount(g[n], minlength=_SIZES[n]).astype(np.float64) for n in g}) for g in (_grams(_bytes(x)[0]) for x in (residue, natural))))
-    sizes = [max(1.0, c[1].sum()) for c in counts]
+    residue = _Counts()
+    residue.add(residue_lines(), [])
+    sizes = [max(1.0, float(x.n[x.of(1)].sum())) for x in (residue, natural)]
+    spare *= max(1.0, sizes[1] / SPARE_BYTES)
+    pull = SHRINK / min(sizes[1], 2e6)
     tables, odds = {}, np.ones(1)
     for n in range(1, ORDER + 1):
-        shorter = np.zeros(_SIZES[n], dtype=np.int64)
-        if n > 1:
-            for g in grams:
-                shorter[g[n]] = g[n - 1]
-        pull = SHRINK / min(sizes[1], 2e6)
-        natural_count = counts[1][n] if n < 3 else np.maximum(0, counts[1][n] - spare)
-        odds = (counts[0][n] / sizes[0] + pull * odds[shorter]) / (natural_count / sizes[1] * prior + pull)
-        seen = counts[0][n] + counts[1][n] > 0
+        counts = [x.n[x.of(n)].astype(np.float64) for x in (residue, natural)]
+        shorter = natural.shorter[natural.of(n)]
+        shorter = np.maximum(0, np.where(shorter < 0, residue.shorter[residue.of(n)], shorter))
+        natural_count = counts[1] if n < 3 else np.maximum(0, counts[1] - spare)
+        odds = (counts[0] / sizes[0] + pull * odds[shorter]) / (natural_count / sizes[1] * prior + pull)
+        seen = counts[0] + counts[1] > 0
         tables[n] = np.where(seen, np.clip(np.log(np.maximum(odds, 1e-9)), -_MOST, _MOST), np.nan if n > 1 else 0).astype(np.float32)
     return ResidueModel(tables)
 
 
-def train(natural: list[str]) -> ResidueModel:
-    """Fit both models; lines of the natural sample that turn out to be residue are left out, in three rounds.
+def _fitted(count: Callable[[list[ResidueModel]], _Counts]) -> ResidueModel:
+    """Fit both models; natural lines that turn out to be residue are left out, in three rounds. ``count`` counts the
+    natural lines that no model given takes for residue.
 
     A language's own marks and words (brackets in real remarks, numbers after ``page``, scripts of fonts) are learnt
-    from the sample, so that they don't count as residue. Without any sample every seen gram speaks for residue.
+    from the table, so that they don't count as residue. Without any natural line every seen gram speaks for residue.
     """
-    residue, clean = residue_lines(), natural
-    model = _fit(residue, clean, 1.0)
+    models: list[ResidueModel] = []
+    clean = count(models)
     for _ in range(ROUNDS):
-        if not clean:
+        if not clean.n[-1]:
             break
-        mean = model.means(*_bytes(clean))
-        kept = [x for x, s in zip(clean, mean) if s < ROUGH]
-        done, clean = len(kept) == len(clean), kept
-        if done:
+        models.append(_fit(clean, 1.0))
+        before, clean = clean, count(models)
+        if clean.n[-1] == before.n[-1]:
             break
-        model = _fit(residue, clean, 1.0)
-    return _fit(residue, clean, PRIOR, SPARE)
+    return _fit(clean, PRIOR, SPARE)
+
+
+def train(natural: list[str]) -> ResidueModel:
+    """The model of some lines."""
+
+    def count(models: list[ResidueModel]) -> _Counts:
+        out = _Counts()
+        for at in range(0, len(natural), 20_000):
+            out.add(natural[at : at + 20_000], models)
+        return out
+
+    return _fitted(count)
+
+
+def _lines(value) -> list[str]:
+    return [x for v in (value if isinstance(value, list) else [value]) if v for x in v.split("\n") if x.strip()] if value else []
+
+
+def fit(rows: DataFrame, arrays: list[str], texts: list[str]) -> ResidueModel:
+    """The model of all lines of all rows: at most four passes that add up counts in tables of fixed size."""
+    spark = rows.sparkSession
+    rows = spread(rows.select(*arrays, *texts))
+
+    def count(models: list[ResidueModel]) -> _Counts:
+        shared = spark.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, lines, size = _Counts(), [], 0
+            for batch in batches:
+                for column in batch.columns:
+                    for value in column.to_pylist():
+                        mine = _lines(value)
+                        lines += mine
+                        size += sum(map(len, mine))
+                        if size > _CHUNK:
+                            found.add(lines, shared.value)
+                            lines, size = [], 0
+            if lines:
+                found.add(lines, shared.value)
+            yield found.pieces()
 
+        total = _Counts()
+        for r in rows.mapInArrow(run, _PIECES).repartition("piece").mapInArrow(_merged, _PIECES).toLocalIterator():
+            total.merge(r.piece, r.n, r.shorter)
+        shared.unpersist()
+        return total
 
-def sample_lines(rows: DataFrame, ident: str, arrays: list[str], texts: list[str], most: int = SAMPLE_ROWS) -> list[str]:
-    """The lines of a bounded sample: the ``most`` records with the smallest hash of ``ident``."""
-    slots = 1_000_000
-    open_ = min(slots, 3 * most * slots // max(1, rows.count()) + 1)  # else every task would send its own ``most``
-    parts = [F.array_join(F.filter(a, lambda x: x.isNotNull()), "\n") for a in arrays] + [F.col(t) for t in texts]
-    some = rows.select(F.concat_ws("\n", *parts).alias("t"), F.xxhash64(ident).alias("h")).where(F.pmod("h", F.lit(slots)) < open_)
-    return [x for r in some.orderBy("h", "t").limit(most).collect() for x in r.t.split("\n") if x.strip()]
+    return _fitted(count)
 
 
 #: Bytes of lines that are scored at once.
@@ -272,10 +365,7 @@ def _scan(model: ResidueModel, arrays: list[str], texts: list[str]):
             found, rows, lines, size = [], [], [], 0
             for ident, *values in zip(*(c.to_pylist() for c in batch.columns)):
                 for name, value in zip(names, values):
-                    if not value:
-                        continue
-                    mine = [x for v in (value if isinstance(value, list) else [value]) if v for x in v.split("\n") if x.strip()]
-                    if mine:
+                    if mine := _lines(value):
                         rows.append((ident, name, len(lines), len(lines) + len(mine)))
                         lines += mine
                         size += sum(map(len, mine))
@@ -296,9 +386,9 @@ def residue(rows: DataFrame, ident: str, arrays: list[str], texts: list[str], mo
     ``coverage`` is the share of the field's bytes within residue windows (1 for a field of nothing else), ``line``
     the line with most of it. Any row here holds some residue; :func:`exclude_spoilt` leaves out the fields that hold much.
     Null fields, null and blank lines give nothing; a repeated row gives its rows each time; a long text is scored
-    whole. One pass without a shuffle.
+    whole. One pass without a shuffle, after those that fit the model to all rows.
     """
-    model = model or train(sample_lines(rows, ident, arrays, texts))
+    model = model or fit(rows, arrays, texts)
     return spread(rows.select(F.col(ident).cast("long").alias(ident), *arrays, *texts)).mapInArrow(_scan(model, arrays, texts), "row_ix long, field string, coverage double, line string")
 
 

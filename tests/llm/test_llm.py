@@ -415,3 +415,16 @@ def test_blocks_are_compared_whole(monkeypatch):
     for left, right in ((5, 8), (6, 6), (7, 9)):  # a word of many records: in parts, of which any two meet once
         a, b = (linkage._blocks_of(side, uid, ["stew", "a", "b", "c"], [], {"stew": 3}) for side, uid in ((0, left), (1, right)))
         assert len(a) == 3 + 3 and len(set(a) & set(b)) == 1 + 3
+
+
+def test_residue_model_is_fitted_to_all_rows(spark):
+    rng = random.Random(3)
+    texts = [rng.choice(NATURAL).replace("2", str(rng.randrange(9))) for _ in range(7_000)]
+    rows = [(k, [x, None], f"{x}\n \n{texts[-k]}" if k % 3 else None) for k, x in enumerate(texts)] + [(9_000, ["Lorem ipsum dolor sit amet"], "")]
+    lines = [x for _, a, t in rows for v in [*a, t] if v for x in v.split("\n") if x.strip()]
+    df = spark.createDataFrame(rows, "row_ix long, ingredients array<string>, instructions string")
+    whole, got = residue.train(lines), residue.fit(df.repartition(5), ["ingredients"], ["instructions"])
+    assert all(np.array_equal(whole.tables[n], got.tables[n], equal_nan=True) for n in whole.tables)
+    found = residue.residue(df, "row_ix", ["ingredients"], ["instructions"]).collect()
+    assert [(r.row_ix, r.field) for r in found] == [(9_000, "ingredients")]
+    assert residue.fit(df.limit(0), ["ingredients"], ["instructions"]).tables[1].shape == (256,)
